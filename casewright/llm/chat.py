@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import let, prefix_sums
 
 START, MESSAGE, NEXT, END = "<|start|>", "<|message|>", "<|next|>", "<|end|>"
 #: Prefixes of control strings of this and of other public templates.
@@ -48,23 +48,25 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """
     part = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(part)).alias("turns"))
-    at = F.sequence(F.lit(0), F.size("turns") - 1)
-    role_at = lambda i: F.get(F.col("turns"), i)["role"]
-    d = d.withColumn("first", F.filter(at, lambda i: (i == 0) | (role_at(F.greatest(i - 1, F.lit(0))) != role_at(i))))
-    end = lambda k: F.coalesce(F.get(F.col("first"), k + 1), F.size("turns"))
-    merged = F.transform("first", lambda i, k: F.struct(role_at(i).alias("role"), F.transform(F.slice("turns", i + 1, end(k) - i), lambda t: escape(t["text"])).alias("texts")))
-    d = d.withColumn("merged", merged)
-    # the string in pieces: what goes before a text, and the text
-    before = lambda m, j: F.when(j == 0, F.concat(F.lit(START), escape(m["role"]), F.lit(MESSAGE))).otherwise(F.lit(NEXT))
-    after = lambda m, j: F.when(j == F.size(m["texts"]) - 1, F.lit(END)).otherwise(F.lit(""))
-    pieces = F.flatten(F.transform("merged", lambda m: F.transform(m["texts"], lambda t, j: F.struct(before(m, j).alias("before"), t.alias("text"), after(m, j).alias("after"), (m["role"] == LOSS_ROLE).alias("loss")))))
-    d = d.withColumn("pieces", pieces)
-    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "")
-    sizes = F.transform("pieces", lambda p: F.char_length(F.concat(p["before"], p["text"], p["after"])).cast("bigint"))
-    d = d.withColumn("formatted", whole).withColumn("starts", prefix_sums(sizes))
-    span = lambda p, k: F.struct((F.get(F.col("starts"), k) + F.char_length(p["before"])).alias("start"), (F.get(F.col("starts"), k + 1) - F.char_length(p["after"])).alias("end"), p["loss"].alias("loss"))
-    spans = F.transform(F.filter(F.transform("pieces", span), lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
-    return d.select(F.col("conv_id").alias(conv_id), "formatted", spans.alias("loss_spans"))
+
+    def merged(turns: Column) -> Column:
+        """One struct for each run of a role: the role and its texts, escaped."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, F.greatest(i - 1, F.lit(0)))["role"] != F.get(turns, i)["role"]))
+        run = lambda f: F.transform(f, lambda i, k: F.struct(F.get(turns, i)["role"].alias("role"), F.transform(F.slice(turns, i + 1, F.coalesce(F.get(f, k + 1), F.size(turns)) - i), lambda t: escape(t["text"])).alias("texts")))
+        return let(starts, run)
+
+    def piece(m: Column, t: Column, j: Column) -> Column:
+        before = F.when(j == 0, F.concat(F.lit(START), escape(m["role"]), F.lit(MESSAGE))).otherwise(F.lit(NEXT))
+        after = F.when(j == F.size(m["texts"]) - 1, F.lit(END)).otherwise(F.lit(""))
+        return F.struct(F.concat(before, t, after).alias("all"), F.char_length(before).alias("before"), F.char_length(after).alias("after"), (m["role"] == LOSS_ROLE).alias("loss"))
+
+    def written(pieces: Column) -> Column:
+        span = lambda starts: lambda p, k: F.when(p["loss"], F.struct((F.get(starts, k) + p["before"]).alias("start"), (F.get(starts, k + 1) - p["after"]).alias("end")))
+        spans = let(prefix_sums(F.transform(pieces, lambda p: F.char_length(p["all"]).cast("bigint"))), lambda starts: F.array_compact(F.transform(pieces, span(starts))))
+        return F.struct(F.array_join(F.transform(pieces, lambda p: p["all"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+    d = d.select(F.col("conv_id").alias(conv_id), let(F.col("turns"), lambda turns: let(F.flatten(F.transform(merged(turns), lambda m: F.transform(m["texts"], lambda t, j: piece(m, t, j)))), written)).alias("out"))
+    return d.select(conv_id, "out.formatted", "out.loss_spans")
 
 
 def read_chats(formatted: Column) -> Column:
@@ -77,21 +79,18 @@ def read_chats(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """The unescaped text under the loss mask."""
-    wide = F.encode(formatted, "UTF-32")  # four bytes a code point: slices cost their own length
-    cut = lambda s: unescape(F.decode(F.substring(wide, s["start"].cast("int") * 4 + 1, (s["end"] - s["start"]).cast("int") * 4), "UTF-32"))
-    return F.array_join(F.transform(spans, cut), "")
+    # four bytes a code point, so that a slice costs no more than its own length
+    cut = lambda wide: lambda s: unescape(F.decode(F.substring(wide, s["start"].cast("int") * 4 + 1, (s["end"] - s["start"]).cast("int") * 4), "UTF-32"))
+    return let(F.encode(formatted, "UTF-32"), lambda wide: F.array_join(F.transform(spans, cut(wide)), ""))
 
 
 def digests(chats: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """What formatted strings hold, read back from them."""
-    d = chats.withColumn("back", read_chats(F.col("formatted"))).withColumn("wide", F.encode("formatted", "UTF-32"))
-    cut = lambda s: unescape(F.decode(F.substring(F.col("wide"), s["start"].cast("int") * 4 + 1, (s["end"] - s["start"]).cast("int") * 4), "UTF-32"))
-    d = d.withColumn("loss", F.array_join(F.transform("loss_spans", cut), ""))
-    lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return d.select(
-        conv_id, F.size("back").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
-    )
+    lines = lambda back: F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    turns = let(read_chats(F.col("formatted")), lambda back: F.struct(F.size(back).cast("bigint").alias("n"), F.sha2(lines(back), 256).alias("sha")))
+    loss = let(loss_text(F.col("formatted"), F.col("loss_spans")), lambda t: F.struct(F.char_length(t).cast("bigint").alias("n"), F.sha2(t, 256).alias("sha")))
+    d = chats.select(conv_id, turns.alias("t"), loss.alias("l"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    return d.select(conv_id, F.col("t.n").alias("n_turns"), F.col("t.sha").alias("turns_sha256"), F.col("l.n").alias("loss_chars"), F.col("l.sha").alias("loss_sha256"), "formatted_chars")
 
 
 ORACLE = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/casewright"
 #: ASCII white space: the characters between words.
 SPACES = " \t\n\x0b\x0c\r"
-SPACE_RUN = "[ \\x09-\\x0D]+"
 #: Rows up to which a table whose count is known may be broadcast.
 BROADCAST_ROWS = 100_000
 _staged: list[tuple[SparkSession, str]] = []
@@ -50,10 +50,30 @@ def drop_staged() -> None:
             return
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is worked out once however often `body` uses it.
+
+    A column that a lambda uses may be put in its place by the optimizer, and
+    then be worked out for each element; a lambda's own variable never is.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """The words of a text without nulls: runs of anything but ASCII white space."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+
+    def cut(t: Column) -> Column:
+        parts = F.split(t, " ")
+        return F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit("  ")), F.array_remove(parts, "")).otherwise(parts)
+
+    return let(F.btrim(text), cut)
+
+
+def n_words(text: Column) -> Column:
+    """How many words a text has; null has none."""
+    return F.coalesce(F.size(words(F.coalesce(text, F.lit("")))), F.lit(0)).cast("bigint")
 
 
 def uniform(*keys: Column) -> Column:
@@ -72,9 +92,14 @@ def prefix_sums(lengths: Column, block: int = 64) -> Column:
     def running(xs: Column) -> Column:
         return F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    n = F.size(lengths)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(block))).otherwise(F.array().cast("array<int>"))
-    inner = F.transform(starts, lambda s: running(F.slice(lengths, s, F.lit(block))))
-    outer = running(F.transform(inner, lambda a: F.element_at(a, -1)))
-    parts = F.transform(F.arrays_zip(inner.alias("a"), F.slice(outer, F.lit(1), F.size(inner)).alias("b")), lambda z: F.transform(F.slice(z["a"], F.lit(1), F.size(z["a"]) - 1), lambda v: v + z["b"]))
-    return F.concat(F.flatten(parts), F.array(F.element_at(outer, -1)))
+    def joined(inner: Column, outer: Column) -> Column:
+        shifted = F.transform(inner, lambda a, k: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda v: v + F.get(outer, k)))
+        return F.concat(F.flatten(shifted), F.array(F.element_at(outer, -1)))
+
+    def summed(xs: Column) -> Column:
+        n = F.size(xs)
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        inner = F.transform(starts, lambda s: running(F.slice(xs, s, F.lit(block))))
+        return let(inner, lambda a: let(running(F.transform(a, lambda x: F.element_at(x, -1))), lambda b: joined(a, b)))
+
+    return let(lengths, summed)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged, words
+from .common import BROADCAST_ROWS, let, staged, words
 
 
 @dataclass(frozen=True)
@@ -44,36 +44,44 @@ class QualityRules:
 
 RULES = ("short", "repeats", "symbols", "lines", "lengths")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+
+
+def _covered(w: Column, window: int) -> Column:
+    """Words of `w` in windows that are found twice or more, the first included."""
+
+    def repeats(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(pairs, lambda p: let(F.sort_array(again(p)), reach))
+
+    def again(p: Column) -> Column:
+        last = F.size(p) - 1
+        same = lambda x, k: x["h"] == F.get(p, k)["h"]
+        found = F.transform(p, lambda x, k: F.when(((k > 0) & same(x, F.greatest(k - 1, F.lit(0)))) | ((k < last) & same(x, F.least(k + 1, last))), x["i"]))
+        return F.array_compact(found)
+
+    def reach(s: Column) -> Column:
+        ends = F.transform(s, lambda i, k: F.least(F.lit(window), F.coalesce(F.get(s, k + 1) - i, F.lit(window))))
+        return F.aggregate(ends, F.lit(0), lambda acc, x: acc + x)
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
+    # most texts repeat no window, which the distinct hashes show without sorting
+    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), repeats(h)).otherwise(0))
+    return F.when(F.size(w) > window, counted).otherwise(0)
 
 
 def document_counts(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     """`docs` as the struct `row`, with COUNTS and n_lines, the lines with a word."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("t")).withColumn("w", words(F.col("t")))
-    d = d.withColumn("n", F.size("w")).withColumn("l", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")))
-    marks = lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(window)])
-    none = F.array().cast("array<bigint>")
-    d = d.withColumn("h", F.when(F.col("n") > window, F.transform(F.sequence(F.lit(0), F.col("n") - window), marks)).otherwise(none))
-    # most texts repeat no window, which the distinct hashes show without sorting
-    d = d.withColumn("again", F.size(F.array_distinct("h")) < F.size("h"))
-    pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    d = d.withColumn("p", F.when(F.col("again"), pairs))
-    same = lambda a, b: F.get(F.col("p"), a)["h"] == F.get(F.col("p"), b)["h"]
-    last = F.size("p") - 1
-    found = F.filter(F.sequence(F.lit(0), last), lambda k: ((k > 0) & same(F.greatest(k - 1, F.lit(0)), k)) | ((k < last) & same(k, F.least(k + 1, last))))
-    d = d.withColumn("s", F.when(F.col("again"), F.sort_array(F.transform(found, lambda k: F.get(F.col("p"), k)["i"]))))
-    reach = lambda k: F.when(k < F.size("s") - 1, F.least(F.lit(window), F.get(F.col("s"), k + 1) - F.get(F.col("s"), k))).otherwise(F.lit(window))
-    covered = F.when(F.col("again"), F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), F.lit(0), lambda acc, k: acc + reach(k))).otherwise(0)
-    return d.select(
-        "row",
-        F.col("n").cast("bigint").alias("n_words"),
-        F.char_length(F.concat_ws("", "w")).cast("bigint").alias("word_chars"),
-        (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        covered.cast("bigint").alias("n_repeat_words"),
-        F.size("l").cast("bigint").alias("n_lines"),
-    )
+
+    def counts(t: Column) -> Column:
+        lines = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+        by_word = let(words(t), lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.concat_ws("", w)).alias("c"), _covered(w, window).alias("r")))
+        symbols = F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, ""))
+        return F.struct(by_word.alias("w"), lines.alias("l"), symbols.alias("s"))
+
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), let(F.coalesce(F.col(text), F.lit("")), counts).alias("c"))
+    found = dict(zip((*COUNTS, "n_lines"), ("c.w.n", "c.w.c", "c.s", "c.l.d", "c.w.r", "c.l.n"), strict=True))
+    return d.select("row", *[F.col(v).cast("bigint").alias(k) for k, v in found.items()])
 
 
 def failures(rules: QualityRules) -> dict[str, Column]:
@@ -175,7 +183,7 @@ g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, sum(least(5, coalesce(nx - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM r) GROUP BY doc_id),
 s AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-  (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 f AS (SELECT *, n_words < 10 AS f1, n_repeat_words * 100 > n_words * 20 AS f2, n_symbols * 100 > n_words * 10 AS f3,
   n_dup_lines * 100 > n_lines * 30 AS f4, (word_chars < n_words * 3 OR word_chars > n_words * 12) AS f5 FROM s),

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged
+from .common import BROADCAST_ROWS, let, staged
 
 #: Of the 64-bit linear congruential generator of the published algorithm.
 LCG_MULTIPLIER = 2862933555777941757
@@ -29,7 +29,7 @@ def _and(x: Column, mask: int) -> Column:
     return x.bitwiseAND(F.lit(mask).cast("bigint"))
 
 
-def _step(hi: Column, lo: Column) -> tuple[Column, Column]:
+def _step(hi: Column, lo: Column) -> Column:
     """key * multiplier + 1 modulo 2**64 in halves of 32 bits, without overflow."""
     part = lambda x: (_and(x, _MASK16), F.shiftright(x, 16))
     (l0, l1), (h0, h1) = part(lo), part(hi)
@@ -38,7 +38,7 @@ def _step(hi: Column, lo: Column) -> tuple[Column, Column]:
     low = F.shiftleft(_and(second, _MASK16), 16).bitwiseOR(_and(first, _MASK16))
     from_high = _and(h0 * F.lit(_LOW) + F.shiftleft(_and(h1 * F.lit(_LOW), _MASK16), 16), _MASK32)
     high = _and(F.shiftright(second, 16) + _and(lo * F.lit(_HIGH), _MASK32) + from_high, _MASK32)
-    return high, low
+    return F.struct(high.alias("hi"), low.alias("lo"))
 
 
 def jump_hash(key: Column, shards: int, more: int = 0) -> Column:
@@ -55,13 +55,13 @@ def jump_hash(key: Column, shards: int, more: int = 0) -> Column:
     )
 
     def walk(s: Column, _: Column) -> Column:
-        hi, lo = _step(s["hi"], s["lo"])
-        drawn = F.floor((s["j"] + 1).cast("double") * (F.lit(2147483648.0) / (F.shiftright(hi, 1) + 1).cast("double")))
-        on = F.struct(drawn.alias("j"), F.when(s["j"] < shards, s["j"]).otherwise(s["shard"]).alias("shard"), s["j"].alias("grown"), hi.alias("hi"), lo.alias("lo"))
-        return F.when(s["j"] < total, on).otherwise(s)
+        return F.when(s["j"] < total, let(_step(s["hi"], s["lo"]), lambda k: on(s, k["hi"], k["lo"]))).otherwise(s)
 
+    def on(s: Column, hi: Column, lo: Column) -> Column:
+        drawn = F.floor((s["j"] + 1).cast("double") * (F.lit(2147483648.0) / (F.shiftright(hi, 1) + 1).cast("double")))
+        return F.struct(drawn.alias("j"), F.when(s["j"] < shards, s["j"]).otherwise(s["shard"]).alias("shard"), s["j"].alias("grown"), hi.alias("hi"), lo.alias("lo"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(total)), start, walk)
-    return F.transform(F.array(end), lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))[0]
+    return let(end, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24) -> DataFrame:
