@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding, tiff
+from . import chat, mixing, near_join, packing, quality, sharding, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_chat_formatting, op6_mixing, op7_sharding, op8_packing, op10_media_tiff)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_chat_formatting, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff)}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op4_chat_formatting": chat.ORACLE}
