@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_join, packing, quality, sharding, tiff
+from . import chat, html, mixing, near_join, packing, quality, sharding, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_chat_formatting, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_quality_rules, op4_chat_formatting, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff)}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op4_chat_formatting": chat.ORACLE}
