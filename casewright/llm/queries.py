@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, near_join, packing, quality, sharding, tiff
+import corpus_pipeline
+
+from . import chat, html, licenses, mixing, near_join, packing, pii, quality, sharding, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -30,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +56,5 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_quality_rules, op4_chat_formatting, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_quality_rules, op4_chat_formatting, op5_pii, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff)}
 ORACLES = {"op3_quality_rules": quality.ORACLE, "op4_chat_formatting": chat.ORACLE}
