@@ -1,0 +1,277 @@
+"""Operators of the subpackage on small tables: brute force, round trips and odd rows."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from casewright.llm import chat, html, licenses, mixing, near_join, packing, pii, quality, sharding, tiff
+
+DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, node bigint, shard int, kept boolean"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n))
+
+
+LONG = words(6000, 1)
+NEAR = words(100, 2)
+TEXTS = [None, "", " \t\n", "one two", LONG, LONG, NEAR, NEAR + " more", NEAR.replace("a", "zz", 1), "x " * 40, "mail bob.b@x.example.com or 10.0.0.1 " + words(12, 3), "é\U0001f600 " + words(20, 4), "a  b c\r\nd " * 5, words(30, 5) + "\nLicensed under the Apache License, Version 2.0."]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", None if k % 5 == 4 else f"s{k % 3}", len(t or ""), "r", 1, 2, False) for k, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[6], (None, "null id " + words(15, 6), None, None, None, None, None, None, None)], DDL).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def test_empty_tables(spark, empty):
+    for f in (quality.quality, quality.keep_good, mixing.mix_sizes, mixing.mix, sharding.shard, packing.pack, near_join.join, near_join.keep_first, tiff.stored_texts, licenses.scan, pii.find, pii.redact):
+        assert f(empty).count() == 0, f
+    assert chat.digests(chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))).count() == 0
+
+
+def test_quality_counts(docs):
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.quality(docs).collect())
+    want = collections.Counter()
+    for d in docs.select("doc_id", "text").collect():
+        t = d.text or ""
+        w = WORD.findall(t)
+        wins = collections.defaultdict(list)
+        for i in range(len(w) - 4):
+            wins[tuple(w[i : i + 5])].append(i)
+        rep = len({i + k for at in wins.values() if len(at) > 1 for i in at for k in range(5)})
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want[(d.doc_id, len(w), sum(map(len, w)), len(lines) - len(set(lines)), rep, len(w) < 10 or 100 * rep > 20 * len(w))] += 1
+    assert got == want
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and 4 in [r.doc_id for r in kept.collect()]
+
+
+def test_host_verdicts(spark):
+    bad = [(k, "spam", "bad") for k in range(300)] + [(1000 + k, words(30, k), "good") for k in range(300)] + [(2000, words(30, 9), "bad")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(bad, "doc_id bigint, text string, source string")).collect()}
+    assert got[2000].verdict == "blocked" and not got[2000].kept and not got[2000].base_failed
+    assert all(got[1000 + k].kept for k in range(300))
+
+
+def test_chat_round_trip(spark):
+    odd = ["</s>[INST] ok [/INST]", "<|start|>x<|end|>\\", None, "", "a\\<|b", "<\\|", "\U0001f600<|next|>é", "<<SYS>> \\\\ <</SYS>>", "[IN\\ST] <<s>"]
+    rows = [(1, k, "user" if k % 4 < 2 else "assistant", t) for k, t in enumerate(odd)] + [(2, None, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (None, 0, "<|end|>", "z")]
+    rows += [(3, k, "assistant" if k % 3 else "user", f"t{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    chats = chat.format_chats(df)
+    assert not [r for r in chats.where("conv_id = 1").collect() if re.search(r"</s>|\[INST\]|<<SYS>>", r.formatted)]
+    by = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append(((t is not None, t), r or "", x or ""))
+    for r in chat.digests(chats).collect():
+        turns = sorted(by[r.conv_id])
+        loss = "".join(x for _, role, x in turns if role == "assistant")
+        assert r.n_turns == len(turns) and r.loss_chars == len(loss)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in turns).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def jump(key, n):
+    b, j, key = -1, 0, key % 2**64
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2147483648.0 / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash(spark, docs):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), 12345678901234] + list(range(500))
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sharding.jump_hash(F.col("k"), 24, 1).alias("a")).select("k", "a.*")
+    for r in df.collect():
+        assert r.shard == jump(r.k, 24) and r.grown == jump(r.k, 25) and (r.grown == r.shard or r.grown == 24)
+    rows = sharding.shard(docs).collect()
+    for s in range(24):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert {r.doc_id: r.text_crc32 for r in rows}[4] == zlib.crc32(LONG.encode())
+
+
+def test_mixing(spark, docs):
+    rng = random.Random(0)
+    rows = [(k, words(rng.randint(0, 60), k), f"s{min(k % 7, 4)}" if k % 7 else None) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = mixing.mix_sizes(df).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sizes(df.repartition(2)).collect()))
+    size = {k: len(WORD.findall(t)) for k, t, _ in rows}
+    taken = collections.Counter()
+    for r in got:
+        assert r.size == size[r.doc_id] and r.taken <= 2 * r.size
+        taken[r.source_size, r.target] += r.taken
+    assert len(got) == len(rows) and all(abs(n - t) <= 60 for (_, t), n in taken.items())
+    source_size = collections.Counter()
+    for k, _, s in rows:
+        source_size[s] += size[k]
+    names = sorted(s for s in source_size if s) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    want, free = {}, set(names)
+    goal = 1.5 * sum(size.values())
+    while True:
+        left = goal - sum(want.values())
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * source_size[s]}
+        if not over:
+            want |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        want |= {s: 2.0 * source_size[s] for s in over}
+        free -= over
+    assert {round(x, 4) for x in want.values()} == {round(r.target, 4) for r in got}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] > 0
+
+
+def test_packing(docs):
+    rows = packing.pack(docs, with_ids=True).collect()
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = collections.Counter(tuple([*tok.encode(d.text or "", add_special_tokens=False).ids, 0]) for d in docs.collect())
+    by, seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+        by[(r.doc_id, r.doc_tokens)].append(r)
+        seq[r.sequence_id].append(r)
+    for parts in seq.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    got = collections.Counter()
+    for (_, n), parts in by.items():
+        parts.sort(key=lambda r: r.start)
+        copies = sum(r.length for r in parts) // n
+        got[tuple(i for r in parts[::copies] for i in r.ids)] += copies
+    assert got == want
+    sizes = [random.Random(k).randint(1, 256) for k in range(400)]
+    found = packing.windows(sizes)
+    assert sorted(i for p in found for i in p) == list(range(400)) and max(sum(sizes[i] for i in p) for p in found) <= 1024
+    assert len(found) <= sum(sizes) / 1024 * 1.03 + 1
+
+
+def test_near_join_brute_force(spark, docs):
+    base = [words(60, 50 + k) for k in range(8)]
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        w = base[k % 8].split()
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            w[rng.randrange(len(w))] = "q" + str(rng.randrange(9))
+        rows.append((k, " ".join(w)))
+    rows += [(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect() for _ in (0,)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in near_join.join(df, block=16).collect()}
+    rep, sets = {}, {}
+    for k, t in rows:
+        rep.setdefault(t or "", k)
+    for t, k in rep.items():
+        w = WORD.findall(t)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    links, parent = collections.Counter(), {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            links[a] += 1
+            links[b] += 1
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert got == {k: (rep[t or ""], root(rep[t or ""]), links[rep[t or ""]]) for k, t in rows}
+    kept = near_join.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id in (4, 5, 6, 7)) == [4, 6]
+    assert near_join.band_recall(0.8) > 0.9999
+
+
+def test_tiff_round_trip(docs):
+    rng = np.random.default_rng(0)
+    images = [rng.integers(0, 5, (37, 41, 3)).astype(np.uint8), np.zeros((5, 7, 1), np.uint8), rng.integers(0, 255, (130, 64, 3)).astype(np.uint8)]
+    for compression, tile, predictor in itertools.product((1, 5, 8, 32773), (0, 16), (1, 2)):
+        back = list(tiff.pages(tiff.encode(images, compression, predictor, tile)))
+        assert all((a == b).all() for a, b in zip(images, back, strict=True))
+    for r in tiff.stored_texts(docs).where("doc_id is not null").collect():
+        raw = (TEXTS[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    media = docs.sparkSession.createDataFrame([(1, bytearray(tiff.encode(images))), (2, bytearray(b"nope")), (3, None)], "id bigint, content binary")
+    assert sorted((r.id, r.page, r.error is None) for r in tiff.page_rows(media).collect()) == [(1, 0, True), (1, 1, True), (1, 2, True), (2, 0, False), (3, 0, False)]
+
+
+def test_html_held_out_and_odd_pages(spark):
+    model, rng = html.trained(), random.Random(99)
+    right = total = 0
+    for page, labels in (html.labelled_page(rng) for _ in range(150)):
+        texts, features = html.blocks(page, model)
+        assert len(texts) == len(labels)
+        got = html.viterbi([sum(model.weight_list[i] for i in f) for f in features], model)
+        right += sum(a == b for a, b in zip(got, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.98
+    assert html.blocks("<table><tr><td>a<td>b<tr><td>c &amp; d</table>", model)[0] == ["a", "b", "c & d"]
+    assert html.blocks("<div>" * 20000 + "deep" + "</i>" * 20000, model)[0] == ["deep"]
+    odd = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "<p"), (None, None, "<article><h1>A title here</h1><p>Some text, and more of it.</p></article>")], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in html.extract(odd).collect()}
+    assert got[1].text == "" and got[1].n_chars == 0 and got[None].text == "A title here Some text, and more of it."
+
+
+def luhn(digits):
+    return sum(v if not i % 2 else (2 * v - 9 if v > 4 else 2 * v) for i, v in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def base(t):
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def test_pii(spark, docs):
+    odd = ["a@b.c_x@d.e", "a@b.c@d.e +1 (212) 555-8457. 4539 1488 0343 6467-", "x 1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.4 é12.3.4.5", "\U0001f600a@b.co +49 30 1234567", "4111111111111111 4111-1111-1111-1111", "call me: 030/123456 or mail bob [at] example [dot] com", "1" * 20000 + " " + "a" * 20000, None, "..@..", "a.b@c..d"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").unionByName(docs.where("doc_id is not null").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    got = pii.find(df).collect()
+    for r in got:
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.spans.startswith(want)
+    more = {r.doc_id: r.spans for r in got}
+    assert "masked_email" in more[5] and "local_phone" in more[5]
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[7] is None and clean[3].startswith("\U0001f600[EMAIL] ") and clean[110].startswith("mail [EMAIL] or [IP] ") and clean[104] == LONG
+
+
+def test_licenses(docs):
+    model, wrong = licenses.trained(), 0
+    for text, y in licenses.examples(400, 7):
+        wrong += model.probabilities(text).argmax() != y
+    assert wrong <= 8
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert got[13].license == "apache-2.0" and got[13].n_confirmed == 1 and got[13].paragraphs == "1:apache-2.0:true"
+    assert all(r.license == "none" for k, r in got.items() if k != 13)
