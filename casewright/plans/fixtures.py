@@ -13,6 +13,11 @@ TAXONOMY = [
 CONFLICTS = [("X60-X84", "0102"), ("X60-X84", "0206"), ("0801", "1205")]
 GROUPS = [("0801", "shelter", 1), ("Z59.0", "shelter", 0)]
 PREFERS = [("1205", "0801"), ("1005", "0206")]
+#: prefix, priority, scope, has, also, valid, mult, reason
+RULES = [
+    ("F", 1, "window", ["not ", "never"], [], False, 0.3, "denied"), ("F", 2, "window", ["clown", "idiot"], ["you", "are"], True, 0.9, "together"), ("X60-X84", 1, "text", ["worthless"], ["trash"], True, 1.0, "both in text"), ("X60-X84", 2, "window", [], [], False, 0.25, "alone"),
+    ("08", 1, "window", [" the"], [], True, 0.85, "category"), ("0801", 2, "text", ["which"], [], False, 0.4, "own code"), ("12", 1, "window", ["zzzz"], [], False, 0.1, "never seen"), ("02", 1, "window", ["password"], [":", "="], True, 0.88, "secret"), ("02", 2, "text", [], [], False, 0.3, "otherwise"),
+]
 TOOLS = [("mood scale", ["low mood", "worthless"]), ("home visit", ["shelter", "public housing"]), ("budget sheet", ["money", "open debts", "token"])]
 
 
@@ -21,7 +26,11 @@ def values(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def _q(v) -> str:
-    return "[" + ", ".join(map(_q, v)) + "]" if isinstance(v, list) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
+    if v == []:
+        return "[]::VARCHAR[]"
+    return "[" + ", ".join(map(_q, v)) + "]" if isinstance(v, list) else str(v).lower() if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
 def _rows(rows: list[tuple]) -> str:
@@ -35,6 +44,7 @@ def frame(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
 
 TAXONOMY_SQL = f"(SELECT * FROM (VALUES {_rows(TAXONOMY)}) t(code, name, category, severity, keywords))"
 CONFLICTS_SQL, GROUPS_SQL, PREFERS_SQL = (f"(SELECT * FROM (VALUES {_rows(r)}) t({n}))" for r, n in ((CONFLICTS, "code, other"), (GROUPS, "code, grp, preferred"), (PREFERS, "generic, specific")))
+RULES_SQL = f"(SELECT * FROM (VALUES {_rows(RULES)}) t(prefix, priority, scope, has, also, valid, mult, reason))"
 TOOLS_SQL = f"(SELECT * FROM (VALUES {_rows(TOOLS)}) t(tool, uses))"
 
 
@@ -44,3 +54,7 @@ def taxonomy(spark: SparkSession) -> DataFrame:
 
 def cases(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("case_id"), "text")
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, "prefix string, priority int, scope string, has array<string>, also array<string>, valid boolean, mult double, reason string")
