@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.operators import gates
+
 #: code, name, category, severity, keywords
 TAXONOMY = [
     ("X60-X84", "self harm", "X", 5, ["worthless", "trash"]), ("F32", "low mood", "F", 4, ["clown", "idiot", "worthless"]), ("0102", "public housing", "01", 3, ["licensed under", "public license", "released"]), ("0206", "open debts", "02", 3, ["password", "token"]),
@@ -18,6 +20,7 @@ RULES = [
     ("F", 1, "window", ["not ", "never"], [], False, 0.3, "denied"), ("F", 2, "window", ["clown", "idiot"], ["you", "are"], True, 0.9, "together"), ("X60-X84", 1, "text", ["worthless"], ["trash"], True, 1.0, "both in text"), ("X60-X84", 2, "window", [], [], False, 0.25, "alone"),
     ("08", 1, "window", [" the"], [], True, 0.85, "category"), ("0801", 2, "text", ["which"], [], False, 0.4, "own code"), ("12", 1, "window", ["zzzz"], [], False, 0.1, "never seen"), ("02", 1, "window", ["password"], [":", "="], True, 0.88, "secret"), ("02", 2, "text", [], [], False, 0.3, "otherwise"),
 ]
+MARKERS = gates.Markers(clause=[",", ";", " but "], negation=["not ", "nicht ", "pas ", "ne "], exceptions=["only"], own=[" i ", " ich ", " je "], other=[" he ", " er ", " il "], reported=[" said ", " released", "licensed"])
 TOOLS = [("mood scale", ["low mood", "worthless"]), ("home visit", ["shelter", "public housing"]), ("budget sheet", ["money", "open debts", "token"])]
 
 

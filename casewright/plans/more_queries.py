@@ -1,15 +1,15 @@
-"""Queries of chunking, context rules, verdicts, agreement, resampling and experiments, each beside its DuckDB twin."""
+"""Queries of chunking, context rules, gates, verdicts, agreement, resampling and experiments, each beside its DuckDB twin."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from casewright.functions import windows as W
-from casewright.operators import agreement, chunking, detection, experiments, resampling, rules
+from casewright.operators import agreement, chunking, detection, experiments, gates, resampling, retrieval, rules, service
 from casewright.tables import table
 
 from . import fixtures as X
-from .queries import _FOUND, _found, query
+from .queries import _BM25, _FOUND, _asked, _found, _top, query
 
 # --- chunks, windows, evidence ---
 
@@ -170,3 +170,37 @@ def paired_arms(spark, d):
 @query("""WITH c AS (SELECT event_type, user_id, count(DISTINCT value > 50) AS a, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 2) SELECT event_type, count(*) AS cases, round(avg((a = 1)::INT), 6) AS stable FROM c GROUP BY 1""")
 def repeat_stability(spark, d):
     return experiments.stability(table(spark, d, "events").withColumn("answer", F.col("value") > 50), ["event_type"], "user_id", "answer", 2)
+
+
+# --- gates, relevance, service ---
+
+_M, _ANY = X.MARKERS, gates.any_of
+_GATES = f"""{_FOUND}, wd AS (SELECT *, greatest(20, least(32, floor(length(text) * 0.15)::INT)) AS wd FROM fd), kk AS (SELECT case_id, code, text, wd, unnest(matched) AS k FROM wd), pp AS (SELECT *, strpos(text, lower(k)) AS p FROM kk),
+sp AS (SELECT case_id, code, regexp_extract(regexp_replace(substring(text, greatest(1, p - wd), least(wd, p - 1)), '(?s)^.*{_ANY(_M.clause)}', ''), '(?s)^.*({_ANY(_M.negation)}.*)$', 1) AS span FROM pp),
+ng AS (SELECT case_id, code, count(*) FILTER (span <> '' AND NOT regexp_matches(span, '{_ANY(_M.exceptions)}'))::DOUBLE / count(*) AS share FROM sp GROUP BY ALL),
+gt AS (SELECT fd.case_id, fd.code, round(greatest(0.1, least(1.0, 1 - 0.6::DOUBLE * share)), 4) AS gate_neg, round(least(1.0, log10(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) / 10.0::DOUBLE + 1) + 0.5), 4) AS gate_len,
+CASE WHEN severity < 3 OR regexp_matches(text, '{_ANY(_M.own)}') THEN 1.0 WHEN regexp_matches(text, '{_ANY(_M.reported)}') THEN 0.7 WHEN regexp_matches(text, '{_ANY(_M.other)}') THEN 0.85 ELSE 1.0 END::DOUBLE AS gate_sub FROM fd JOIN ng USING (case_id, code))"""
+
+
+@query(f"WITH {_GATES} SELECT *, round(gate_neg * gate_len * gate_sub, 4) AS gate_total FROM gt")
+def polarity_gates(spark, d):
+    m = detection.keyword_matches(X.cases(table(spark, d, "documents")), X.taxonomy(spark))
+    return gates.polarity(m, X.MARKERS).select("case_id", "code", "gate_neg", "gate_len", "gate_sub", "gate_total")
+
+
+@query(f"""WITH {_BM25}, tk AS ({_top('hits', 10)}), tg AS {X.TAXONOMY_SQL}, nn AS (SELECT tk.query_id, tk.doc_id, tg.severity, len(list_filter(tg.keywords, lambda k: contains(lower(coalesce(dd.text, '')), lower(k)))) AS n FROM tk JOIN documents dd ON dd.doc_id = tk.doc_id, tg),
+g AS (SELECT query_id, doc_id, sum(CASE WHEN n >= 2 THEN 1 WHEN n = 1 AND severity >= 3 THEN 0.5 ELSE 0 END) AS c, max(CASE WHEN n >= 2 OR (n = 1 AND severity >= 3) THEN severity END) AS s, max(CASE WHEN n >= 2 THEN n END) AS m FROM nn GROUP BY ALL)
+SELECT query_id AS case_id, doc_id, CASE WHEN c >= 2 OR (m >= 3 AND s >= 3) THEN 2 WHEN c >= 1 THEN 1 ELSE 0 END AS grade FROM g""")
+def graded_relevance(spark, d):
+    docs, asked = table(spark, d, "documents"), _asked(spark, d)
+    hits = retrieval.bm25(docs, asked, 10).select(F.col("query_id").alias("case_id"), "doc_id")
+    expected = asked.select(F.col("query_id").alias("case_id")).join(F.broadcast(X.taxonomy(spark).select("severity", "keywords")))
+    return service.graded(hits, docs, expected)
+
+
+@query(f"""WITH {_FOUND}, dc AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 2 = 0 THEN '0801' ELSE 'F32' END AS code, CASE WHEN doc_id % 3 = 0 THEN 'excluded' WHEN doc_id % 3 = 1 THEN 'accepted' ELSE 'review' END AS decision FROM labels),
+u AS (SELECT case_id, code, 'found' AS state FROM fd UNION ALL SELECT case_id, code, decision FROM dc WHERE decision <> 'excluded') SELECT case_id, code, min(state) AS state FROM u ANTI JOIN (SELECT case_id, code FROM dc WHERE decision = 'excluded') x USING (case_id, code) GROUP BY ALL""")
+def finalized_codes(spark, d):
+    i = F.col("doc_id")
+    made = table(spark, d, "labels").select(i.alias("case_id"), F.when(i % 2 == 0, "0801").otherwise("F32").alias("code"), F.when(i % 3 == 0, "excluded").when(i % 3 == 1, "accepted").otherwise("review").alias("decision"))
+    return service.finalized(_found(spark, d), made, X.taxonomy(spark))[0]

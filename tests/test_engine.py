@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from casewright.functions import scoring as S
 from casewright.functions import text as T
 from casewright.functions import windows as W
-from casewright.operators import agreement, chunking, experiments, metrics, resampling, rules, scoring, statistics
+from casewright.operators import agreement, chunking, experiments, gates, metrics, resampling, rules, scoring, service, statistics
+from casewright.plans import fixtures as X
 from casewright.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,7 +30,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "metrics_at_k", "l1_confidence", "dedupe_codes", "problem_prior", "final_score", "query_expansion", "wilcoxon_w", "holm", "family_split", "set_metrics", "chunks", "keyword_windows", "evidence_sentences", "context_validity", "merged_verdicts", "friedman", "krippendorff_ordinal", "bootstrap_interval"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "metrics_at_k", "l1_confidence", "dedupe_codes", "problem_prior", "final_score", "query_expansion", "wilcoxon_w", "holm", "family_split", "set_metrics", "chunks", "keyword_windows", "evidence_sentences", "context_validity", "merged_verdicts", "friedman", "krippendorff_ordinal", "bootstrap_interval", "polarity_gates", "graded_relevance", "finalized_codes"])
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -133,3 +134,29 @@ def test_ranking_changes(spark):
     two = spark.createDataFrame([("c", "b", 1), ("c", "a", 2)], "case string, item string, rank int")
     got = {r.case: (r.same_set, r.same_order) for r in experiments.ranking_changes(one, two, "case", "item", 2).collect()}
     assert got == {"c": (True, False), "d": (False, False)}
+
+
+def test_gates_by_hand(spark):
+    m = gates.Markers(clause=[", "], negation=["not "], exceptions=["not only"], own=["i "], other=["he "], reported=["said"])
+    rows = [("i am not sad", 5), ("not here, he is sad", 5), ("he was not only sad", 2), ("it said sad", 3), ("", 5)]
+    df = spark.createDataFrame([(k, t, s, ["sad"] if t else []) for k, (t, s) in enumerate(rows)], "k int, text string, severity int, matched array<string>")
+    got = [(r.gate_neg, r.gate_sub) for r in gates.polarity(df, m).orderBy("k").collect()]
+    assert got == [(0.4, 1.0), (1.0, 0.85), (1.0, 1.0), (1.0, 0.7), (1.0, 1.0)]
+
+
+def test_analyze_whole_batch(spark):
+    cases = spark.createDataFrame([(1, "so i lost my password: token and not the idiot"), (2, None), (3, "nothing")], "case_id bigint, text string")
+    docs = spark.createDataFrame([(10, "password token rules"), (11, "other words here"), (12, None), (13, "more text"), (14, "yet more")], "doc_id bigint, text string")
+    out = service.analyze(cases, docs, X.taxonomy(spark), X.rules(spark), X.MARKERS)
+    assert {(r.case_id, r.code) for r in out["problems"].collect()} == {(1, "0206")}
+    assert {(r.case_id, r.code) for r in out["filtered"].collect()} == {(1, "F32")}
+    assert out["documents"].where("case_id = 1").orderBy("rank").first().doc_id == 10
+    assert {r.case_id: r.problems for r in out["summary"].collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_unknown_decisions(spark):
+    found = spark.createDataFrame([(1, "F32"), (1, "0801")], "case_id int, code string")
+    made = spark.createDataFrame([(1, "F32", "excluded"), (1, "F32", "accepted"), (1, "0206", "review"), (1, "nope", "accepted"), (1, "0801", None)], "case_id int, code string, decision string")
+    left, unknown = service.finalized(found, made, X.taxonomy(spark))
+    assert {tuple(r) for r in left.collect()} == {(1, "0801", "found"), (1, "0206", "review")}
+    assert {r.code for r in unknown.collect()} == {"nope", "0801"}
