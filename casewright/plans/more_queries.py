@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import windows as W
 from casewright.operators import agreement, chunking, detection, experiments, gates, resampling, retrieval, rules, service
+from casewright.streaming import live
 from casewright.tables import table
 
 from . import fixtures as X
@@ -204,3 +205,12 @@ def finalized_codes(spark, d):
     i = F.col("doc_id")
     made = table(spark, d, "labels").select(i.alias("case_id"), F.when(i % 2 == 0, "0801").otherwise("F32").alias("code"), F.when(i % 3 == 0, "excluded").when(i % 3 == 1, "accepted").otherwise("review").alias("decision"))
     return service.finalized(_found(spark, d), made, X.taxonomy(spark))[0]
+
+
+# --- streaming ---
+
+
+@query(f"WITH {_FOUND} SELECT case_id, code, confidence FROM fd WHERE confidence >= 0.25")
+def stream_detections(spark, d):
+    cases = X.cases(live.table_stream(spark, d, "documents"))
+    return live.drained(live.detected(cases, X.taxonomy(spark)).select("case_id", "code", "confidence"))
