@@ -160,3 +160,14 @@ def test_unknown_decisions(spark):
     left, unknown = service.finalized(found, made, X.taxonomy(spark))
     assert {tuple(r) for r in left.collect()} == {(1, "0801", "found"), (1, "0206", "review")}
     assert {r.code for r in unknown.collect()} == {"nope", "0801"}
+
+
+def test_experiments_by_hand(spark):
+    means = spark.createDataFrame([("full", 0.9), ("less", 0.7)], "arm string, v double")
+    assert tuple(experiments.contributions(means, "arm", "v", "full").first()) == ("less", 0.2)
+    one = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, None)], "k int, v double")
+    two = spark.createDataFrame([(1, 0.7), (2, 0.5), (3, 1.0)], "k int, v double")
+    assert tuple(experiments.score_distance(one, two, ["k"], "v").first()) == (2, 0.1, 0.2, 1)
+    rows = spark.createDataFrame([("m", 1, 1, 0, 0.6667, False), ("m", 1, 0, 0, 1.0, True)], "arm string, tp int, fp int, fn int, f1 double, exact boolean")
+    r = experiments.detector_aggregate(rows, ["arm"]).first()
+    assert (r.cases, r.micro_precision, r.micro_recall, r.micro_f1, r.exact_rate) == (2, 0.666667, 1.0, 0.8, 0.5)
