@@ -41,3 +41,59 @@ def leaks(rows: DataFrame, family: str, split: str) -> DataFrame:
 
 def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return rows.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(f"{column}_{v}") for v in values])
+
+
+def augmentation_type(case_id: Column, stated: Column | None = None) -> Column:
+    """How a case was made, by the marks in its id; else what it states, or `original`."""
+    kind = F.when(case_id.startswith("NEG_"), "polarity")
+    for mark, name in (("_PAR_", "paraphrase"), ("_ESC_", "complexity_escalation"), ("_SIM_", "complexity_reduction")):
+        kind = kind.when(case_id.contains(mark), name)
+    return kind.when(case_id.startswith("ADV_"), "adversarial").otherwise(F.coalesce(stated, F.lit("original")) if stated is not None else F.lit("original"))
+
+
+def case_faults(cases: DataFrame, problems: str = "problems", least: int = 90) -> DataFrame:
+    """fault, n: what a set of labelled cases (case_id, case_description, array of structs with code and severity) breaks."""
+    p = F.col(problems)
+    each = {
+        "missing case_id": F.coalesce(F.col("case_id") == "", F.lit(True)), "missing case_description": F.coalesce(F.col("case_description") == "", F.lit(True)), "empty problem_list": F.coalesce(F.size(p) <= 0, F.lit(True)),
+        "missing code": F.coalesce(F.exists(p, lambda x: F.coalesce(x["code"] == "", F.lit(True))), F.lit(False)), "missing severity": F.coalesce(F.exists(p, lambda x: x["severity"].isNull()), F.lit(False)),
+    }
+    one = cases.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in each.items()])
+    twice = cases.where("case_id <> ''").groupBy("case_id").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate case_id"))
+    names = [*each, "duplicate case_id", "too few cases"]
+    d = one.join(twice).withColumn("too few cases", F.greatest(F.lit(least) - F.col("n"), F.lit(0)))
+    rows = F.array(*[F.struct(F.lit(k).alias("fault"), F.col(f"`{k}`").cast("bigint").alias("n")) for k in names])
+    return d.select(F.explode(rows).alias("r")).select("r.*").where("n > 0")
+
+
+def complexity_variants(cases: DataFrame, complication: Column, added: str, problems: str = "problems") -> DataFrame:
+    """Harder forms of `simple` cases and easier ones of `complex` cases, with ids that say so.
+
+    Harder: severities one up to 5, `complication` after them if there are any,
+    and the text `added`. Easier: the first two problems, severities one down to
+    1, and the first three words of the text.
+    """
+    p = F.col(problems)
+    step = lambda by: F.transform(p, lambda x: x.withField("severity", F.least(F.lit(5), F.greatest(F.lit(1), F.coalesce(x["severity"], F.lit(1 if by > 0 else 3)) + by))))
+    keep = [c for c in cases.columns if c not in ("case_id", "complexity", "case_description", problems)]
+    harder = cases.where("complexity = 'simple'").select(*keep, F.concat("case_id", F.lit("_ESC_1")).alias("case_id"), F.lit("complex").alias("complexity"), F.concat(F.coalesce("case_description", F.lit("")), F.lit(added)).alias("case_description"), F.when(F.size(p) > 0, F.concat(step(1), F.array(complication))).otherwise(p).alias(problems))
+    easier = cases.where("complexity = 'complex'").select(*keep, F.concat("case_id", F.lit("_SIM_1")).alias("case_id"), F.lit("simple").alias("complexity"), F.array_join(F.slice(F.split("case_description", " "), 1, 3), " ").alias("case_description"), F.slice(step(-1), 1, 2).alias(problems))
+    return harder.unionByName(easier)
+
+
+def paraphrased(cases: DataFrame, synonyms: DataFrame, most: int = 2, seed: int = 42, text: str = "case_description") -> DataFrame:
+    """`cases` whose text has some of the words of `synonyms` (word, others), with the first place of up to `most` replaced.
+
+    Which words and which synonyms is decided by the case and the seed; words are
+    replaced in the drawn order, so a later one may meet an earlier synonym.
+    """
+    hit = cases.select("case_id", text).join(F.broadcast(synonyms.where("word <> '' AND size(others) > 0")), F.contains(F.col(text), F.col("word")))
+    key = F.md5(F.concat_ws(":", "case_id", "word", F.lit(str(seed))))
+    pick = F.element_at("others", (F.pmod(F.xxhash64(key), F.size("others")) + 1).cast("int"))
+    drawn = hit.select("case_id", F.struct(key.alias("d"), F.col("word").alias("w"), pick.alias("by")).alias("x")).groupBy("case_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, most).alias("_xs"))
+
+    def once(t: Column, x: Column) -> Column:
+        at = F.call_function("instr", t, x["w"])
+        return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), x["by"], F.substring(t, at + F.length(x["w"]), F.length(t)))).otherwise(t)
+
+    return cases.join(drawn, "case_id").withColumn(text, F.aggregate("_xs", F.col(text), once)).drop("_xs")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from casewright.functions.scoring import calibrated, clamp, heuristic_idf, keyword_share, sigmoid
 
+from . import retrieval
+
 MU, FLOOR = 2.0, 0.01
 WEIGHTS = {"detect": 0.35, "semantic": 0.30, "prior": 0.15, "specificity": 0.10, "negation": 0.10}
 
@@ -68,3 +70,26 @@ def adaptive_cut(scored: DataFrame, level: DataFrame, least: int = 5) -> DataFra
     d = d.withColumn("n_pass", F.sum(F.col("passes").cast("int")).over(w)).withColumn("n_all", F.count(F.lit(1)).over(w))
     few = (F.col("n_pass") < least) & (F.col("n_all") >= least)
     return d.where(F.when(few, F.col("rank") <= least).otherwise(F.col("passes"))).drop("passes", "n_pass", "n_all")
+
+
+def hop_queries(found: DataFrame, queries: DataFrame, hop: int, problems: int = 3, each: int = 2, most: int = 5) -> DataFrame:
+    """query_id and text of the query after a hop: names of the first problems after hop 1, keywords after hop 2.
+
+    Problems come by severity, then confidence. A query without problems, or
+    without what is to be added, has no next hop.
+    """
+    order = F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("s"), (-F.col("confidence")).alias("c"), "code", "name", "keywords")))
+    top = found.groupBy("case_id").agg(F.slice(order, 1, problems).alias("p")).withColumnRenamed("case_id", "query_id")
+    names = F.filter(F.transform("p", lambda x: x["name"]), lambda n: F.coalesce(n != "", F.lit(False)))
+    words = F.slice(F.flatten(F.transform("p", lambda x: F.slice(F.coalesce(x["keywords"], F.array().cast("array<string>")), 1, each))), 1, most)
+    more = names if hop == 1 else words
+    return queries.join(top, "query_id").where(F.size(more) > 0).select("query_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.array_join(more, " ")).alias("text"))
+
+
+def multihop(docs: DataFrame, queries: DataFrame, found: DataFrame, k: int = 10, hops: int = 3) -> DataFrame:
+    """query_id, doc_id, hop, rank: what each hop finds first; a document stays at its first hop."""
+    runs = [retrieval.bm25(docs, queries if h == 1 else hop_queries(found, queries, h - 1), k).withColumn("hop", F.lit(h)) for h in range(1, hops + 1)]
+    d = runs[0]
+    for r in runs[1:]:
+        d = d.unionByName(r)
+    return d.groupBy("query_id", "doc_id").agg(F.min(F.struct("hop", "rank")).alias("m")).select("query_id", "doc_id", "m.hop", "m.rank")
