@@ -167,12 +167,13 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules:
     """The documents that are kept, with the columns of `docs`.
 
     Counts are made twice, for the hosts and for the verdict; that costs less
-    than moving or storing all texts.
+    than moving or storing all texts. The verdict is filtered by as one value:
+    split into its parts, some would go below the join and count anew there.
     """
     counted = document_counts(docs, text, rules.window)
     at = F.col(f"row.`{host}`")
     verdicts = host_verdicts(counted, at, rules)
-    return judged(counted, verdicts, at, rules).where("kept").select("row.*")
+    return judged(counted, verdicts, at, rules).where(let(F.col("kept"), lambda kept: kept)).select("row.*")
 
 
 _RX = r"'[^\x20\x09-\x0D]+'"
