@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A whole attribute, from left to right: its name, and its value in quotes or bare.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content isn't text of the page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
@@ -67,7 +68,7 @@ def _own(model: Model, tag: str, attributes: str) -> tuple[list[int], bool]:
                 hidden = True
             elif kind == "aria-hidden":
                 hidden |= value == "true"
-            else:
+            elif kind in ("class", "id", "role"):
                 names += [f"{'role' if kind == 'role' else 'name'} {w}" for w in _WORD.findall(value)[:12]]
     return [i for i in map(model.id, names) if i is not None], hidden
 

@@ -275,3 +275,15 @@ def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert got[13].license == "apache-2.0" and got[13].n_confirmed == 1 and got[13].paragraphs == "1:apache-2.0:true"
     assert all(r.license == "none" for k, r in got.items() if k != 13)
+
+
+def test_html_attributes_are_matched_whole():
+    model = html.trained()
+    for attribute in ('href="/hidden-lake"', 'title="The hidden valley"', "data-slug='hidden-gems'", "data-hidden=1", "href=/a/hidden", 'data-x="a hidden b" lang=en', 'title="style=display:none"', "data-style='display:none'", 'title="aria-hidden=true"'):
+        assert html.blocks(f"<article {attribute}><p>one <a {attribute}>two</a></p></article>", model)[0] == ["one two"], attribute
+    for attribute in ("hidden", 'class="a" HIDDEN', "hidden=''", "aria-hidden = 'true'", "style='color: red; display: none'", "href='/x'hidden", 'title="a > b" hidden/'):
+        assert html.blocks(f"<p>one</p><div {attribute}>two</div>", model)[0] == ["one"], attribute
+    name = model.ids["name sidebar"]
+    of = lambda attribute: name in html._own(model, "div", attribute)[0]
+    assert of("class=sidebar") and of("title='x' ID = \"sidebar\"") and of('class="sidebar')
+    assert not of('href="?class=sidebar"') and not of("title='id=sidebar'") and not of("data-class=sidebar") and not of("data-id='sidebar'")
