@@ -287,3 +287,20 @@ def test_html_attributes_are_matched_whole():
     of = lambda attribute: name in html._own(model, "div", attribute)[0]
     assert of("class=sidebar") and of("title='x' ID = \"sidebar\"") and of('class="sidebar')
     assert not of('href="?class=sidebar"') and not of("title='id=sidebar'") and not of("data-class=sidebar") and not of("data-id='sidebar'")
+
+
+def test_packing_special_token(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.token_to_id(packing.SPECIAL) == packing.SPECIAL_ID
+    end, encode = packing.SPECIAL, packing.Encoder()
+    texts = [f"a {end} b", end, end + end, f"{end}start", f"end{end}", f"a  {end}  b", f"a\n\n{end}\n\n b ", f" {end} ", f"\t{end}\r\n{end}  ", f"it{end}'s", "<|endoftext|", "<|ENDOFTEXT|>", f"<|{end}|>", f"é{end}\U0001f600 12{end}34"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices(["a", " ", "  ", "\n", end, "'s", "9", "é", "<|", ".", "　"], k=20)) for _ in range(300)]
+    for text in texts:
+        assert encode(text).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0], text
+    (row,) = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string")).collect()
+    assert row.doc_tokens == 5 and row.ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes())
