@@ -5,8 +5,10 @@ training texts hold are the features of a multinomial logistic regression over
 licence families and `none`; it is sparse, as training drives most weights to
 zero (an L1 penalty). Probabilities are calibrated by a temperature on held-out
 texts; a paragraph whose best family stays below the calibrated limit is
-`unknown` if it is unlikely to be none. A family is confirmed if enough of the
-three-word n-grams of one of its templates, or of the paragraph, are shared.
+`unknown` if it is unlikely to be none. A family is confirmed if half of the
+three-word n-grams of one of its templates, or half of those of the paragraph
+and LEAST at least, are shared. Rights that are reserved in the short form alone
+give way to any other confirmed notice of the document.
 
 Weights lie in arrays by a hash of the n-gram, with a fingerprint beside them,
 so a look-up takes constant time in a plain expression: no join, no shuffle, no
@@ -55,10 +57,12 @@ TEMPLATES = {
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     ],
     "agpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -69,13 +73,14 @@ TEMPLATES = {
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Licensed under the Mozilla Public License, version 2.0.",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "Licensed under the ISC License."],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Published under CC BY 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0)."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission of the copyright holder.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
+    "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0).", "Released into the public domain."],
+    "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission of the copyright holder.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.", "All rights reserved.", "Proprietary and confidential."],
 }
 # Words of notices that no family is to be told from.
 LOOSE = [
@@ -90,6 +95,10 @@ NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [NONE, *TEMPLATES, UNKNOWN]
 MOST, SLOTS = 3, 1 << 13
 CONFIRMED = 0.5
+#: Three-word n-grams that a part of a notice shares with its template at least.
+LEAST = 5
+# Fixed value: the notice that says least; others of the same document go before it.
+RESERVED = "All rights reserved."
 #: Words too common to be a feature by themselves, or to begin a look-up.
 COMMON = frozenset("0 1 2 3 4 5 6 7 8 9 a all an and any are art as at bar be by can either eye from for found from had has he his http if in into is it its later lie may met mind mit new no not of on one only open or org part people person that the their they this to via was way with without work you".split())
 _SPLIT = "[^a-z0-9]+"
@@ -129,6 +138,21 @@ class Licenses:
         return z / z.sum()
 
 
+def _cut(rng: random.Random, words: list[str], y: int) -> tuple[list[str], int]:
+    """A part of a notice, and its label: unknown if other families' notices hold it too.
+
+    Parts with hardly anything of their own are nobody's, and aren't made.
+    """
+    others = {g for f, ts in TEMPLATES.items() if f != FAMILIES[y] for t in ts for g in grams(tokens(t))}
+    while True:
+        n = rng.randint(LEAST + 2, len(words) - 1)
+        at = rng.choice((0, len(words) - n, rng.randint(0, len(words) - n)))
+        part = words[at : at + n]
+        own = len(set(grams(tokens(" ".join(part)))) - others)
+        if own == 0 or own > LEAST:
+            return part, y if own else FAMILIES.index(UNKNOWN)
+
+
 def examples(count: int, seed: int) -> list[tuple[str, int]]:
     """Made paragraphs: notices with words changed, cut or wrapped in others; and others."""
     rng = random.Random(seed)
@@ -140,11 +164,16 @@ def examples(count: int, seed: int) -> list[tuple[str, int]]:
         if y == 0:
             words = rng.choice(OTHERS).split() if rng.random() < 0.7 else filler(rng.randint(1, 40)).split()
         else:
-            words = rng.choice(LOOSE if FAMILIES[y] == UNKNOWN else TEMPLATES[FAMILIES[y]]).split()
-            for _ in range(rng.choice((0, 0, 1, 2))):
-                i = rng.randrange(len(words))
-                if len(words) > 12:
-                    words[i] = filler(1)
+            notices = LOOSE if FAMILIES[y] == UNKNOWN else TEMPLATES[FAMILIES[y]]
+            words = rng.choice(notices).split()
+            long = [t for t in notices if len(t.split()) > 12] if FAMILIES[y] != UNKNOWN else []
+            if long and rng.random() < 0.4:
+                words, y = _cut(rng, rng.choice(long).split(), y)
+            else:
+                for _ in range(rng.choice((0, 0, 1, 2))):
+                    i = rng.randrange(len(words))
+                    if len(words) > 12:
+                        words[i] = filler(1)
         text = " ".join(words)
         if rng.random() < 0.4:
             text = f"{filler(rng.randint(1, 8))} {text}"
@@ -217,6 +246,12 @@ def _matrix(rows: list[tuple[str, int]], seen: dict[str, int]) -> np.ndarray:
     return x
 
 
+def _shape(template: str) -> list[str]:
+    """The three-word n-grams of a template, or all its words if it has fewer."""
+    t = tokens(template)
+    return sorted({" ".join(t[i : i + 3]) for i in range(len(t) - 2)} or {" ".join(t)})
+
+
 def _literal(values: list, kind: str) -> Column:
     """A constant array; the parser is run once, when the plan is optimized."""
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
@@ -227,11 +262,11 @@ def anchor_pattern(model: Licenses) -> str:
 
 
 def paragraphs(text: Column, model: Licenses) -> Column:
-    """Of the lines with features: line (from 0), family, probability, confirmed."""
+    """Of the lines with features: line (from 0), family, probability, confirmed, reserved."""
     k = len(FAMILIES)
     weights = [_literal([round(float(v), 6) for v in model.weights[:, j]], "double") for j in range(k)]
     prints = _literal(model.prints.tolist(), "bigint")
-    shapes = {f: [sorted({" ".join(t[i : i + 3]) for i in range(len(t) - 2)} or {" ".join(t)}) for t in map(tokens, TEMPLATES[f])] for f in TEMPLATES}
+    shapes = {f: {t: _shape(t) for t in TEMPLATES[f]} for f in TEMPLATES}
     common = _literal(sorted(COMMON), "string")
 
     def grams_of(words: Column) -> Column:
@@ -253,19 +288,25 @@ def paragraphs(text: Column, model: Licenses) -> Column:
         name = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), best)
         sure = F.element_at(p, best)
         family = F.when((name != NONE) & (name != UNKNOWN) & (sure < model.limit), F.when(F.element_at(p, 1) < 0.5, UNKNOWN).otherwise(NONE)).otherwise(name)
-        return F.struct(family.alias("family"), F.round(sure, 6).alias("probability"), confirmed(words, family).alias("confirmed"))
+        return let(family, lambda f: let(confirmed(words, f), lambda how: F.struct(f.alias("family"), F.round(sure, 6).alias("probability"), (how > 0).alias("confirmed"), (how == 1).alias("reserved"))))
 
     def confirmed(words: Column, family: Column) -> Column:
+        """0 if no template confirms the family, 1 if only RESERVED does, else 2."""
         at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
         own = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " ")))
 
+        def near(mine: Column, shape: list[str]) -> Column:
+            n = F.size(F.array_intersect(mine, _literal(shape, "string")))
+            return let(n, lambda k: (k >= F.lit(CONFIRMED * len(shape))) | ((k >= LEAST) & (k >= CONFIRMED * F.size(mine))))
+
         def shared(mine: Column) -> Column:
-            out = F.lit(False)
+            out = F.lit(0)
             for f, templates in shapes.items():
-                near = F.lit(False)
-                for shape in templates:
-                    near = near | (F.size(F.array_intersect(mine, _literal(shape, "string"))) >= F.lit(CONFIRMED * len(shape)))
-                out = F.when(family == f, near).otherwise(out)
+                by = F.lit(False)
+                for t, shape in templates.items():
+                    by = by | near(mine, shape) if t != RESERVED else by
+                least = F.when(near(mine, templates[RESERVED]), 1).otherwise(0) if RESERVED in templates else F.lit(0)
+                out = F.when(family == f, F.when(by, 2).otherwise(least)).otherwise(out)
             return out
 
         return let(own, shared)
@@ -273,7 +314,7 @@ def paragraphs(text: Column, model: Licenses) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     some = F.filter(lines, lambda s: s["x"].rlike(anchor_pattern(model)))
     words = lambda x: F.filter(F.split(F.lower(x), _SPLIT), lambda w: w != "")
-    judged = F.transform(some, lambda s: let(words(s["x"]), lambda w: let(verdict(w), lambda v: F.struct(s["line"].cast("bigint").alias("line"), v["family"].alias("family"), v["probability"].alias("probability"), v["confirmed"].alias("confirmed")))))
+    judged = F.transform(some, lambda s: let(words(s["x"]), lambda w: let(verdict(w), lambda v: F.struct(s["line"].cast("bigint").alias("line"), v["family"].alias("family"), v["probability"].alias("probability"), v["confirmed"].alias("confirmed"), v["reserved"].alias("reserved")))))
     return F.filter(judged, lambda v: v["family"] != NONE)
 
 
@@ -285,10 +326,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Lic
     """A row for each document: families and their number, the surest confirmed family, and its paragraphs."""
     model = model or trained()
     body = F.coalesce(F.col(text), F.lit(""))
-    kind = "array<struct<line:bigint,family:string,probability:double,confirmed:boolean>>"
+    kind = "array<struct<line:bigint,family:string,probability:double,confirmed:boolean,reserved:boolean>>"
     found = F.when(body.rlike(anchor_pattern(model)), paragraphs(body, model)).otherwise(F.array()).cast(kind)
     d = docs.select(F.col(doc_id), found.alias("p"))
-    sure = F.sort_array(F.transform(F.filter("p", lambda v: v["confirmed"]), lambda v: F.struct((-v["probability"]).alias("a"), v["family"].alias("family"))))
+    sure = F.sort_array(F.transform(F.filter("p", lambda v: v["confirmed"]), lambda v: F.struct(v["reserved"].alias("r"), (-v["probability"]).alias("a"), v["family"].alias("family"))))
     return d.select(
         doc_id, F.size("p").cast("bigint").alias("n_paragraphs"), F.size(F.filter("p", lambda v: v["confirmed"])).cast("bigint").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("p", lambda v: v["family"]))), ",").alias("families"),

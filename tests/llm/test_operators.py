@@ -304,3 +304,17 @@ def test_packing_special_token(spark):
         assert encode(text).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0], text
     (row,) = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string")).collect()
     assert row.doc_tokens == 5 and row.ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes())
+
+
+def test_licenses_short_and_cut_notices(spark):
+    mit, gpl, bsd = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["gpl"][1], licenses.TEMPLATES["bsd"][0]
+    texts = {
+        "All rights reserved.": "proprietary", "some words\nAll rights reserved.\nmore words": "proprietary", f"All rights reserved.\n{bsd}": "bsd", "All rights reserved.\nReleased under the MIT License.": "mit", "Licensed under the ISC License.": "isc",
+        " ".join(mit.split()[:16]): "mit", " ".join(mit.split()[-18:]): "mit", " ".join(gpl.split()[8:24]): "gpl", "The rights were reserved for all.": "none", "Permission is hereby granted": None,
+    }
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for k, (text, want) in enumerate(texts.items()):
+        assert got[k].license == want or want is None and got[k].n_confirmed == 0, (text, got[k])
+    notices = {tuple(licenses.tokens(t)) for ts in licenses.TEMPLATES.values() for t in ts}
+    cut = sum(y > 0 and not any(" ".join(n) in " ".join(licenses.tokens(t)) for n in notices) and any(" ".join(licenses.tokens(t)[-9:]) in " ".join(n[:-1]) for n in notices) for t, y in licenses.examples(2000, 3))
+    assert cut > 20
