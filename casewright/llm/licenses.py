@@ -1,6 +1,12 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-A text's lines are its paragraphs. Word n-grams (one to three words) that the
+A text's lines are paragraphs, and so are neighbouring lines taken together, as
+notices are often wrapped; comment signs don't count, and lines without words
+part paragraphs. Joined lines are given as one paragraph, at its first line, if
+they are confirmed and no line of them shares half of a template of the same
+family by itself, or if they are something and no line of them is; other lines
+that are pieces of a confirmed notice (wholly, if they seem to be a notice of
+another family by themselves) aren't paragraphs of their own. Word n-grams (one to three words) that the
 training texts hold are the features of a multinomial logistic regression over
 licence families and `none`; it is sparse, as training drives most weights to
 zero (an L1 penalty). Probabilities are calibrated by a temperature on held-out
@@ -102,6 +108,8 @@ RESERVED = "All rights reserved."
 #: Words too common to be a feature by themselves, or to begin a look-up.
 COMMON = frozenset("0 1 2 3 4 5 6 7 8 9 a all an and any are art as at bar be by can either eye from for found from had has he his http if in into is it its later lie may met mind mit new no not of on one only open or org part people person that the their they this to via was way with without work you".split())
 _SPLIT = "[^a-z0-9]+"
+#: Words that begin comment lines; other signs of comments aren't words.
+_SIGNS = r"(?i)^\s*(?:dnl|rem)\b"
 
 
 def tokens(text: str) -> list[str]:
@@ -262,7 +270,7 @@ def anchor_pattern(model: Licenses) -> str:
 
 
 def paragraphs(text: Column, model: Licenses) -> Column:
-    """Of the lines with features: line (from 0), family, probability, confirmed, reserved."""
+    """Of the lines with features and of joined ones: line (from 0), family, probability, confirmed, reserved."""
     k = len(FAMILIES)
     weights = [_literal([round(float(v), 6) for v in model.weights[:, j]], "double") for j in range(k)]
     prints = _literal(model.prints.tolist(), "bigint")
@@ -288,34 +296,69 @@ def paragraphs(text: Column, model: Licenses) -> Column:
         name = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), best)
         sure = F.element_at(p, best)
         family = F.when((name != NONE) & (name != UNKNOWN) & (sure < model.limit), F.when(F.element_at(p, 1) < 0.5, UNKNOWN).otherwise(NONE)).otherwise(name)
-        return let(family, lambda f: let(confirmed(words, f), lambda how: F.struct(f.alias("family"), F.round(sure, 6).alias("probability"), (how > 0).alias("confirmed"), (how == 1).alias("reserved"))))
+        return let(family, lambda f: let(confirmed(words, f), lambda how: F.struct(f.alias("family"), F.round(sure, 6).alias("probability"), how.alias("how"))))
 
     def confirmed(words: Column, family: Column) -> Column:
-        """0 if no template confirms the family, 1 if only RESERVED does, else 2."""
+        """What confirms the family: 0 nothing, 1 only RESERVED, 2 a part of a notice, 3 half of one or more."""
         at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)))
         own = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " ")))
 
-        def near(mine: Column, shape: list[str]) -> Column:
+        def near(mine: Column, template: str, shape: list[str]) -> Column:
             n = F.size(F.array_intersect(mine, _literal(shape, "string")))
-            return let(n, lambda k: (k >= F.lit(CONFIRMED * len(shape))) | ((k >= LEAST) & (k >= CONFIRMED * F.size(mine))))
+            whole = F.lit(1 if template == RESERVED else 3)
+            return let(n, lambda k: F.when(k >= F.lit(CONFIRMED * len(shape)), whole).when((k >= LEAST) & (k >= CONFIRMED * F.size(mine)), 2).otherwise(0))
 
         def shared(mine: Column) -> Column:
             out = F.lit(0)
             for f, templates in shapes.items():
-                by = F.lit(False)
-                for t, shape in templates.items():
-                    by = by | near(mine, shape) if t != RESERVED else by
-                least = F.when(near(mine, templates[RESERVED]), 1).otherwise(0) if RESERVED in templates else F.lit(0)
-                out = F.when(family == f, F.when(by, 2).otherwise(least)).otherwise(out)
+                out = F.when(family == f, F.array_max(F.array(*[near(mine, t, shape) for t, shape in templates.items()]))).otherwise(out)
             return out
 
         return let(own, shared)
 
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
-    some = F.filter(lines, lambda s: s["x"].rlike(anchor_pattern(model)))
+    anchor = anchor_pattern(model)
     words = lambda x: F.filter(F.split(F.lower(x), _SPLIT), lambda w: w != "")
-    judged = F.transform(some, lambda s: let(words(s["x"]), lambda w: let(verdict(w), lambda v: F.struct(s["line"].cast("bigint").alias("line"), v["family"].alias("family"), v["probability"].alias("probability"), v["confirmed"].alias("confirmed"), v["reserved"].alias("reserved")))))
-    return F.filter(judged, lambda v: v["family"] != NONE)
+    unit = lambda line, last, x: F.struct(line.cast("bigint").alias("line"), last.cast("bigint").alias("last"), x.alias("x"))
+
+    def joined(lines: Column) -> Column:
+        """Runs of two and more neighbouring lines that have anchors, or stand between two that do.
+
+        Other lines are emptied, so that runs are parted by two line ends; each
+        line's number goes before it for the time of the cut.
+        """
+        on = lambda i: F.coalesce(F.get(lines, i)["on"], F.lit(False))
+        live = F.transform(lines, lambda s, i: F.when(s["on"] | (on(i - 1) & on(i + 1) & s["x"].rlike("[A-Za-z0-9]")), F.concat(i.cast("string"), F.lit("\2"), F.regexp_replace(s["x"], _SIGNS, ""))).otherwise(F.lit("")))
+        runs = F.filter(F.split(F.array_join(live, "\n"), "\n\n+"), lambda r: F.contains(F.btrim(r, F.lit("\n")), F.lit("\n")))
+        return F.transform(runs, lambda r: let(F.btrim(r, F.lit("\n")), lambda b: let(F.substring_index(b, "\2", 1).try_cast("bigint"), lambda first: unit(first, first + F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))), F.regexp_replace(b, r"(?md)^[0-9]+\x02", "")))))
+
+    def judged(units: Column) -> Column:
+        return F.transform(units, lambda s: let(words(s["x"]), lambda w: let(verdict(w), lambda v: F.struct(s["line"].alias("line"), s["last"].alias("last"), w.alias("w"), v["family"].alias("family"), v["probability"].alias("probability"), v["how"].alias("how")))))
+
+    def piece(words: Column, family: Column, share: Column) -> Column:
+        """Whether that share of a line's three-word n-grams is of the family's notices; less than three words are."""
+        own = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
+        of = F.lit(None).cast("array<string>")
+        for f, templates in shapes.items():
+            of = F.when(family == f, _literal(sorted({g for shape in templates.values() for g in shape}), "string")).otherwise(of)
+        return F.when(F.size(words) < 3, True).otherwise(let(F.array_distinct(own), lambda o: F.size(F.array_intersect(o, of)) >= share * F.size(o)))
+
+    def settled(found: Column) -> Column:
+        within = lambda a, b: (b["line"] <= a["line"]) & (a["last"] <= b["last"])
+
+        def both(single: Column, runs: Column) -> Column:
+            sure = F.filter(runs, lambda r: r["how"] > 0)
+            alone = lambda a, r: a["how"].isin(1, 3) & (a["family"] == r["family"])
+            share = lambda a: F.when(a["how"].isin(1, 3), 1.0).otherwise(CONFIRMED)
+            stay = F.filter(single, lambda a: ~F.exists(sure, lambda r: within(a, r) & ~alone(a, r) & piece(a["w"], r["family"], share(a))))
+            more = F.filter(runs, lambda r: ~F.exists(single, lambda a: within(a, r) & F.when(r["how"] > 0, alone(a, r)).otherwise(True)))
+            out = F.transform(F.concat(stay, more), lambda v: F.struct(v["line"], v["family"], v["probability"], (v["how"] > 0).alias("confirmed"), (v["how"] == 1).alias("reserved")))
+            return F.sort_array(out)
+
+        return let(F.filter(found, lambda v: (v["family"] != NONE) & (v["line"] == v["last"])), lambda single: let(F.filter(found, lambda v: (v["family"] != NONE) & (v["line"] < v["last"])), lambda runs: both(single, runs)))
+
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), x.rlike(anchor).alias("on")))
+    units = let(lines, lambda ls: F.concat(F.filter(F.transform(ls, lambda s, i: F.when(s["on"], unit(i, i, F.regexp_replace(s["x"], _SIGNS, "")))), lambda u: u.isNotNull()), joined(ls)))
+    return let(judged(units), settled)
 
 
 def _summed(slots: Column, weights: Column, bias: float) -> Column:

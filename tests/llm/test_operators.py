@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -318,3 +319,23 @@ def test_licenses_short_and_cut_notices(spark):
     notices = {tuple(licenses.tokens(t)) for ts in licenses.TEMPLATES.values() for t in ts}
     cut = sum(y > 0 and not any(" ".join(n) in " ".join(licenses.tokens(t)) for n in notices) and any(" ".join(licenses.tokens(t)[-9:]) in " ".join(n[:-1]) for n in notices) for t, y in licenses.examples(2000, 3))
     assert cut > 20
+
+
+def test_licenses_wrapped_notices(spark):
+    texts, want = [], []
+    for (family, notices), (width, sign, around) in itertools.product(licenses.TEMPLATES.items(), ((72, "", "{}"), (72, " * ", "/*\n * Copyright 2020 Someone\n *\n{}\n */\nint main() {{"), (60, "# ", "{}\n#\n\nx = 1"), (72, "dnl ", "{}"), (72, "// ", "intro line\n\n{}\nlast line"))):
+        for notice in notices:
+            texts.append(around.format("\n".join(textwrap.wrap(notice, width, initial_indent=sign, subsequent_indent=sign))))
+            want.append(family)
+    for width in (40, 50):
+        texts.append("\n".join(textwrap.wrap(licenses.TEMPLATES["gpl"][1], width)))
+        want.append("gpl")
+    n = len(texts)
+    texts += ["Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\n", "the old man\nwent to the bridge\nand said nothing", "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0."]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).collect()}
+    for k in range(n):
+        assert got[k].license == want[k], (texts[k], got[k])
+        assert got[k].n_paragraphs == 1 and got[k].families == want[k], (texts[k], got[k])
+    assert got[n].paragraphs == "0:mit:true,1:apache-2.0:true" and got[n + 1].license == "none" and got[n + 2].paragraphs == "0:cc-by:true,1:cc-by-nc:true"
+    (line,) = {got[k].paragraphs for k in range(n) if texts[k].startswith("/*") and want[k] == "gpl" and "free software:" in texts[k]}
+    assert line == "3:gpl:true"
