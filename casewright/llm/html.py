@@ -69,7 +69,7 @@ def _own(model: Model, tag: str, attributes: str) -> tuple[list[int], bool]:
             elif kind == "aria-hidden":
                 hidden |= value == "true"
             elif kind in ("class", "id", "role"):
-                names += [f"{'role' if kind == 'role' else 'name'} {w}" for w in _WORD.findall(value)[:12]]
+                names += [f"{'role' if kind == 'role' else 'name'} {w}" for w in dict.fromkeys(_WORD.findall(value))]
     return [i for i in map(model.id, names) if i is not None], hidden
 
 
@@ -103,7 +103,7 @@ def blocks(page: str, model: Model) -> tuple[list[str], list[list[int]]]:
                 names.append("ends" if text[-1] in ".!?…\"”»" else "open")
                 commas = text.count(",")
                 names += [f"commas>{b}" for b in (0, 2) if commas > b]
-                names += [f"hint {k}" for k, rx in _HINTS.items() if rx.search(text[:200])]
+                names += [f"hint {k}" for k, rx in _HINTS.items() if rx.search(text)]
                 features.append([*home[1], *(i for i in map(model.id, names) if i is not None)])
                 texts.append(text)
             parts.clear()
@@ -237,7 +237,16 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         return body + (" &amp; co" if rng.random() < 0.05 else "")
 
     def prose(label: int) -> str:
-        return text(rng.choice((3, 8, 15, 30, 60, 120)), label, rng.choice(".....!?"))
+        body = text(rng.choice((3, 8, 15, 30, 60, 120)), label, rng.choice(".....!?"))
+        if rng.random() < 0.05:  # words of the hints stand anywhere in articles, and at an end of what is around them
+            word = rng.choice(("copyright", "said", "comments", "privacy", "related"))
+            at = [i for i, c in enumerate(body) if c == " " and "<" not in body]
+            if not label:
+                body += rng.choice((" All rights reserved.", " Reply", " Share", " Copyright 2024"))
+            elif at:
+                k = rng.choice(at)
+                body = f"{body[:k]} {word}{body[k:]}"
+        return body
 
     def links(n: int, sep: str) -> str:
         out = []

@@ -339,3 +339,16 @@ def test_licenses_wrapped_notices(spark):
     assert got[n].paragraphs == "0:mit:true,1:apache-2.0:true" and got[n + 1].license == "none" and got[n + 2].paragraphs == "0:cc-by:true,1:cc-by-nc:true"
     (line,) = {got[k].paragraphs for k in range(n) if texts[k].startswith("/*") and want[k] == "gpl" and "free software:" in texts[k]}
     assert line == "3:gpl:true"
+
+
+def test_html_features_of_all_words_and_the_whole_block():
+    model = html.trained()
+    many = "w-full md:w-1/3 lg:w-1/4 px-4 py-2 mt-8 bg-gray-50 border rounded-lg shadow " + " ".join("".join(p) for p in itertools.product("abcd", repeat=3))
+    assert model.ids["name sidebar"] in html._own(model, "div", f'class="{many} sidebar"')[0]
+    hint = model.ids["hint rights"]
+    for text, want in (("word " * 200 + "All rights reserved.", True), ("word " * 200 + "end.", False)):
+        assert (hint in html.blocks(f"<p>{text}</p>", model)[1][0]) == want
+    long = "It was a long day, and the people of the town went home again. " * 6
+    page = f"<body><nav><ul><li><a href='/'>Home</a></ul></nav><article><h1>A day in the town</h1><p>{long}</p><p>{long} The copyright is theirs, they said, and the comments went on. {long}</p><p>{long}</p></article><div class='{many} footer'><p>{long} All rights reserved.</p></div></body>"
+    got = html.main_text(page, model)
+    assert "copyright is theirs" in got and "All rights reserved" not in got and "Home" not in got
