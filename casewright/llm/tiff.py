@@ -6,8 +6,10 @@ and yields one page a directory: 8-bit samples, chunky or planar. `encode`
 writes such files. Bytes are handled a file at a time within Arrow batches, so
 memory is bound by the largest file.
 
-Defined cases: a null text is empty, padded to one row of pixels; null or
-broken media give one row with `error` and no samples; equal bytes give equal
+Defined cases: a null text is empty, padded to one row of pixels; null media and
+those whose directories can't be followed give one row with `error` and no
+samples, after the pages before; so does each page that can't be decoded, also
+for want of bytes, and the pages after it are read; equal bytes give equal
 rows; an empty table gives no rows; only the named columns are read.
 """
 
@@ -154,45 +156,54 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
             size = _SIZE.get(kind, 1) * count
             where = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-            if kind in _CODE:
+            if kind in _CODE and (size <= 4 or where + size <= len(data)):  # a page that needs what isn't there fails by itself
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{_CODE[kind]}", data, where))
         yield order, tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
 def _block(raw: bytes, compression: int, predictor: int, rows: int, width: int, samples: int) -> np.ndarray:
-    """A strip or tile as rows x width x samples; short data is padded with 0."""
+    """A strip or tile as rows x width x samples."""
     if compression not in _UNPACK:
         raise ValueError(f"compression {compression} isn't supported")
     data = np.frombuffer(_UNPACK[compression](raw), np.uint8)
     need = rows * width * samples
-    block = (data[:need] if len(data) >= need else np.pad(data, (0, need - len(data)))).reshape(rows, width, samples)
+    if len(data) < need:
+        raise ValueError(f"a strip or tile has {len(data)} of {need} bytes")
+    block = data[:need].reshape(rows, width, samples)
     return np.cumsum(block, axis=1, dtype=np.uint8) if predictor == 2 else block
 
 
+def decode(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
+    """The samples of a directory's page: height x width x samples, 8 bits each."""
+    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    if any(b != 8 for b in tags.get(BITS, [1])):
+        raise ValueError("samples aren't of 8 bits")
+    compression, predictor, planes = one(COMPRESSION, 1), one(PREDICTOR, 1), samples if one(PLANAR, 1) == 2 else 1
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor} isn't supported")
+    depth = samples // planes
+    out = np.zeros((height, width, samples), np.uint8)
+    tiled = TILE_OFFSETS in tags
+    bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    across, down = -(-width // bw), -(-height // bh)
+    if len(offsets) < across * down * planes:
+        raise ValueError(f"{len(offsets)} of {across * down * planes} strips or tiles")
+    for k, (start, size) in enumerate(zip(offsets, sizes, strict=True)):
+        plane, k = divmod(k, across * down)
+        y, x = k // across * bh, k % across * bw
+        rows = bh if tiled else min(bh, height - y)
+        block = _block(data[start : start + size], compression, predictor, rows, bw, depth)
+        out[y : y + rows, x : x + bw, plane * depth : (plane + 1) * depth] = block[: height - y, : width - x]
+    return out
+
+
 def pages(data: bytes) -> Iterator[np.ndarray]:
-    """The samples of each page: height x width x samples, 8 bits each."""
+    """The samples of each page of a file."""
     for _, tags in directories(data):
-        one = lambda tag, default=None: tags.get(tag, [default])[0]  # noqa: B023, E731
-        width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        if any(b != 8 for b in tags.get(BITS, [1])):
-            raise ValueError("samples aren't of 8 bits")
-        compression, predictor, planes = one(COMPRESSION, 1), one(PREDICTOR, 1), samples if one(PLANAR, 1) == 2 else 1
-        if predictor not in (1, 2):
-            raise ValueError(f"predictor {predictor} isn't supported")
-        depth = samples // planes
-        out = np.zeros((height, width, samples), np.uint8)
-        tiled = TILE_OFFSETS in tags
-        bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-        across, down = -(-width // bw), -(-height // bh)
-        for k, (start, size) in enumerate(zip(offsets, sizes, strict=True)):
-            plane, k = divmod(k, across * down)
-            y, x = k // across * bh, k % across * bw
-            rows = bh if tiled else min(bh, height - y)
-            block = _block(data[start : start + size], compression, predictor, rows, bw, depth)
-            out[y : y + rows, x : x + bw, plane * depth : (plane + 1) * depth] = block[: height - y, : width - x]
-        yield out
+        yield decode(data, tags)
 
 
 def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, tile: int = 0, strip_rows: int = _STRIP_ROWS) -> bytes:
@@ -237,10 +248,10 @@ def feature(image: np.ndarray) -> str:
     height = image.shape[0]
     means = image.mean(axis=(0, 1), dtype=np.float64)
     grey = image.sum(axis=2, dtype=np.int64)
-    cut = np.arange(9) * height // 9
-    rows = np.add.reduceat(grey, cut, axis=0) if height >= 9 else grey[np.arange(9) * height // 9]
+    cut = np.arange(8) * height // 8
+    rows = np.add.reduceat(grey, cut, axis=0) if height >= 8 else grey[cut]
     cells = np.add.reduceat(rows, np.arange(9) * image.shape[1] // 9, axis=1) if image.shape[1] >= 9 else rows[:, np.arange(9) * image.shape[1] // 9]
-    bits = np.packbits((cells[:8, 1:] > cells[:8, :-1]).ravel()).tobytes().hex()
+    bits = np.packbits((cells[:, 1:] > cells[:, :-1]).ravel()).tobytes().hex()
     return f"{height}:{','.join(f'{m:.3f}' for m in means)}:{bits}"
 
 
@@ -276,17 +287,30 @@ _PAGE_DDL = "id bigint, page int, height int, width int, samples int, pixels bin
 _PAGE = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("samples", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
 
 
+_BROKEN = (ValueError, KeyError, TypeError, IndexError, ZeroDivisionError, struct.error, zlib.error)
+
+
+def _pages_of(key: int | None, media: bytes | None) -> Iterator[tuple]:
+    failed = lambda k, error: (key, k, None, None, None, None, f"{type(error).__name__}: {error}")
+    k = 0
+    try:
+        if media is None:
+            raise ValueError("no media")
+        for _, tags in directories(media):
+            try:
+                image = decode(media, tags)
+                yield key, k, *image.shape, image.tobytes(), None
+            except _BROKEN as error:
+                yield failed(k, error)
+            k += 1
+    except _BROKEN as error:
+        yield failed(k, error)
+
+
 def _page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = []
-            try:
-                if media is None:
-                    raise ValueError("no media")
-                for k, image in enumerate(pages(media)):
-                    rows.append((key, k, *image.shape, image.tobytes(), None))
-            except (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error) as error:
-                rows.append((key, len(rows), None, None, None, None, f"{type(error).__name__}: {error}"))
+            rows = list(_pages_of(key, media))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(_PAGE), _PAGE, strict=True)], schema=_PAGE)
 
 

@@ -352,3 +352,30 @@ def test_html_features_of_all_words_and_the_whole_block():
     page = f"<body><nav><ul><li><a href='/'>Home</a></ul></nav><article><h1>A day in the town</h1><p>{long}</p><p>{long} The copyright is theirs, they said, and the comments went on. {long}</p><p>{long}</p></article><div class='{many} footer'><p>{long} All rights reserved.</p></div></body>"
     got = html.main_text(page, model)
     assert "copyright is theirs" in got and "All rights reserved" not in got and "Home" not in got
+
+
+def test_tiff_pages_fail_by_themselves(spark):
+    images = [np.full((5, 7, 3), k, np.uint8) for k in range(4)]
+    good = tiff.encode(images, tiff.RAW, 1)
+    at = [i for i in range(0, len(good) - 12) if good[i : i + 8] == b"\x02\x01\x03\0\x03\0\0\0"]  # the pages' entries for bits of a sample
+    sixteen, short = bytearray(good), bytearray(good)
+    (bits,) = np.frombuffer(good, "<u4", 1, at[1] + 8).tolist()
+    sixteen[bits : bits + 6] = b"\x10\0" * 3
+    size = good.index(b"\x17\x01\x04\0\x01\0\0\0", at[2]) + 8  # bytes of the only strip
+    short[size : size + 4] = (50).to_bytes(4, "little")
+    rows = tiff.page_rows(spark.createDataFrame([(1, sixteen), (2, short), (3, bytearray(good[:-6]))], "id bigint, content binary")).collect()
+    got = {k: [(r.page, r.error) for r in sorted(rows, key=lambda r: r.page) if r.id == k] for k in (1, 2, 3)}
+    assert got[1] == [(0, None), (1, "ValueError: samples aren't of 8 bits"), (2, None), (3, None)]
+    assert got[2] == [(0, None), (1, None), (2, "ValueError: a strip or tile has 50 of 105 bytes"), (3, None)]
+    assert [e is None for _, e in got[3]] == [True, True, True, True, False]  # the link to a next directory is cut off
+    assert all(r.pixels == images[r.page].tobytes() for r in rows if r.error is None)
+
+
+def test_tiff_feature_covers_the_whole_height():
+    for height in (1, 5, 8, 9, 17, 90):
+        image = np.random.default_rng(height).integers(0, 255, (height, 64, 3)).astype(np.uint8)
+        other = image.copy()
+        other[-1 - height // 12 :] = np.linspace(255, 0, 64)[None, :, None]
+        other[-1 - height // 12 :, ::2] = 0 if height % 2 else 255
+        assert tiff.feature(image).split(":")[2] != tiff.feature(other).split(":")[2]
+        assert len(tiff.feature(image).split(":")[2]) == 16
