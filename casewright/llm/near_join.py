@@ -1,17 +1,26 @@
 """Similarity join of texts on word n-grams: MinHash bands, then exact Jaccard.
 
-1. Texts that are equal are one node. Each node gets BANDS keys of ROWS minima
-   of its n-grams' hashes: two texts of similarity 0.8 share a key with a
-   probability of 1 - (1 - 0.8**ROWS)**BANDS, here 0.99994.
-2. Nodes that share a key are tied to the least node of the key: a star, not
-   all pairs. Components of the stars hold every pair that shares a key.
-3. A component is cut by a hash into blocks of about BLOCK nodes. Every two
-   blocks meet in a task, which counts exact intersections of whole n-gram sets
-   as a product of incidence matrices, and returns a row a node: how many links
-   it has there, and which node it hangs together with there. So no pair is
-   ever a row, whatever the size of a group, and no link is lost to a cap.
+1. Texts that are equal are one node. Each node gets a key for each band: the
+   minima of `rows` hash functions over its n-grams. Bands and rows are chosen
+   from the recall that pairs at the limit shall have (`band_plan`): 31 bands of
+   6 rows find two texts of similarity 0.8 with a probability of 0.9999.
+2. Keys are shuffled. Nodes that share a key are tied to the least node of the
+   key: a star, not all pairs. Components of the stars hold every candidate pair.
+3. Candidates are compared in units of two blocks of nodes, which count exact
+   intersections of whole n-gram sets as a product of incidence matrices, and
+   return a row a node: its links there, and which node it hangs together with
+   there. So no pair is ever a row. A component is cut into blocks of its own
+   (about PARTS, of LEAST to MOST nodes and GRAMS n-grams at most), every two of
+   which meet; or, where that would move more n-gram sets, its keys' nodes meet
+   key by key, and a pair counts at the first key that it shares. A component
+   of m nodes moves each set m / MOST times, or as often as its keys ask for;
+   its comparisons are those of all its candidate pairs, as all are counted.
 4. Links are added up, and the components of verified links are the classes.
 
+Tables whose keys may be large (a band's key, a component, a class, an equal
+text) are joined by `skew_join`, which broadcasts the heavy keys, so that no
+task gets one key's rows.
+
 Defined cases: a null text is empty; a text of fewer words than N has one n-gram
 of all its words; a text without words has no links, and its copies are one
 class; repeated rows and equal texts are copies, which share class and links;
@@ -21,6 +30,7 @@ by 64 bits: of n texts, about n**2 / 2**65 pairs are taken for copies by chance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +40,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged
+from .common import BROADCAST_ROWS, skew_join, staged
 
 N, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 6
-BLOCK = 256
+#: The share of pairs at the limit that bands shall find, and the most bands.
+RECALL, MOST_BANDS = 0.9999, 32
+#: Blocks that a component is cut into, nodes of a block, and n-grams of a block.
+PARTS, LEAST, MOST, GRAMS = 32, 128, 2048, 2_000_000
 #: Characters of text that a worker takes up at once, if not of one text.
 _CHARS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+def band_recall(similarity: float, bands: int, rows: int) -> float:
     """The probability that two texts share a band's key."""
     return 1 - (1 - similarity**rows) ** bands
 
 
+def band_plan(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
+    """bands and rows: the most rows, which give the fewest false candidates, with which `most` bands reach `recall`."""
+    best = (max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity))) if similarity < 1 else 1, 1)
+    for rows in range(2, 65):
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - min(similarity, 1 - 1e-9) ** rows))
+        if bands > most:
+            break
+        best = (max(1, bands), rows)
+    return best
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -103,7 +126,7 @@ def _banding(n: int, bands: int, rows: int):
                     out[:, band] = key
                 offsets = np.concatenate(([0], np.cumsum(np.where(grams > 0, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(grams.astype(np.int64)), lists], names=["id", "node", "size", "keys"])
 
     return keys
 
@@ -121,67 +144,98 @@ def _sets(n: int):
     return of
 
 
-def _links(sets: list[np.ndarray], halves: np.ndarray, within: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each set its links here, and the first set that it hangs together with.
-
-    halves: False for a set of the one block, True for one of the other; pairs
-    are of unlike halves, or all pairs where `within`.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    m = len(sets)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `one` shares with each of `two`; sets hold distinct elements."""
+    flat = np.concatenate([*one, *two])
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
+    column = np.cumsum(np.concatenate(([True], flat[1:] != flat[:-1]))) - 1 if len(flat) else np.zeros(0, np.int64)
+    shared = np.bincount(column, minlength=1) > 1
     keep = shared[column]
     column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
-    both = np.zeros((m, m), np.float32)
-    width = 4096
+    both = np.zeros((len(one), len(two)), np.float32)
+    width = 2048
     edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
-    for k in range(len(edges) - 1):  # shared n-grams in columns of at most `width`
-        part = slice(edges[k], edges[k + 1])
-        some = np.zeros((m, width), np.float32)
-        some[owner[part], column[part] - k * width] = 1
-        both += some @ some.T
-    linked = both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-6
-    np.fill_diagonal(linked, False)
-    if not within:
-        linked &= halves[:, None] != halves[None, :]
-    root = np.full(m, -1)
-    for i in range(m):
-        if root[i] < 0:
-            root[i], open_ = i, [i]
-            while open_:
-                near = np.flatnonzero(linked[open_.pop()] & (root < 0))
-                root[near] = i
-                open_ += near.tolist()
-    return linked.sum(axis=1), root
+    for k in range(len(edges) - 1):  # shared elements in columns of at most `width`
+        o, c = owner[edges[k] : edges[k + 1]], column[edges[k] : edges[k + 1]] - k * width
+        left = o < len(one)
+        a, b = np.zeros((len(one), width), np.float32), np.zeros((len(two), width), np.float32)
+        a[o[left], c[left]] = 1
+        b[o[~left] - len(one), c[~left]] = 1
+        both += a @ b.T
+    return both
+
+
+def _roots(pairs: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """For each of n places the least place that it hangs together with by the pairs."""
+    root = np.arange(n)
+    a, b = pairs
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[a] != root[b]
+        if not open_.any():
+            break
+        # join the roots themselves, so that the next round carries on from them
+        a, b = root[a[open_]], root[b[open_]]
+    return root
+
+
+def _verified(sets: list[np.ndarray], sides: np.ndarray, within: bool, least: float, band: int = -1, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its links in a unit, and the first set that it hangs together with.
+
+    sides: False for a set of the one block, True for one of the other; pairs
+    are of unlike sides, or all pairs where `within`. With `keys` (a row of band
+    keys for each set) a pair only counts if `band` is the first that it shares.
+    """
+    one = np.arange(len(sets)) if within else np.flatnonzero(~sides)
+    two = one if within else np.flatnonzero(sides)
+    links = np.zeros(len(sets), np.int64)
+    if not len(one) or not len(two):
+        return links, np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = _overlaps([sets[i] for i in one], [sets[i] for i in two])
+    linked = both >= least * (sizes[one][:, None] + sizes[two][None, :] - both) - 1e-6
+    if within:
+        linked = np.triu(linked, 1)
+    a, b = np.nonzero(linked)
+    a, b = one[a], two[b]
+    if keys is not None and len(a):
+        first = np.concatenate([np.argmax(keys[a[k : k + 65536]] == keys[b[k : k + 65536]], axis=1) for k in range(0, len(a), 65536)])
+        a, b = a[first == band], b[first == band]
+    links += np.bincount(a, minlength=len(sets)) + np.bincount(b, minlength=len(sets))
+    return links, _roots((a, b), len(sets))
 
 
 def _verifying(least: float):
+    """Units of rows (unit, band, one, other, node, block, keys, grams), in order."""
     names = ["node", "links", "root"]
 
-    def settle(rows: list[tuple], within: bool) -> pa.RecordBatch:
-        links, root = _links([r[1] for r in rows], np.array([r[2] for r in rows]), within, least)
+    def settle(rows: list[tuple], unit: tuple) -> pa.RecordBatch:
+        keys = np.array([r[3] for r in rows]) if unit[1] >= 0 else None
+        links, root = _verified([r[1] for r in rows], np.array([r[2] for r in rows]), unit[2] == unit[3], least, unit[1], keys)
         nodes = np.array([r[0] for r in rows], np.int64)
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(nodes[root[some]])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[root[some]])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
-            grams = batch.column(5)
+            grams, keys = batch.column(7), batch.column(6)
             offsets, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
-            for k, (comp, one, other, node, block) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
-                if (comp, one, other) != at:
+            k_offsets, k_values = keys.offsets.to_numpy(), keys.values.to_numpy()
+            for k, (unit, band, one, other, node, block) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)):
+                if (unit, band, one, other) != at:
                     if len(held) > 1:
-                        yield settle(held, at[1] == at[2])
-                    held, at = [], (comp, one, other)
-                held.append((node, values[offsets[k] : offsets[k + 1]].copy(), block == other))
+                        yield settle(held, at)
+                    held, at = [], (unit, band, one, other)
+                held.append((node, values[offsets[k] : offsets[k + 1]].copy(), block == other, k_values[k_offsets[k] : k_offsets[k + 1]].copy()))
         if len(held) > 1:
-            yield settle(held, at[1] == at[2])
+            yield settle(held, at)
 
     return run
 
@@ -191,54 +245,84 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels go to the neighbours' least and then jump along labels; each round is
     staged. Rounds grow with the logarithm of a chain's length; stars need two.
+    A node of many neighbours, and a label of many nodes, are heavy keys of the
+    joins, which `skew_join` deals with.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both)
-    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"), F.count(F.lit(1)).alias("degree")))
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        moved = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        moved = staged(moved)
-        jump = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        fresh = staged(moved.join(jump, "root").select("node", "was", F.col("next").alias("root")))
-        label = fresh.select("node", "root")
+        near = skew_join(both.withColumnRenamed("b", "node"), label, "node", "degree").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        moved = staged(label.join(near, "node").select("node", "degree", F.col("root").alias("was"), F.least("root", "near").alias("root")))
+        held = moved.groupBy("root").agg(F.count(F.lit(1)).alias("held"))
+        jump = staged(moved.select(F.col("node").alias("root"), F.col("root").alias("next")).join(held, "root"))
+        fresh = staged(skew_join(moved, jump, "root", "held").select("node", "degree", "was", F.col("next").alias("root")))
+        label = fresh.select("node", "root", "degree")
         if fresh.where("was <> root").isEmpty():
-            return label
+            return label.select("node", "root")
+
+
+def _blocks(nodes: Column, grams: Column, least: int, most: int) -> Column:
+    """How many blocks so many nodes with so many n-grams are cut into."""
+    size = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(nodes / PARTS)))
+    return F.greatest(F.ceil(nodes / size), F.ceil(grams / GRAMS), F.lit(1)).cast("int")
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Rows (unit, band, node, blocks, ...) once for each other block of their unit that their own meets."""
+    d = rows.withColumn("block", F.pmod(F.xxhash64("node", "unit"), F.col("blocks")).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return d.select("unit", "band", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "node", "block")
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """id, node, copy_id, class_id and n_links of every row of `docs`.
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, most_bands: int = MOST_BANDS, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """id, node, copy_id, root, class_id and n_links of every row of `docs`.
 
-    copy_id: the least id of an equal text; class_id: the least id of the texts
-    that hang together by links; n_links: other texts of at least this similarity.
+    copy_id: the least id of an equal text; root, class_id: the least node, and
+    the least id, of the texts that hang together by links; n_links: other texts
+    of at least this similarity. `least` and `most` bound a block's nodes.
     """
+    bands, rows = band_plan(similarity, recall, most_bands)
     d = docs.select(F.col(doc_id).cast("bigint").alias("id"), node_of(F.col(text)).alias("node"), F.col(text).cast("string").alias("text"))
-    keyed = staged(d.mapInArrow(_banding(n, bands, rows), "id bigint, node bigint, keys array<bigint>"))
-    nodes = staged(keyed.groupBy("node").agg(F.min("id").alias("copy_id"), F.first("keys").alias("keys")))
-    at_key = nodes.select("node", F.explode("keys").alias("key"))
-    least = at_key.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "a")
-    stars = staged(at_key.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    keyed = staged(d.mapInArrow(_banding(n, bands, rows), "id bigint, node bigint, size bigint, keys array<bigint>"))
+    nodes = staged(keyed.groupBy("node").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.first("keys").alias("keys")))
+    at_key = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = staged(at_key.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    stars = staged(skew_join(at_key.select("node", "key"), shared, "key", "m").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     found = components(stars)
-    sizes = found.groupBy("root").count()
-    member = found.join(sizes, "root").select("node", F.col("root").alias("comp"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    member = staged(member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    member = staged(found.join(nodes.select("node", "copy_id", "size"), "node"))
+    whole = member.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("grams")).withColumn("blocks", _blocks(F.col("nodes"), F.col("grams"), least, most))
+    # what a component moves by blocks of its own, and what it would move key by key
+    each = _blocks(F.col("m"), F.col("m") * F.col("grams") / F.col("nodes"), least, most)
+    apart = shared.join(found, shared["a"] == found["node"]).join(whole.where("blocks > 1"), "root").withColumn("key_blocks", each)
+    cost = apart.groupBy("root").agg(F.sum(F.col("m") * F.col("key_blocks")).alias("moved"))
+    whole = staged(whole.join(cost, "root", "left").withColumn("by_key", F.coalesce(F.col("moved") < F.col("nodes") * F.col("blocks"), F.lit(False))).drop("moved"))
+    split = skew_join(member.select("node", "root"), whole, "root", "nodes")
+    units = _meeting(split.where("not by_key").select(F.col("root").alias("unit"), F.lit(-1).alias("band"), "node", "blocks")).withColumn("keys", F.array().cast("array<bigint>"))
+    if not whole.where("by_key").isEmpty():
+        keys = staged(apart.join(whole.where("by_key").select("root"), "root", "left_semi").select("key", "m", F.col("key_blocks").alias("blocks")))
+        met = _meeting(skew_join(at_key, keys, "key", "m").select(F.col("key").alias("unit"), "band", "node", "blocks"))
+        units = units.unionByName(met.join(nodes.select("node", "keys"), "node"))
     texts = d.select(F.col("id").alias("copy_id"), "node", "text")
-    wanted = nodes.select("node", "copy_id").join(member.select("node"), "node")
+    wanted = member.select("node", "copy_id")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     ours = texts.join(wanted, [texts["node"] == wanted["node"], texts["copy_id"].eqNullSafe(wanted["copy_id"])], "left_semi")
-    grams = ours.select("node", "text").mapInArrow(_sets(n), "node bigint, grams array<bigint>").groupBy("node").agg(F.first("grams").alias("grams"))
-    meets = member.join(staged(grams), "node").withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("comp", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "node", "block", "grams")
-    dealt = meets.repartition(F.col("comp"), F.col("one"), F.col("other")).sortWithinPartitions("comp", "one", "other")
+    grams = staged(ours.select("node", "text").mapInArrow(_sets(n), "node bigint, grams array<bigint>").groupBy("node").agg(F.first("grams").alias("grams")))
+    meets = units.join(grams, "node").select("unit", "band", "one", "other", "node", "block", "keys", "grams")
+    at = ["unit", "band", "one", "other"]
+    dealt = meets.repartition(*at).sortWithinPartitions(*at)
     verified = staged(dealt.mapInArrow(_verifying(similarity), "node bigint, links bigint, root bigint"))
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(verified.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-    placed = nodes.select("node", "copy_id").join(roots, "node", "left").join(links, "node", "left")
-    placed = staged(placed.select("node", "copy_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    classes = placed.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    about = placed.join(classes, "root").select("node", "copy_id", "class_id", "n_links")
-    return keyed.select("id", "node").join(about, "node").select("id", "node", "copy_id", "class_id", "n_links")
+    placed = staged(roots.join(member.select("node", "copy_id"), "node").join(links, "node"))
+    classes = staged(placed.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("nodes")))
+    linked = skew_join(placed.select("node", "root", "n_links"), classes, "root", "nodes").select("node", "root", "class_id", "n_links")
+    about = nodes.select("node", "copy_id", "copies").join(linked, "node", "left")
+    alone = F.col("root").isNull()
+    about = about.select("node", "copies", "copy_id", F.coalesce("root", "node").alias("root"), F.when(alone, F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return skew_join(keyed.select("id", "node"), staged(about), "node", "copies").select("id", "node", "copy_id", "root", "class_id", "n_links")
 
 
 def node_of(text: Column) -> Column:
@@ -254,18 +338,18 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
     """One document of each class, that with the least id, with the columns of `docs`.
 
     What goes is found by (id, text): the few keys are broadcast if their count
-    is within BROADCAST_ROWS, else both sides are dealt by the key.
+    is within BROADCAST_ROWS, else both sides are dealt by the key, the heavy
+    keys being broadcast.
     """
     mark = lambda i, node: F.xxhash64(i, node)
-    about = similar(docs, doc_id, text, **how)
+    about = staged(similar(docs, doc_id, text, **how))
     first = F.struct(F.col("id").isNull().alias("late"), "id", "node")
-    best = about.groupBy("class_id").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = about.join(best, about["class_id"].eqNullSafe(best["class_id"]))
+    best = staged(about.groupBy("root").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = skew_join(about.select("id", "node", "root"), best, "root", "n")
     stays = (F.col("best.id").eqNullSafe(F.col("id"))) & (F.col("best.node") == F.col("node"))
     keys = staged(rows.groupBy(mark(F.col("id"), F.col("node")).alias("mark")).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("times")).where("not stays or times > 1"))
-    few = keys.count() <= BROADCAST_ROWS
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark(F.col(doc_id).cast("bigint"), node_of(F.col(text))).alias("mark"))
-    d = keyed.join(F.broadcast(keys) if few else keys, "mark", "left")
+    d = skew_join(keyed, keys, "mark", "times", "left")
     once = d.where("stays is null").select("row")
     twice = d.where("stays").groupBy("mark").agg(F.first("row").alias("row")).select("row")
     return once.unionByName(twice).select("row.*")
