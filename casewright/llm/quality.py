@@ -5,8 +5,13 @@ an empirical beta prior, and the hosts' verdicts return to their documents.
    five-word windows) and from them rule failures. Row by row, no shuffle.
 2. Failures are summed by host: partial sums first, so a host with a third of
    all rows sends a row a task.
-3. The rates f/n of all hosts give a rule a beta prior by the method of moments;
-   a host's rate becomes (f + a) / (n + a + b), so few documents prove little.
+3. All hosts' f of n give a rule a beta prior by the method of moments. Hosts
+   weigh by their documents, and the spread that so few draws have by chance
+   alone is taken out (Kleinman, 1973), so one-document hosts don't set it. A
+   host's rate becomes (f + a) / (n + a + b): the prior weighs a + b documents,
+   which the hosts alone decide. Hosts that differ by no more than chance give a
+   prior of endless weight (every host has the mean), hosts that hold only
+   failures or only none give one of no weight.
 4. A host is `trusted`, `suspect` (a shrunken rate above SUSPECT) or `blocked`
    (above BLOCKED). Of a suspect host, documents must fail no rule at all; of a
    blocked host none stay. Base failures always go.
@@ -18,6 +23,7 @@ gives no rows; input columns with an output's name are replaced.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +45,6 @@ class QualityRules:
     most_word_chars: int = 12
     suspect: float = 0.5
     blocked: float = 0.9
-    prior_rows: float = 10.0
 
 
 RULES = ("short", "repeats", "symbols", "lines", "lengths")
@@ -106,27 +111,31 @@ def host_verdicts(counted: DataFrame, host: Column, rules: QualityRules = Qualit
     fail = failures(rules)
     sums = [F.sum(fail[r].cast("bigint")).alias(r) for r in RULES]
     hosts = staged(counted.groupBy(_host(host).alias("host_key")).agg(F.count(F.lit(1)).alias("n"), *sums))
-    rate = lambda r: F.col(r) / F.col("n")
-    moments = hosts.agg(*[f(rate(r)).alias(f"{k}_{r}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    n = F.col("n").cast("double")
+    sums = [f.alias(k) for r in RULES for k, f in ((f"f_{r}", F.sum(F.col(r).cast("double"))), (f"q_{r}", F.sum(F.col(r) * F.col(r) / n)))]
+    got = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"), *sums).first()
     shrunk = {}
     for r in RULES:
-        a, b = beta_prior(moments[f"m_{r}"], moments[f"v_{r}"], rules.prior_rows)
-        shrunk[r] = (F.col(r) + a) / (F.col("n") + (a + b))
+        mean, weight = beta_prior(got.hosts, got.n or 0.0, got.n2 or 0.0, got[f"f_{r}"] or 0.0, got[f"q_{r}"] or 0.0)
+        shrunk[r] = F.lit(mean) if math.isinf(weight) else (F.col(r) + mean * weight) / (F.col("n") + weight)
     worst = F.greatest(*shrunk.values())
     verdict = F.when(worst > rules.blocked, "blocked").when(worst > rules.suspect, "suspect").otherwise("trusted")
     return hosts.select("host_key", "n", *[c.alias(f"rate_{r}") for r, c in shrunk.items()], verdict.alias("verdict"))
 
 
-def beta_prior(mean: float | None, var: float | None, rows: float) -> tuple[float, float]:
-    """a and b of the beta distribution with these moments.
+def beta_prior(hosts: int, n: float, n2: float, f: float, q: float) -> tuple[float, float]:
+    """The mean, and the weight a + b, of the beta prior by moments of the hosts.
 
-    Where no such distribution exists (no spread, or more than a beta has) and
-    at most, the prior weighs as many documents as `rows`.
+    hosts: their number; n, n2: the sums of their documents and of the squares;
+    f: the sum of failures; q: the sum of failures squared by documents. The
+    weight is 1 / r - 1, where r is the share of the spread that chance doesn't
+    explain; it is endless where r is 0 or less, or can't be told.
     """
-    mean = min(max(mean or 0.0, 1e-6), 1 - 1e-6)
-    weight = mean * (1 - mean) / var - 1 if var else rows
-    weight = rows if weight <= 0 else min(weight, rows)
-    return mean * weight, (1 - mean) * weight
+    mean = f / n if n else 0.0
+    chance = mean * (1 - mean)
+    room = chance * (n - n2 / n - (hosts - 1)) if n else 0.0
+    r = (q - f * mean - chance * (hosts - 1)) / room if room > 1e-12 else 0.0
+    return (mean, math.inf) if r <= 1e-12 else (mean, max(1 / r - 1, 0.0))
 
 
 def judged(counted: DataFrame, verdicts: DataFrame, host: Column, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -152,7 +161,7 @@ def judged(counted: DataFrame, verdicts: DataFrame, host: Column, rules: Quality
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, COUNTS, base_failed, verdict and kept of every document.
+    """doc_id, COUNTS, base_failed, kept and the host's verdict of every document.
 
     The counts are staged (a few dozen bytes a document), so texts are read once.
     """
@@ -160,7 +169,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     counted = document_counts(part, "text", rules.window)
     counted = staged(counted.select(F.col("row.doc_id").alias("doc_id"), F.col("row.host").alias("host"), *COUNTS, "n_lines"))
     verdicts = host_verdicts(counted, F.col("host"), rules)
-    return judged(counted, verdicts, F.col("host"), rules).select(F.col("doc_id").alias(doc_id), *COUNTS, "base_failed", "verdict", "kept")
+    return judged(counted, verdicts, F.col("host"), rules).select(F.col("doc_id").alias(doc_id), *COUNTS, "base_failed", "kept", "verdict")
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -189,11 +198,12 @@ s AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string
 f AS (SELECT *, n_words < 10 AS f1, n_repeat_words * 100 > n_words * 20 AS f2, n_symbols * 100 > n_words * 10 AS f3,
   n_dup_lines * 100 > n_lines * 30 AS f4, (word_chars < n_words * 3 OR word_chars > n_words * 12) AS f5 FROM s),
 h AS (SELECT source, k, count(*) AS n, count(*) FILTER (f) AS f FROM (SELECT source, unnest(range(1, 6)) AS k, unnest([f1, f2, f3, f4, f5]) AS f FROM f) GROUP BY ALL),
-m AS (SELECT k, least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, var_pop(f / n) AS v FROM h GROUP BY k),
-p AS (SELECT k, m, CASE WHEN v = 0 OR m * (1 - m) / v - 1 <= 0 THEN 10 ELSE least(m * (1 - m) / v - 1, 10) END AS c FROM m),
-v AS (SELECT source, max((f + m * c) / (n + c)) AS worst FROM h JOIN p USING (k) GROUP BY source)
+a AS (SELECT k, count(*)::DOUBLE AS hosts, sum(n::DOUBLE) AS n, sum(n::DOUBLE * n) AS n2, sum(f::DOUBLE) AS f, sum(f::DOUBLE * f / n) AS q FROM h GROUP BY k),
+m AS (SELECT *, f / n AS m, (f / n) * (1 - f / n) * (n - n2 / n - (hosts - 1)) AS room FROM a),
+p AS (SELECT k, m, CASE WHEN room > 1e-12 THEN (q - f * m - m * (1 - m) * (hosts - 1)) / room ELSE 0 END AS r FROM m),
+v AS (SELECT source, max(CASE WHEN r <= 1e-12 THEN m ELSE (f + m * greatest(1 / r - 1, 0)) / (n + greatest(1 / r - 1, 0)) END) AS worst FROM h JOIN p USING (k) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-  CASE WHEN worst > 0.9 THEN 'blocked' WHEN worst > 0.5 THEN 'suspect' ELSE 'trusted' END AS verdict,
-  NOT (f1 OR f2) AND worst <= 0.9 AND NOT (worst > 0.5 AND (f3 OR f4 OR f5)) AS kept
+  NOT (f1 OR f2) AND worst <= 0.9 AND NOT (worst > 0.5 AND (f3 OR f4 OR f5)) AS kept,
+  CASE WHEN worst > 0.9 THEN 'blocked' WHEN worst > 0.5 THEN 'suspect' ELSE 'trusted' END AS verdict
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
