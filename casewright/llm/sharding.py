@@ -3,7 +3,8 @@
 The key and the number of shards alone decide a row's shard; there is no ring
 table, and with one more shard only the rows that move into it change place.
 Everything is built-in functions. Rows within a shard get gapless slots by
-counts of small buckets, so that no task ever holds a whole shard.
+counts of small buckets, so that no task ever holds a whole shard; rows that are
+alike in what decides them are one row with a count until they have their slots.
 
 Defined cases: a null key hashes as key 0; a null text has size 8 and the CRC
 of the empty text; repeated rows stay, each with a slot of its own; an empty
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, let, staged
+from .common import BROADCAST_ROWS, let, repeated, staged
 
 #: Of the 64-bit linear congruential generator of the published algorithm.
 LCG_MULTIPLIER = 2862933555777941757
@@ -74,20 +75,22 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     body = F.coalesce(F.col(text), F.lit(""))
     at = jump_hash(F.col(key), shards, 1)
     rows = docs.select(F.col(key).alias("k"), (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("crc"), at.alias("at"))
-    rows = staged(rows.select("k", "size", "crc", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown")))
-    n = rows.count()
+    each = ["k", "size", "crc", "shard", "grown"]
+    rows = rows.select("k", "size", "crc", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown"))
+    rows = staged(rows.groupBy(*each).agg(F.count(F.lit(1)).alias("rows")))
+    n, most = rows.agg(F.count(F.lit(1)), F.max("rows")).first()
     buckets = max(1, min(1 << 16, -(-n // (shards * SLOT_ROWS))))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k", "crc"), F.lit(buckets)))
-    counts = rows.groupBy("shard", "bucket").count()
+    counts = rows.groupBy("shard", "bucket").agg(F.sum("rows").alias("count"))
     before = F.expr("sum(count) over (partition by shard order by bucket rows between unbounded preceding and current row) - count")
     offsets = counts.select("shard", "bucket", before.alias("before"))
     if shards * buckets <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    local = F.expr("row_number() over (partition by shard, bucket order by k, size, crc) - 1")
-    placed = rows.withColumn("local", local).join(offsets, ["shard", "bucket"])
+    local = F.expr("sum(rows) over (partition by shard, bucket order by k, size, crc rows between unbounded preceding and current row) - rows")
+    placed = repeated(rows.withColumn("local", local).join(offsets, ["shard", "bucket"]), "rows", most=most or 0)
     return placed.select(
         F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
-        (F.col("before") + F.col("local")).cast("bigint").alias("slot"), F.col("grown").alias("grown_shard"),
+        (F.col("before") + F.col("local") + F.col("n")).cast("bigint").alias("slot"), F.col("grown").alias("grown_shard"),
     )
 
 
