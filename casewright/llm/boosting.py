@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -9,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
 
 @dataclass
 class Boosted:
@@ -32,25 +35,46 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift)))
 
+    def flat(self) -> list[dict]:
+        """The trees as complete ones of the greatest depth: features and cuts by level, then leaves from low to high."""
+        deep = lambda n: 1 + max(deep(n[2]), deep(n[3])) if isinstance(n, tuple) else 0
+        depth = max(map(deep, self.trees), default=0)
+        out = []
+        for tree in self.trees:
+            row, f, c = [tree], [], []
+            for _ in range(depth):
+                f += [n[0] if isinstance(n, tuple) else 0 for n in row]
+                c += [float(n[1]) if isinstance(n, tuple) else 0.0 for n in row]
+                row = [x for n in row for x in ((n[2], n[3]) if isinstance(n, tuple) else (n, n))]
+            out.append({"f": f, "c": c, "v": [float(x) for x in row], "d": depth})
+        return out
+
     def column(self, values: dict[str, Column]) -> Column:
-        """The calibrated probability as an expression of the features' columns."""
+        """The calibrated probability as an expression; each of the features' columns is worked out once.
 
-        def walk(node) -> Column:
-            if not isinstance(node, tuple):
-                return F.lit(float(node))
-            j, cut, low, high = node
-            return F.when(values[self.features[j]] <= F.lit(float(cut)), walk(low)).otherwise(walk(high))
+        The trees are a constant array that is gone through, so the expression is
+        as large for many trees as for one.
+        """
+        trees = self.flat()
+        depth = trees[0]["d"] if trees else 0
+        literal = F.from_json(F.lit(json.dumps(trees)), "array<struct<f:array<int>,c:array<double>,v:array<double>>>")
 
-        score = F.lit(float(self.base))
-        for tree in self.trees:
-            score = score + walk(tree)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(score * F.lit(float(self.slope)) + F.lit(float(self.shift)))))
+        def leaf(t: Column, x: Column) -> Column:
+            at = F.lit(0)
+            for _ in range(depth):  # of node i the children are 2 i + 1 and 2 i + 2
+                at = let(at, lambda i: i * 2 + F.when(F.get(x, F.get(t["f"], i)) <= F.get(t["c"], i), 1).otherwise(2))
+            return F.get(t["v"], at - F.lit(2**depth - 1))
+
+        def scored(x: Column) -> Column:
+            score = F.aggregate(literal, F.lit(float(self.base)), lambda acc, t: acc + leaf(t, x))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-(score * F.lit(float(self.slope)) + F.lit(float(self.shift)))))
+
+        return let(F.array(*[values[f] for f in self.features]), scored)
 
 
-def fit(x: np.ndarray, y: np.ndarray, features: list[str], trees: int = 24, depth: int = 3, rate: float = 0.3, least: int = 5) -> Boosted:
-    """Newton boosting of the logistic loss; one row in four is held out to calibrate."""
-    held = np.arange(len(y)) % 4 == 3
-    tx, ty = x[~held], y[~held].astype(float)
+def fit(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, features: list[str], trees: int = 24, depth: int = 3, rate: float = 0.3, least: int = 5) -> Boosted:
+    """Newton boosting of the logistic loss; the held-out rows calibrate the probabilities."""
+    tx, ty = x, y.astype(float)
     p0 = min(max(ty.mean(), 1e-3), 1 - 1e-3)
     model = Boosted(features, math.log(p0 / (1 - p0)))
     score = np.full(len(ty), model.base)
@@ -80,7 +104,7 @@ def fit(x: np.ndarray, y: np.ndarray, features: list[str], trees: int = 24, dept
         model.trees.append(tree)
         score += Boosted(features, trees=[tree]).raw(tx)
     # Platt's calibration on the held-out rows, with his smoothed targets
-    s, t = model.raw(x[held]), y[held].astype(float)
+    s, t = model.raw(held_x), held_y.astype(float)
     n1, n0 = t.sum(), len(t) - t.sum()
     t = np.where(t > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
@@ -96,10 +120,9 @@ def fit(x: np.ndarray, y: np.ndarray, features: list[str], trees: int = 24, dept
 
 
 def threshold(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least probability from which held-out candidates are right with `precision`."""
-    held = np.arange(len(y)) % 4 == 3
-    p, t = model.probability(x[held]), y[held]
-    order = np.argsort(-p)
-    right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
+    """The least probability from which these candidates, which the model hasn't seen, are right with `precision`."""
+    p = model.probability(x)
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero((right >= precision) & np.append(p[order][1:] < p[order][:-1], True))
-    return max(0.5, float(p[order][good[-1]])) if len(good) else 1.0
+    return max(0.5, float(p[order][good[-1]])) if len(good) else 1.01
