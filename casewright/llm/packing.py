@@ -1,12 +1,17 @@
 """Packing documents into windows by Karmarkar-Karp multiway differencing.
 
-A partition's documents are tokenized where they lie: no shuffle, so no key is
-hot. Full windows are cut off a document's front; what is left, and at most
-PIECE tokens long by then, is dealt to k windows by largest differencing
-(Karmarkar and Karp, 1982): partial partitions are tuples of k sums, the two
-with the largest spread are merged with opposing imbalances, until one is left
-with near-equal sums. k begins at the least number of windows that could hold
-the group and rises whenever a window would exceed its capacity.
+Documents are tokenized where they lie. Full windows are cut off a document's
+front; what is left, in pieces of at most PIECE tokens by then, is dealt by a
+hash to groups of about GROUP pieces, whatever files or tasks they come from, so
+the same documents always give the same windows. Only the pieces' numbers are
+moved, not their tokens, unless these are asked for; pieces that are alike are
+one row with a count until they are dealt, so no document makes a group large.
+
+A group is dealt to k windows by largest differencing (Karmarkar and Karp,
+1982): partial partitions are tuples of k sums, the two with the largest spread
+are merged with opposing imbalances, until one is left with near-equal sums. k
+begins at the least number of windows that could hold the group and rises
+whenever a window would exceed its capacity.
 
 Defined cases: a null text is an empty text, which is the closing id alone;
 repeated rows are documents of their own; a document of any length is cut; an
@@ -16,6 +21,7 @@ empty table gives no rows; only the named columns are read.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import re
 import zlib
@@ -23,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import repeated, staged
+
 WINDOW = 1024
 #: Longest piece of what is left of a document, and pieces that are packed together.
-PIECE, GROUP = 256, 512
+PIECE, GROUP = 256, 2048
 #: Words, numbers and signs of the vocabulary's own rule; white space runs of
 #: more than one character need the whole rule, which is far slower.
 _SIMPLE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
@@ -66,6 +73,12 @@ class Encoder:
         return np.array([*ids, 0], "<u4")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder() -> Encoder:
+    """The encoder of this process, which its tasks share."""
+    return Encoder()
+
+
 def differencing(sizes: list[int], k: int) -> tuple[list[list[int]], int]:
     """Indices of `sizes` in k parts with near-equal sums, and the largest sum.
 
@@ -121,34 +134,23 @@ def windows(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
         k += 1
 
 
-_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in _DDL.split(", ")])
+_PIECE_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+_DDL = _PIECE_DDL + ", sequence_id bigint, offset bigint"
+_IDS = ", ids array<int>"
+#: Sequences of a group have numbers of their own up to this.
+_OF_GROUP = 1 << 24
 
 
-def _packer(capacity: int, piece: int, group: int, with_ids: bool):
-    schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _SCHEMA
+def _table(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    schema = pa.schema([(c.split()[0], pa.list_(pa.int32()) if "array" in c else pa.int64()) for c in ddl.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = Encoder(), TaskContext.get()
-        number = (task.partitionId() if task else 0) << 40  # of the next sequence: unlike in every task
-        loose: list[tuple] = []
-
-        def settle() -> list[tuple]:
-            nonlocal number, loose
-            out = []
-            for part in windows([x[2] for x in loose], capacity):
-                at = 0
-                for i in part:
-                    head, rest = loose[i][:5], loose[i][5:]
-                    out.append((*head, number, at, *rest))
-                    at += head[2]
-                number += 1
-            loose = []
-            return out
+def _cutter(capacity: int, piece: int, ddl: str):
+    with_ids = ddl.endswith(_IDS)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -157,19 +159,45 @@ def _packer(capacity: int, piece: int, group: int, with_ids: bool):
                 while at < n:
                     size = capacity if n - at >= capacity else min(piece, n - at)
                     part = ids[at : at + size]
-                    head, rest = (doc_id, at, size, zlib.crc32(part.tobytes()), n), ((part.astype(np.int32),) if with_ids else ())
-                    if size == capacity:
-                        rows.append((*head, number, 0, *rest))
-                        number += 1
-                    else:
-                        loose.append((*head, *rest))
+                    rows.append((doc_id, at, size, zlib.crc32(part.tobytes()), n, *((part.astype(np.int32),) if with_ids else ())))
                     at += size
-                if len(loose) >= group:
-                    rows += settle()
             if rows:
-                yield table(rows)
-        if loose:
-            yield table(settle())
+                yield _table(rows, ddl)
+
+    return cut
+
+
+def _packer(capacity: int, ddl: str):
+    """Rows (group, piece...) in the order of groups, to pieces with their sequence and offset."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group = None
+
+        def settle() -> pa.RecordBatch:
+            out, number = [], group * _OF_GROUP
+            full = [x for x in held if x[2] == capacity]
+            loose = [x for x in held if x[2] < capacity]
+            for x in full:
+                out.append((*x[:5], number, 0, *x[5:]))
+                number += 1
+            for part in windows([x[2] for x in loose], capacity):
+                at = 0
+                for i in part:
+                    out.append((*loose[i][:5], number, at, *loose[i][5:]))
+                    at += loose[i][2]
+                number += 1
+            return _table(out, ddl)
+
+        for batch in batches:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group and held:
+                    yield settle()
+                    held = []
+                group = g
+                held.append(tuple(row))
+        if held:
+            yield settle()
 
     return pack
 
@@ -180,4 +208,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     `with_ids` adds the ids themselves.
     """
     part = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return part.mapInArrow(_packer(capacity, piece, group, with_ids), _DDL + (", ids array<int>" if with_ids else ""))
+    more = _IDS if with_ids else ""
+    pieces = part.mapInArrow(_cutter(capacity, piece, _PIECE_DDL + more), _PIECE_DDL + more)
+    key = [c.split()[0] for c in _PIECE_DDL.split(", ")]
+    alike = staged(pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *([F.first("ids").alias("ids")] if with_ids else [])))
+    total, most = alike.agg(F.sum("rows"), F.max("rows")).first()
+    groups = max(1, -(-(total or 0) // group))
+    rows = repeated(alike, "rows", most=most or 0).withColumn("group", F.pmod(F.xxhash64(*key, "n"), F.lit(groups)))
+    dealt = rows.repartition("group").sortWithinPartitions("group", F.desc("length"), *key, "n")
+    return dealt.select("group", *key, *(["ids"] if with_ids else [])).mapInArrow(_packer(capacity, _DDL + more), _DDL + more)
