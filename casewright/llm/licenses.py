@@ -10,15 +10,18 @@ another family by themselves) aren't paragraphs of their own. Word n-grams (one
 training texts hold are the features of a multinomial logistic regression over
 licence families and `none`; it is sparse, as training drives most weights to
 zero (an L1 penalty). Probabilities are calibrated by a temperature on held-out
-texts; a paragraph whose best family stays below the calibrated limit is
-`unknown` if it is unlikely to be none. A family is confirmed if half of the
+texts, and the limit from which families are right with PRECISION is found on a
+third part, to which notices of licences that no family holds belong. A
+paragraph whose best family stays below the limit is `unknown` if it is unlikely
+to be none. A family is confirmed if half of the
 three-word n-grams of one of its templates, or half of those of the paragraph
 and LEAST at least, are shared. Rights that are reserved in the short form alone
 give way to any other confirmed notice of the document.
 
 Weights lie in arrays by a hash of the n-gram, with a fingerprint beside them,
 so a look-up takes constant time in a plain expression: no join, no shuffle, no
-Python. Texts with none of the words that any feature holds have no features,
+Python. An n-gram has two slots that it may lie in, and moves another one on
+where both are taken (Pagh and Rodler, 2001), so every feature has its place. Texts with none of the words that any feature holds have no features,
 and are `none` by the bias alone; a cheap pattern finds them.
 
 Defined cases: a null text is empty and has no paragraphs; repeated rows are
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import random
 import re
 from dataclasses import dataclass
@@ -92,6 +96,11 @@ TEMPLATES = {
 LOOSE = [
     "License: see the file LICENSE.", "This file is distributed under the terms stated in its license.", "The license of this work is described elsewhere.", "Licensed under the Foo Public License, version 7.", "Released under the Bar License.", "Subject to the terms of the license agreement with the vendor.",
 ]
+# Notices of licences that no family holds, which only the limit is found by.
+STRANGE = [
+    "Licensed under the European Union Public Licence, version 1.2.", "This file is made available under the terms of the Eclipse Public License 2.0.", "Distributed under the Boost Software License, Version 1.0.", "This work is released under the Artistic License 2.0.", "Licensed under the Microsoft Reciprocal License.",
+    "Use of this software is governed by the Business Source License included in the file.", "This font is licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: EPL-2.0", "Permission to copy this manual is granted by the city council.",
+]
 # Paragraphs that speak of such words and are no licence.
 OTHERS = [
     "He lost his driving license on the way to work.", "The software is free and the version is new.", "The public library is open to any person.", "The version of the story was published in May.", "You may obtain a copy of the book at the desk.", "Use the source of water with care.",
@@ -101,6 +110,8 @@ NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [NONE, *TEMPLATES, UNKNOWN]
 MOST, SLOTS = 3, 1 << 13
 CONFIRMED = 0.5
+#: The share of accepted families that shall be right.
+PRECISION = 0.98
 #: Three-word n-grams that a part of a notice shares with its template at least.
 LEAST = 5
 # Fixed value: the notice that says least; others of the same document go before it.
@@ -191,26 +202,54 @@ def examples(count: int, seed: int) -> list[tuple[str, int]]:
     return out
 
 
-def _slot(gram: str) -> tuple[int, int]:
+def _slots(gram: str) -> tuple[int, int, int]:
+    """The two slots of an n-gram, and its fingerprint."""
     h = xxhash.xxh64_intdigest(gram.encode(), seed=42)
-    return h % SLOTS, h - (1 << 64) if h >= 1 << 63 else h
+    return h % SLOTS, (h >> 32) % SLOTS, h - (1 << 64) if h >= 1 << 63 else h
+
+
+def placed(grams_: list[str], moves: int = 10_000) -> dict[str, int]:
+    """A slot of its own for every n-gram, out of its two."""
+    at: dict[int, str] = {}
+    for gram in grams_:
+        slot = _slots(gram)[0]
+        for _ in range(moves):
+            gram, at[slot] = at.get(slot), gram
+            if gram is None:
+                break
+            one, two, _ = _slots(gram)
+            slot = two if slot == one else one
+        else:
+            raise ValueError("too many n-grams for the slots")
+    return {gram: slot for slot, gram in at.items()}
+
+
+def strange(count: int, seed: int) -> list[tuple[str, int]]:
+    """Made paragraphs of STRANGE, whose label is unknown."""
+    rng = random.Random(seed)
+    return [(rng.choice(STRANGE), FAMILIES.index(UNKNOWN)) for _ in range(count)]
+
+
+def limit_of(sure: np.ndarray, right: np.ndarray, precision: float = PRECISION) -> float:
+    """The least probability from which answers are right with `precision`; 1 if there is none."""
+    order = np.argsort(-sure, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero((share >= precision) & np.append(sure[order][1:] < sure[order][:-1], True))
+    return float(sure[order][good[-1]]) if len(good) else 1.0
 
 
 @functools.lru_cache(maxsize=2)
-def trained(count: int = 3000, seed: int = 0, rounds: int = 300, penalty: float = 2e-4) -> Licenses:
-    """The classifier of `count` made paragraphs; one in four calibrates it."""
+def trained(count: int = 4000, seed: int = 0, rounds: int = 300, penalty: float = 2e-4) -> Licenses:
+    """The classifier of `count` made paragraphs: two thirds fit it, a sixth each calibrates it and finds its limit."""
     data = examples(count, seed)
-    fit, held = [d for k, d in enumerate(data) if k % 4], [d for k, d in enumerate(data) if not k % 4]
+    parts = [[d for k, d in enumerate(data) if k % 6 in which] for which in ((0, 1, 2, 3), (4,), (5,))]
+    fit, held, last = parts[0], parts[1], parts[2] + strange(count // 60, seed)
     seen: dict[str, int] = {}
     known = {g for t in [*sum(TEMPLATES.values(), []), *LOOSE, *OTHERS] for g in grams(tokens(t))}
-    taken: set[int] = set()
     for text, _ in fit:
         for g in grams(tokens(text), known):
-            if g not in seen and _slot(g)[0] not in taken:  # one n-gram a slot
-                taken.add(_slot(g)[0])
-                seen[g] = len(seen)
-    matrix = lambda rows: _matrix(rows, seen)
-    x, y = matrix(fit), np.array([d[1] for d in fit])
+            seen.setdefault(g, len(seen))
+    x, y = _matrix(fit, seen), np.array([d[1] for d in fit])
     w, b = np.zeros((len(seen), len(FAMILIES))), np.zeros(len(FAMILIES))
     one = np.eye(len(FAMILIES))[y]
     rate = 4.0 / max(1.0, x.sum(axis=1).mean())
@@ -221,27 +260,31 @@ def trained(count: int = 3000, seed: int = 0, rounds: int = 300, penalty: float
         w -= rate * (x.T @ (p - one)) / len(y)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         b -= rate * (p - one).mean(axis=0)
-    hx, hy = matrix(held), np.array([d[1] for d in held])
-    z = hx @ w + b
+    z, hy = _matrix(held, seen) @ w + b, np.array([d[1] for d in held])
 
     def loss(t: float) -> float:
         s = z / t
         s = s - s.max(axis=1, keepdims=True)
         return float(-(s[np.arange(len(hy)), hy] - np.log(np.exp(s).sum(axis=1))).mean())
 
-    temperature = min((0.25 * 1.15**k for k in range(25)), key=loss)
+    low, high = 0.01, 10.0  # the loss has one minimum over the logarithm of the temperature
+    for _ in range(60):
+        one_third, two_thirds = (math.exp(math.log(low) + (math.log(high) - math.log(low)) * q) for q in (1 / 3, 2 / 3))
+        low, high = (low, two_thirds) if loss(one_third) <= loss(two_thirds) else (one_third, high)
+    temperature = math.sqrt(low * high)
+    z, ly = _matrix(last, seen) @ w + b, np.array([d[1] for d in last])
     p = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
     p /= p.sum(axis=1, keepdims=True)
     best, sure = p.argmax(axis=1), p.max(axis=1)
-    wrong = sure[(best != hy) & (best > 0)]
-    limit = float(min(max(0.5, np.quantile(wrong, 0.9) if len(wrong) else 0.5), 0.9))
+    named = (best > 0) & (best < FAMILIES.index(UNKNOWN))
+    limit = limit_of(sure[named], (best == ly)[named])
     use = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
     names = {i: g for g, i in seen.items()}
     weights, prints = np.zeros((SLOTS, len(FAMILIES))), np.zeros(SLOTS, np.int64)
-    vocabulary = {}
+    vocabulary = placed([names[i] for i in use])
     for i in use:
-        slot, mark = _slot(names[i])
-        weights[slot], prints[slot], vocabulary[names[i]] = w[i], mark, slot
+        slot = vocabulary[names[i]]
+        weights[slot], prints[slot] = w[i], _slots(names[i])[2]
     anchors = sorted({v for g in vocabulary for v in g.split() if v not in COMMON})
     return Licenses(weights, prints, b, float(temperature), limit, anchors, vocabulary)
 
@@ -289,7 +332,9 @@ def paragraphs(text: Column, model: Licenses) -> Column:
         return let(sums, lambda z: let(F.array_max(z), lambda top: let(F.transform(z, lambda v: F.exp((v - top) / F.lit(model.temperature))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))))
 
     def verdict(words: Column) -> Column:
-        hits = F.transform(grams_of(words), lambda g: let(F.xxhash64(g), lambda h: let(h.bitwiseAND(F.lit(SLOTS - 1).cast("bigint")).cast("int") + 1, lambda s: F.when(F.element_at(prints, s) == h, s))))
+        slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1).cast("bigint")).cast("int") + 1
+        either = lambda h, one, two: F.when(F.element_at(prints, one) == h, one).when(F.element_at(prints, two) == h, two)
+        hits = F.transform(grams_of(words), lambda g: let(F.xxhash64(g), lambda h: let(slot(h), lambda one: let(slot(F.shiftrightunsigned(h, 32)), lambda two: either(h, one, two)))))
         return let(scored(F.array_compact(hits)), lambda p: let(F.array_position(p, F.array_max(p)).cast("int"), lambda best: named(words, p, best)))
 
     def named(words: Column, p: Column, best: Column) -> Column:
