@@ -4,7 +4,12 @@
 are raw or packed with PackBits, LZW or deflate, undoes horizontal predictors,
 and yields one page a directory: 8-bit samples, chunky or planar. `encode`
 writes such files. Bytes are handled a file at a time within Arrow batches, so
-memory is bound by the largest file.
+memory is bound by the largest file: a page that claims more samples than its
+bytes could unpack to is refused before anything is made.
+
+`store` cuts bytes into pages of PAGE_ROWS rows at most, and gives each page the
+one of LAYOUTS that a checksum of the bytes and the page's number name, so that
+every packing, predictor and tiling takes part in what is stored and read back.
 
 Defined cases: a null text is empty, padded to one row of pixels; null media and
 those whose directories can't be followed give one row with `error` and no
@@ -34,6 +39,11 @@ _CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 #: The store pads to rows of this many bytes: 64 pixels of three samples.
 ROW, PIXELS = 192, 64
 _STRIP_ROWS = 256
+#: Rows of a stored page, and how pages are packed: compression, predictor, tile, rows of a strip.
+PAGE_ROWS = 512
+LAYOUTS = ((DEFLATE, 2, 0, 256), (LZW, 1, 0, 128), (DEFLATE, 2, 64, 0), (PACKBITS, 1, 0, 64), (RAW, 2, 64, 0), (DEFLATE, 1, 0, 512), (PACKBITS, 2, 32, 0), (DEFLATE, 2, 0, 32))
+#: The most bytes that a byte can unpack to, by compression; of raw ones a few missing are told where they are read.
+_GROWTH = {RAW: 64, LZW: 2560, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -52,90 +62,114 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        j = i + 1
-        while j < len(data) and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 2:
-            out += bytes((257 - (j - i), data[i]))
-        else:
-            while j < len(data) and j - i < 128 and not (j + 1 < len(data) and data[j] == data[j + 1]):
-                j += 1
-            out += bytes((j - i - 1,)) + data[i:j]
-        i = j
+    """Runs of equal bytes as a run each, what lies between as it is; both of 128 at most."""
+    if not data:
+        return b""
+    x = np.frombuffer(data, np.uint8)
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+    length = np.diff(cut)
+    out, plain = bytearray(), 0  # plain: where what isn't packed yet begins
+
+    def literal(end: int) -> None:
+        for k in range(plain, end, 128):
+            n = min(128, end - k)
+            out.append(n - 1)
+            out.extend(data[k : k + n])
+
+    for i in np.flatnonzero(length > 2).tolist():
+        at, n = int(cut[i]), int(length[i])
+        literal(at)
+        for k in range(0, n, 128):
+            m = min(128, n - k)
+            out.extend((257 - m, data[at]) if m > 1 else (0, data[at]))
+        plain = at + n
+    literal(len(data))
     return bytes(out)
 
 
+#: How many codes of a table have 9, 10 and 11 bits; all later ones have 12.
+_LZW_RUNS = ((9, 254), (10, 512), (11, 1024))
+_CLEAR, _END, _FULL = 256, 257, 4095
+
+
+def _lzw_codes(bits: np.ndarray, at: int) -> Iterator[list[int]]:
+    """Codes from a bit on, as long as no table is cleared; wider ones one code early."""
+    for width, count in (*_LZW_RUNS, *((12, 4096) for _ in range(len(bits) // (12 * 4096) + 1))):
+        n = min(count, (len(bits) - at) // width)
+        if n <= 0:
+            return
+        yield (bits[at : at + n * width].reshape(n, width) @ (1 << np.arange(width - 1, -1, -1))).tolist()
+        at += n * width
+
+
 def unpack_lzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes from the high bit on, wider one code early."""
-    table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, width, bits, held, last = [], 9, 0, 0, b""
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        while bits >= width:
-            bits -= width
-            code = held >> bits
-            held &= (1 << bits) - 1
-            if code == 257:
-                return b"".join(out)
-            if code == 256:
-                del table[258:]
-                width, last = 9, b""
-                continue
-            if code < len(table):
-                entry = table[code]
-            elif last and code == len(table):
-                entry = last + last[:1]
-            else:
-                raise ValueError("LZW code out of order")
-            out.append(entry)
-            if last:
-                table.append(last + entry[:1])
-                width = max(9, min(12, (len(table) + 1).bit_length()))
-            last = entry
+    """TIFF's LZW: codes from the high bit on."""
+    bits, at, out = np.unpackbits(np.frombuffer(data, np.uint8)), 0, []
+    single = [bytes((i,)) for i in range(256)] + [b"", b""]
+    while at < len(bits):
+        table, last, k, cleared = single[:], b"", 0, False
+        for codes in _lzw_codes(bits, at):
+            for code in codes:
+                k += 1
+                if code >= _CLEAR and code <= _END:
+                    cleared = True
+                    break
+                if code < len(table):
+                    entry = table[code]
+                elif last and code == len(table):
+                    entry = last + last[:1]
+                else:
+                    raise ValueError("LZW code out of order")
+                out.append(entry)
+                if last:
+                    table.append(last + entry[:1])
+                last = entry
+            if cleared:
+                break
+        if not cleared or code == _END:
+            break
+        for width, count in (*_LZW_RUNS, (12, k)):  # the bits of the k codes up to the cleared table
+            n = min(k, count)
+            at, k = at + n * width, k - n
     return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, held, bits, width = bytearray(), 0, 0, 9
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    table, prefix = {bytes((i,)): i for i in range(256)}, b""
-    put(256)
-    free = 258
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
-            continue
-        put(table[prefix])
-        table[longer] = free
-        free += 1
-        if free == 4095:
-            put(256)
-            table, free, width = {bytes((k,)): k for k in range(256)}, 258, 9
+    codes, table, free = [_CLEAR], {}, 258
+    get, put = table.get, codes.append
+    prefix = data[0] if data else None
+    for byte in data[1:]:
+        key = prefix << 8 | byte
+        code = get(key)
+        if code is None:
+            put(prefix)
+            table[key] = free
+            free += 1
+            if free == _FULL:
+                put(_CLEAR)
+                table.clear()
+                free = 258
+            prefix = byte
         else:
-            width = max(9, min(12, free.bit_length()))
-        prefix = data[i : i + 1]
-    if prefix:
-        put(table[prefix])
-        free += 1
-        width = max(9, min(12, free.bit_length()))
-    put(257)
-    if bits:
-        out.append((held << (8 - bits)) & 255)
-    return bytes(out)
+            prefix = code
+    if prefix is not None:
+        put(prefix)
+    put(_END)
+    x = np.array(codes, np.int64)
+    # a code's bits follow from how many codes there were since the last cleared table
+    clear = np.maximum.accumulate(np.where(np.concatenate(([True], x[:-1] == _CLEAR)), np.arange(len(x)), 0))
+    free_then = 258 + np.arange(len(x)) - clear
+    width = 9 + (free_then >= 512) + (free_then >= 1024) + (free_then >= 2048)
+    wide = np.unpackbits((x << (16 - width)).astype(">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(wide[np.arange(16) < width[:, None]]).tobytes()
+
 
+def _inflate(data: bytes, most: int) -> bytes:
+    """At most so many bytes; what is cut short gives what there is."""
+    return zlib.decompressobj().decompress(data, most)
 
-_UNPACK = {RAW: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+
+_UNPACK = {RAW: lambda b, n: bytes(b), LZW: lambda b, n: unpack_lzw(b), DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: lambda b, n: unpack_bits(b)}
 _PACK = {RAW: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits}
 
 
@@ -166,8 +200,8 @@ def _block(raw: bytes, compression: int, predictor: int, rows: int, width: int,
     """A strip or tile as rows x width x samples."""
     if compression not in _UNPACK:
         raise ValueError(f"compression {compression} isn't supported")
-    data = np.frombuffer(_UNPACK[compression](raw), np.uint8)
     need = rows * width * samples
+    data = np.frombuffer(_UNPACK[compression](raw, need), np.uint8)
     if len(data) < need:
         raise ValueError(f"a strip or tile has {len(data)} of {need} bytes")
     block = data[:need].reshape(rows, width, samples)
@@ -178,16 +212,23 @@ def decode(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     """The samples of a directory's page: height x width x samples, 8 bits each."""
     one = lambda tag, default=None: tags.get(tag, [default])[0]
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    if not width or not height or not samples or min(width, height, samples) < 0:
+        raise ValueError("a page has no samples")
     if any(b != 8 for b in tags.get(BITS, [1])):
         raise ValueError("samples aren't of 8 bits")
     compression, predictor, planes = one(COMPRESSION, 1), one(PREDICTOR, 1), samples if one(PLANAR, 1) == 2 else 1
     if predictor not in (1, 2):
         raise ValueError(f"predictor {predictor} isn't supported")
     depth = samples // planes
-    out = np.zeros((height, width, samples), np.uint8)
     tiled = TILE_OFFSETS in tags
     bw, bh = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    if not bw or not bh or min(bw, bh) < 0:
+        raise ValueError("a strip or tile has no samples")
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    held = sum(min(max(size, 0), len(data)) for size in sizes)
+    if max(height * width * samples, bw * bh * depth) > held * _GROWTH.get(compression, 0) and compression in _UNPACK:
+        raise ValueError(f"{held} bytes can't hold {height} x {width} x {samples} samples")
+    out = np.zeros((height, width, samples), np.uint8)
     across, down = -(-width // bw), -(-height // bh)
     if len(offsets) < across * down * planes:
         raise ValueError(f"{len(offsets)} of {across * down * planes} strips or tiles")
@@ -208,8 +249,13 @@ def pages(data: bytes) -> Iterator[np.ndarray]:
 
 def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, tile: int = 0, strip_rows: int = _STRIP_ROWS) -> bytes:
     """A little-endian TIFF file with a directory for each image (height x width x samples)."""
+    return encode_pages([(image, (compression, predictor, tile, strip_rows)) for image in images])
+
+
+def encode_pages(laid: list[tuple[np.ndarray, tuple[int, int, int, int]]]) -> bytes:
+    """The same of images that each have a layout of their own."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for image in images:
+    for image, (compression, predictor, tile, strip_rows) in laid:
         height, width, samples = image.shape
         bh, bw = (tile, tile) if tile else (strip_rows, width)
         offsets, sizes = [], []
@@ -256,8 +302,9 @@ def feature(image: np.ndarray) -> str:
 
 
 def store(payload: bytes) -> bytes:
-    """Bytes, a multiple of ROW, as an image of PIXELS x 3 samples a row."""
-    return encode([np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, 3)])
+    """Bytes, a multiple of ROW, as pages of PIXELS x 3 samples a row."""
+    image, first = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, 3), zlib.crc32(payload)
+    return encode_pages([(image[at : at + PAGE_ROWS], LAYOUTS[(first + at // PAGE_ROWS) % len(LAYOUTS)]) for at in range(0, len(image), PAGE_ROWS)])
 
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -271,7 +318,7 @@ def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             payload = raw + b" " * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))
             media = store(payload)
-            (page,) = pages(media)  # read back from the stored bytes
+            page = np.concatenate(list(pages(media)))  # read back from the stored bytes
             back = page.tobytes()
             rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(page)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(_STORED), _STORED, strict=True)], schema=_STORED)
@@ -287,7 +334,7 @@ _PAGE_DDL = "id bigint, page int, height int, width int, samples int, pixels bin
 _PAGE = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("samples", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
 
 
-_BROKEN = (ValueError, KeyError, TypeError, IndexError, ZeroDivisionError, struct.error, zlib.error)
+_BROKEN = (ValueError, KeyError, TypeError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error)
 
 
 def _pages_of(key: int | None, media: bytes | None) -> Iterator[tuple]:
