@@ -41,6 +41,11 @@ def gated(similarity: Column, keyword: Column) -> Column:
     return F.coalesce(g * sigmoid(similarity / 0.1) + (1 - g) * keyword, keyword)
 
 
+def idf_terms(keywords: Column, name: Column) -> Column:
+    """What the specificity of a code is told from: its distinct keywords in lower case, and its name."""
+    return F.concat(F.array_distinct(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), F.lower)), F.when(name != "", F.array(F.lower(name))).otherwise(F.array().cast("array<string>")))
+
+
 def heuristic_idf(keywords: Column, most: int = 500) -> Column:
     """Specificity guessed from the number and length of keywords."""
     n = F.size(keywords)
@@ -56,6 +61,17 @@ def keyword_share(text: Column, terms: Column, soft: bool = True) -> Column:
     return F.coalesce(hits / F.nullif(F.size(terms), F.lit(0)), F.lit(0.0)) if soft else (hits > 0).cast("double")
 
 
+def with_name(keywords: Column, matched: Column, name: Column) -> Column:
+    """The terms of a code: its distinct keywords and matched ones, and its name, if it has one."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.array_union(F.coalesce(keywords, none), F.coalesce(matched, none)), F.when(name != "", F.array(name)).otherwise(none))
+
+
+def specificity(idf: Column, low: float = 0.5, high: float = 3.0) -> Column:
+    """The inverse document frequency scaled to 0 to 1."""
+    return clamp((idf - low) / (high - low), 0.0, 1.0)
+
+
 def confidence(matched: Column, keywords: Column, text: Column, mult: Column) -> Column:
     """Level-1 confidence from the number, coverage, length and repetition of matches."""
     from .text import occurrences

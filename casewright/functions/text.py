@@ -50,6 +50,39 @@ def occurrences(text: Column, word: Column) -> Column:
     return F.when(F.length(word) > 0, ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")).otherwise(0)
 
 
+def word_count(text: Column) -> Column:
+    """Words between white space; null and blank texts have none."""
+    t = collapsed(text)
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+
+
+def sentence_class(text: Column, clauses: list[str], negations: list[str], own: list[str], other: list[str]) -> Column:
+    """length, complexity, negated and actor of a text, from its size, commas and the caller's markers."""
+    t = F.coalesce(text, F.lit(""))
+    held = lambda words: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0))
+    score = F.length(t) - F.length(F.translate(t, ",，", "")) + held(clauses)
+    mine, theirs = held(own) > 0, held(other) > 0
+    return F.struct(
+        F.when(F.length(t) < 80, "short").when(F.length(t) > 200, "long").otherwise("medium").alias("length"), F.when(score <= 2, "simple").when(score >= 6, "complex").otherwise("moderate").alias("complexity"),
+        (held(negations) > 0).alias("negated"), F.when(mine & theirs, "mixed").when(mine, "self").when(theirs, "other").otherwise("unclear").alias("actor"),
+    )
+
+
+def masked(text: Column, titles: list[str], places: list[str], spare: list[str] = ()) -> Column:
+    """text and n: names behind titles, words behind place words, and dates put as marks, and how many there were.
+
+    A name that holds one of the words to spare, as those of actors, stays.
+    """
+    quoted = lambda ws: "|".join(f"\\Q{w}\\E" for w in ws) or "[^\\s\\S]"
+    keep = f"(?!\\S*(?:{quoted(spare)}))" if spare else ""
+    marks = ((f"(?:{quoted(titles)}) ?{keep}\\S+", "[NAME]"), (f"(?:{quoted(places)}) ?{keep}\\S+", "[PLACE]"), (r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})\b", "[DATE]"))
+    out, n = F.coalesce(text, F.lit("")), F.lit(0)
+    for pattern, mark in marks:
+        n = n + F.regexp_count(out, F.lit(pattern))
+        out = F.regexp_replace(out, pattern, mark)
+    return F.struct(out.alias("text"), n.alias("n"))
+
+
 def length_gate(text: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.log10(F.length(text) / 10.0 + 1) + 0.5), 4)
 

@@ -37,6 +37,19 @@ def cuts(text: Column, longest: int = 2000, overlap: int = 300) -> Column:
     return F.when(F.length(text) <= longest, F.array(text)).otherwise(cut(text))
 
 
+def all_cuts(paragraphs: Column, longest: int = 2000, overlap: int = 300) -> Column:
+    """The cuts of all paragraphs of a document in order, in its row; only rows with a long paragraph go through Python."""
+    if not 0 <= overlap < longest:
+        raise ValueError("overlap must be from 0 to below longest")
+
+    @F.pandas_udf("array<string>")
+    def cut(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ps: None if ps is None else [c for p in ps for c in overlapping(p, longest, overlap)])
+
+    short = F.forall(paragraphs, lambda p: F.length(p) <= longest)
+    return F.coalesce(F.when(short, paragraphs), cut(F.when(~short, paragraphs)))
+
+
 def cleaned(text: Column, deletions: list[str] = ()) -> Column:
     """The text without what the patterns match, runs of blank lines as one, trimmed; null is empty."""
     out = F.coalesce(text, F.lit(""))
@@ -52,9 +65,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     that are too short or long or have too few characters of the script.
     """
     paragraphs = F.filter(F.transform(F.split(cleaned(F.col(text), deletions), "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    p = docs.select(F.col(key), F.coalesce(F.col(source), F.lit("unknown")).alias("_source"), F.posexplode(paragraphs).alias("_at", "_p"))
-    # numbered in the document by the chunks of the paragraphs before: one array per document, in paragraph order
-    whole = p.withColumn("_cuts", cuts(F.col("_p"), longest, overlap)).groupBy(key, "_source").agg(F.array_sort(F.collect_list(F.struct("_at", "_cuts"))).alias("_all"))
-    c = whole.select(key, "_source", F.posexplode(F.flatten(F.transform("_all", lambda x: x["_cuts"]))).alias("chunk_index", "content"))
+    d = docs.select(F.col(key), F.coalesce(F.col(source), F.lit("unknown")).alias("_source"), paragraphs.alias("_p"))
+    c = d.select(key, "_source", F.posexplode(all_cuts(F.col("_p"), longest, overlap)).alias("chunk_index", "content"))
     n = F.length("content")
     return c.where(n.between(least, longest) & (script_ratio(F.col("content"), *script) >= ratio)).select(key, "chunk_index", chunk_id(F.col("_source"), F.col("content"), F.col("chunk_index")).alias("chunk_id"), "content", n.alias("char_count"))

@@ -46,8 +46,46 @@ def downgraded(found: DataFrame, prefers: DataFrame) -> DataFrame:
     return found.join(weak, ["case_id", "code"], "left").withColumn("confidence", F.when(F.col("weak"), F.least("confidence", F.lit(0.24))).otherwise(F.col("confidence"))).withColumn("valid", F.col("weak").isNull()).drop("weak")
 
 
-def review_status(confidence_: Column, valid: Column) -> Column:
-    return F.when(valid & (confidence_ >= 0.6), "confirmed").otherwise("needs_review")
+def review_status(confidence_: Column, valid: Column, level: Column | None = None, filtered: Column | None = None, baseline: Column | None = None, documents: Column | None = None) -> Column:
+    """What a reviewer is to do with a code: of a filtered one, of one of a baseline, of one that asks for documents, or of any other."""
+    no = F.lit(False)
+    filtered, baseline, documents = (no if c is None else c for c in (filtered, baseline, documents))
+    known = F.lit(True) if level is None else level.isin("L1", "L2")
+    out = F.when(documents, "verify_documents").when(baseline, "baseline_filtered").otherwise("filtered")
+    kept = F.when(baseline, "baseline_candidate").when(documents, "verify_documents").when(valid & (confidence_ >= 0.6) & known, "confirmed").otherwise("needs_review")
+    return F.when(filtered, out).otherwise(kept)
+
+
+def review_summary(items: DataFrame) -> DataFrame:
+    """For each case the number of its codes (case_id, status, filtered) by status, accepted and filtered ones, and all."""
+    each = ("confirmed", "needs_review", "verify_documents", "filtered", "baseline_candidate", "baseline_filtered")
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in each]
+    return items.groupBy("case_id").agg(*counts, F.count_if(~F.col("filtered")).alias("accepted_total"), F.count_if(F.col("filtered")).alias("filtered_total"), F.count(F.lit(1)).alias("total"))
+
+
+def ambiguity(found: DataFrame, declared: DataFrame, unsure: DataFrame) -> DataFrame:
+    """For each case: review_codes (in a conflict, or in `unsure`: case_id, code), conflict_links, and a level from their numbers."""
+    c = conflicts(found, declared)
+    links = c.groupBy("case_id").agg(F.count(F.lit(1)).alias("conflict_links"))
+    both = c.select("case_id", "code").unionByName(c.select("case_id", F.col("other").alias("code"))).unionByName(unsure.select("case_id", "code")).distinct()
+    r = both.groupBy("case_id").agg(F.count(F.lit(1)).alias("review_count"), F.array_join(F.array_sort(F.collect_list("code")), ",").alias("review_codes")).join(links, "case_id", "left").fillna(0, ["conflict_links"])
+    most = F.greatest("review_count", "conflict_links")
+    return r.select("case_id", "review_count", "review_codes", "conflict_links", F.when(most >= 4, "high").when(most >= 2, "medium").otherwise("low").alias("level"))
+
+
+def tag_coverage(docs: DataFrame, tags: DataFrame) -> DataFrame:
+    """documents, tagged ones, their share, and the number of tags of `auto_tags`."""
+    t = tags.select("doc_id", F.size(F.split("codes", ",")).alias("n"))
+    d = docs.select("doc_id").join(t, "doc_id", "left")
+    return d.agg(F.count(F.lit(1)).alias("documents"), F.count("n").alias("tagged"), F.round(F.count("n") / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("share"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("tags"))
+
+
+def tools_by_rule(found: DataFrame, rules: DataFrame, always: DataFrame) -> DataFrame:
+    """Tools of the rules (pattern, tool, priority) whose pattern a code of the case begins with, and those for every case (tool, priority), once each."""
+    hit = found.join(F.broadcast(rules), F.rlike(F.col("code"), F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")")))).select("case_id", "tool", "priority")
+    every = found.select("case_id").distinct().join(F.broadcast(always))
+    d = hit.unionByName(every.select("case_id", "tool", "priority")).groupBy("case_id", "tool").agg(F.max("priority").alias("priority"))
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("priority").desc(), "tool")))
 
 
 def severity_level(codes_crisis: Column, most: Column) -> Column:

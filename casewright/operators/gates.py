@@ -34,24 +34,29 @@ def _has(text: Column, words: list[str]) -> Column:
 def negated(text: Column, word: Column, m: Markers, window: Column) -> Column:
     """Whether a negation lies before the word's first occurrence, within the window and its clause.
 
-    An exception between the last negation and the word undoes it.
+    An exception from the last negation to the end of the word undoes it.
     """
     at = F.instr(text, word)
     before = F.substring(text, F.greatest(F.lit(1), at - window), F.least(window, at - 1))
     clause = F.regexp_replace(before, f"(?s)^.*{any_of(m.clause)}", "")
     span = F.regexp_extract(clause, f"(?s)^.*({any_of(m.negation)}.*)$", 1)
-    return (at > 0) & (span != "") & ~_has(span, m.exceptions)
+    return (at > 0) & (span != "") & ~_has(F.concat(span, word), m.exceptions)
 
 
 def polarity(found: DataFrame, m: Markers, mode: str = "balanced", least_severity: int = 3, other: float = 0.85, reported: float = 0.70) -> DataFrame:
-    """`found` (text in lower case, matched, severity) with gate_neg, gate_len, gate_sub and gate_total.
+    """`found` (text in lower case, matched, severity, maybe name) with gate_neg, gate_len, gate_sub and gate_total.
 
+    A code's terms are its matched words and, where the text holds it, its name.
     Texts without the teller's own words are weaker, reported ones most so; that
     is only asked of severe codes. A code without matched words isn't negated.
     """
     text, window = F.col("text"), adaptive_window(F.col("text"), mode)
-    hits = F.size(F.filter("matched", lambda k: negated(text, F.lower(k), m, window)))
-    neg = F.when(F.size("matched") > 0, F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - 0.6 * hits / F.size("matched")))).otherwise(1.0)
+    terms = F.transform("matched", F.lower)
+    if "name" in found.columns:
+        named = (F.col("name") != "") & F.contains(text, F.lower("name"))
+        terms = F.concat(terms, F.when(named, F.array(F.lower("name"))).otherwise(F.array().cast("array<string>")))
+    hits, n = F.size(F.filter(terms, lambda k: negated(text, k, m, window))), F.size(terms)
+    neg = F.when(n > 0, F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - 0.6 * hits / n))).otherwise(1.0)
     sub = F.when((F.col("severity") < least_severity) | _has(text, m.own), 1.0).when(_has(text, m.reported), reported).when(_has(text, m.other), other).otherwise(1.0)
     d = found.withColumns({"gate_neg": F.round(neg, 4), "gate_len": length_gate(F.regexp_replace(text, r"^\s+|\s+$", "")), "gate_sub": sub})
     return d.withColumn("gate_total", F.round(F.col("gate_neg") * F.col("gate_len") * F.col("gate_sub"), 4))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.scoring import dot
 from casewright.functions.text import tokens
+from casewright.functions.windows import bound
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -17,34 +20,53 @@ def ranked(scored: DataFrame, by: list[str], k: int, score: str = "score", tie:
     return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def within(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, to be broadcast if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def term_counts(terms: Column) -> Column:
+    """Structs of each term and how often it is in the array: run lengths of the sorted array, in the row."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+        return bound(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
+
+    return bound(F.array_sort(terms), runs)
+
+
 def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (doc_id, term, tf, dl) and term weights (term, df, idf).
+    """Postings (doc_id, dl, term, tf) and term weights (term, df, idf, avgdl).
 
     Negative weights become a quarter of the mean weight, as in the public
-    package of the same name. Texts are exploded once; counts combine before
-    the shuffle.
+    package of the same name. A document's terms are counted in its row, so
+    postings aren't shuffled; of the vocabulary a count a task is.
     """
     d = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    postings = d.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    total = d.agg(F.count(F.lit(1)).alias("n"))
+    postings = d.select("doc_id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("p")).select("doc_id", "dl", "p.term", "p.tf")
+    total = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
-    raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.select("term", "df", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     return postings, idf
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, padded: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank; queries are (query_id, text).
 
-    Query terms are put on the weights first, so only postings of query terms
-    are shuffled. `padded` also ranks documents that share no term, with 0.
+    The terms of the queries, if their count allows it, travel to the postings,
+    so that of these only sums for a query and a document are shuffled. `padded`
+    also ranks documents that share no term, with 0.
     """
     postings, idf = bm25_index(docs)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    mean = docs.select(F.size(tokens(F.col("text"))).alias("dl")).where("dl > 0").agg(F.avg("dl").alias("avgdl"))
+    few = within(asked)
+    weights = few.join(idf, "term")
+    if few is not asked:  # no more rows than the terms of the queries
+        weights = F.broadcast(weights)
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = postings.join(asked.join(idf, "term"), "term").join(F.broadcast(mean)).groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("qf")).alias("score"))
+    hits = postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("qf")).alias("score"))
     if padded:
         everything = queries.select("query_id").join(docs.where(F.size(tokens(F.col("text"))) > 0).select("doc_id"))
         hits = everything.join(hits, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
@@ -54,9 +76,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, padded: bool = False)
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank by cosine of unit vectors; a stated query set against all rows.
 
-    The queries travel to the vectors, which never move but for each task's candidates.
+    The queries, counted, travel to the vectors, which never move but for each task's candidates.
     """
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("qvec"), F.col("vec")))).alias("score"))
+    scored = vectors.join(within(queries, 10_000)).select("query_id", "doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("qvec"), F.col("vec")))).alias("score"))
     return ranked(scored, ["query_id"], k)
 
 
@@ -74,7 +96,7 @@ def coverage(docs: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
     terms = q.select("query_id", F.size("q").alias("n"), F.explode("q").alias("term"))
     d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return d.join(terms, "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
+    return d.join(within(terms), "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, depth: int = 25, fused: int = 30) -> DataFrame:
@@ -84,9 +106,12 @@ def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, depth: int = 25, fu
     return ranked(pool.join(second, ["query_id", "doc_id"], "left").fillna(0.0, ["score"]), ["query_id"], k)
 
 
-def feedback_terms(docs: DataFrame, queries: DataFrame, from_docs: int = 3, each: int = 5, most: int = 5) -> DataFrame:
-    """query_id and the new words (longer than three) of the best documents, in order of rank and place."""
-    best = bm25(docs, queries, 5).where(F.col("rank") <= from_docs)
+def feedback_terms(docs: DataFrame, queries: DataFrame, from_docs: int = 3, each: int = 5, most: int = 5, first: DataFrame | None = None) -> DataFrame:
+    """query_id and the new words (longer than three) of the best documents, in order of rank and place.
+
+    The best are those of `first` (query_id, doc_id, rank), or of BM25.
+    """
+    best = (first if first is not None else bm25(docs, queries, 5)).select("query_id", "doc_id", "rank").where(F.col("rank") <= from_docs)
     words = best.join(docs, "doc_id").select("query_id", "rank", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).where(F.length("word") > 3)
     words = words.groupBy("query_id", "rank", "word").agg(F.min("pos").alias("pos"))
     own = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("word")).distinct()
@@ -99,5 +124,27 @@ def feedback_terms(docs: DataFrame, queries: DataFrame, from_docs: int = 3, each
     return new.select("query_id", F.col("n").alias("position"), "word")
 
 
+def expanded(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """The queries with their words (query_id, position, word) put behind the text."""
+    added = terms.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "word"))), lambda x: x["word"]), " ").alias("more"))
+    return queries.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
+
+
+def feedback(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Pseudo-relevance feedback: hybrid retrieval with the new words of its own first documents."""
+    return hybrid(docs, expanded(queries, feedback_terms(docs, queries, first=hybrid(docs, queries, 5))), k)
+
+
+def hypothetical(docs: DataFrame, queries: DataFrame, search: Callable[..., DataFrame], generate: Callable[[Column], Column] | None = None, k: int = 10) -> DataFrame:
+    """What a generated document finds, and `fallback`, whether the query itself had to do.
+
+    `generate` gives a text for a query's, or null; without it all queries fall back.
+    """
+    made = generate(F.col("text")) if generate else F.lit(None).cast("string")
+    q = queries.withColumn("made", made).withColumn("fallback", F.coalesce(F.trim("made") == "", F.lit(True)))
+    found = search(docs, q.select("query_id", F.when(F.col("fallback"), F.col("text")).otherwise(F.col("made")).alias("text")), k)
+    return found.join(q.select("query_id", "fallback"), "query_id")
+
+
 def final_score(score: Column, reranked: Column) -> Column:
     return F.coalesce(reranked, score)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions.scoring import calibrated, clamp, heuristic_idf, keyword_share, sigmoid
+from casewright.functions.scoring import calibrated, clamp, cosine, gated, heuristic_idf, idf_terms, keyword_share, margin, sigmoid, specificity, with_name
 
 from . import retrieval
 
@@ -15,6 +15,8 @@ WEIGHTS = {"detect": 0.35, "semantic": 0.30, "prior": 0.15, "specificity": 0.10,
 
 def priors(found: DataFrame, mode: str = "severity") -> DataFrame:
     """`found` with the prior of each code in its case: smoothed severity, floored, adding up to 1."""
+    if mode not in ("severity", "uniform"):
+        raise ValueError(f"unknown prior mode {mode!r}")
     w = Window.partitionBy("case_id")
     n, total = F.count(F.lit(1)).over(w), F.sum("severity").over(w)
     raw = 1.0 / n if mode == "uniform" else F.when(total > 0, (F.col("severity") + MU / n) / (total + MU)).otherwise(1.0 / n)
@@ -29,27 +31,80 @@ def case_level(with_prior: DataFrame, alpha: float = 1.0) -> DataFrame:
     d = d.withColumn("kl", F.when(F.col("n") > 1, clamp(F.col("plogp") + F.log(F.col("n")), 0.0, 2.0)).otherwise(0.0))
     d = d.withColumn("alpha", F.greatest(F.lit(FLOOR), 2 * alpha * sigmoid(0.3 * F.col("n") + 0.5 * F.col("mean_conf") - 0.95)))
     eff = F.greatest(F.lit(FLOOR), F.col("alpha") * (1 + 0.5 * F.col("entropy")) * (1 - 0.15 * F.col("kl")))
-    return d.select("case_id", "n", "entropy", "kl", "alpha", eff.alias("alpha_eff"), (0.5 + 0.5 * F.least(F.col("pconf"), F.lit(1.0))).alias("bayes"), "max_severity")
+    return d.select("case_id", "n", "mean_conf", "entropy", "kl", "alpha", eff.alias("alpha_eff"), (0.5 + 0.5 * F.least(F.col("pconf"), F.lit(1.0))).alias("bayes"), "max_severity")
 
 
-def score(hits: DataFrame, found: DataFrame, docs: DataFrame, alpha: float = 1.0, prior_mode: str = "severity", soft: bool = True) -> DataFrame:
-    """case_id, doc_id, base, final of hits (case_id, doc_id, score) in keyword mode.
+def cooccurrence(found: DataFrame, vectors: DataFrame, gamma: float = 0.3) -> DataFrame:
+    """case_id, code, weight: 1 and a share of the mean positive likeness of a code to the case's other codes.
+
+    `vectors` (code, cvec) are unit vectors of few codes; a case with fewer than
+    two of them weighs 1.
+    """
+    a = found.select("case_id", "code").distinct().join(F.broadcast(vectors), "code")
+    b = a.select("case_id", F.col("code").alias("other"), F.col("cvec").alias("ovec"))
+    near = a.join(b, "case_id").where("code <> other").groupBy("case_id", "code").agg(F.avg(F.greatest(F.lit(0.0), cosine(F.col("cvec"), F.col("ovec")))).alias("near"))
+    return found.select("case_id", "code").distinct().join(near, ["case_id", "code"], "left").select("case_id", "code", (1 + gamma * F.coalesce("near", F.lit(0.0))).alias("weight"))
+
+
+def features(hits: DataFrame, found: DataFrame, docs: DataFrame, prior_mode: str = "severity", matching: str = "keyword_soft", code_vectors: DataFrame | None = None, doc_vectors: DataFrame | None = None) -> DataFrame:
+    """The five features and the weight of each code of a hit's case: case_id, doc_id, score, code, detect, semantic, prior, specificity, negation, weight.
+
+    `hits` are case_id, doc_id, score, cut to the best few; a case without codes
+    has one row without a code. `matching`: `hard` and `keyword_soft` look for
+    words, `soft` mixes them with the likeness of vectors (code, cvec) and
+    (doc_id, dvec), or takes the margin if that is more. Where `found` has
+    gate_total, it is the negation feature, else 1; so it is with `weight`.
+    """
+    if matching not in ("soft", "keyword_soft", "hard"):
+        raise ValueError(f"unknown matching mode {matching!r}")
+    a = priors(found, prior_mode)
+    detail = a.withColumn("most", F.max("severity").over(Window.partitionBy("case_id")))
+    optional = lambda c: F.col(c) if c in found.columns else F.lit(1.0)
+    detail = detail.select("case_id", "code", "prior", with_name(F.col("keywords"), F.col("matched"), F.col("name")).alias("terms"), calibrated(F.col("confidence"), F.col("severity"), F.col("most")).alias("detect"), specificity(heuristic_idf(idf_terms(F.col("keywords"), F.col("name")))).alias("specificity"), optional("gate_total").cast("double").alias("negation"), optional("weight").cast("double").alias("weight"))
+    pairs = hits.select("case_id", "doc_id", "score").join(docs.select("doc_id", "text"), "doc_id").join(detail, "case_id", "left")
+    word = keyword_share(F.col("text"), F.col("terms"), matching != "hard")
+    if matching == "soft" and code_vectors is not None and doc_vectors is not None:
+        pairs = pairs.join(F.broadcast(code_vectors), "code", "left").join(doc_vectors, "doc_id", "left")
+        near = F.when(F.col("cvec").isNotNull() & F.col("dvec").isNotNull(), cosine(F.col("dvec"), F.col("cvec")))
+        word = F.coalesce(F.greatest(gated(near, word), margin(near)), word)
+    return pairs.select("case_id", "doc_id", "score", "code", "detect", word.alias("semantic"), "prior", "specificity", "negation", "weight")
+
+
+def variants(spark, rows: list[tuple]) -> DataFrame:
+    """One row (variant, alpha, product, and a weight for each feature) for each way to score, of (name, changes)."""
+    default = {"alpha": 1.0, "product": False} | {f"w_{k}": v for k, v in WEIGHTS.items()}
+    full = [(name, *(default | changes).values()) for name, changes in rows]
+    return spark.createDataFrame(full, "variant string, alpha double, product boolean, " + ", ".join(f"w_{k} double" for k in WEIGHTS))
+
+
+def scored(parts: DataFrame, level: DataFrame, ways: DataFrame) -> DataFrame:
+    """variant, case_id, doc_id, base, phi, final of `features` and `case_level` for each of the few `variants`.
+
+    All ways are worked out in one pass over the features. Adding up with the
+    weights drops a feature of weight 0; multiplying takes each as it is.
+    """
+    d = parts.join(F.broadcast(ways))
+    added = sum(F.col(f"w_{k}") * F.col(k) for k in WEIGHTS)
+    times = F.col("detect")
+    for k in list(WEIGHTS)[1:]:
+        times = times * F.col(k)
+    e = d.groupBy("variant", "alpha", "case_id", "doc_id", "score").agg(F.avg(F.col("weight") * F.when(F.col("product"), times).otherwise(added)).alias("phi"))
+    g = e.join(level.drop("alpha", "alpha_eff"), "case_id", "left")
+    alpha = F.greatest(F.lit(FLOOR), 2 * F.col("alpha") * sigmoid(0.3 * F.col("n") + 0.5 * F.col("mean_conf") - 0.95))
+    eff = F.greatest(F.lit(FLOOR), alpha * (1 + 0.5 * F.col("entropy")) * (1 - 0.15 * F.col("kl")))
+    final = F.col("score") * F.exp(clamp(eff * F.col("phi"), -3.0, 3.0)) * F.col("bayes")
+    return g.select("variant", "case_id", "doc_id", F.round("score", 6).alias("base"), F.round("phi", 6).alias("phi"), F.round(F.coalesce(final, F.col("score")), 6).alias("final"))
+
+
+def score(hits: DataFrame, found: DataFrame, docs: DataFrame, alpha: float = 1.0, prior_mode: str = "severity", soft: bool = True, **how) -> DataFrame:
+    """case_id, doc_id, base, final of hits (case_id, doc_id, score); words alone unless `how` asks otherwise.
 
     Hits are already cut to the best few, so texts are joined to few rows; what
     belongs to a case is worked out once and joined last.
     """
-    a = priors(found, prior_mode)
-    b = case_level(a, alpha)
-    detail = a.join(b.select("case_id", "max_severity"), "case_id")
-    detail = detail.withColumn("detect", calibrated(F.col("confidence"), F.col("severity"), F.col("max_severity"))).withColumn("idf", heuristic_idf(F.col("keywords")))
-    pairs = hits.join(docs.select("doc_id", "text"), "doc_id").join(detail, "case_id", "left")
-    pkw = keyword_share(F.col("text"), F.array_union("keywords", "matched"), soft)
-    w = WEIGHTS
-    phi = w["detect"] * F.col("detect") + w["semantic"] * pkw + w["prior"] * F.col("prior") + w["specificity"] * F.col("idf") / 3.0 + w["negation"] * F.lit(1.0)
-    e = pairs.withColumn("phi", phi).groupBy("case_id", "doc_id", "score").agg(F.avg("phi").alias("phi"))
-    g = e.join(b, "case_id", "left")
-    final = F.col("score") * F.exp(clamp(F.col("alpha_eff") * F.col("phi"), -3.0, 3.0)) * F.col("bayes")
-    return g.select("case_id", "doc_id", F.round("score", 6).alias("base"), F.round(F.coalesce(final, F.col("score")), 6).alias("final"))
+    parts = features(hits, found, docs, prior_mode, **({"matching": "keyword_soft" if soft else "hard"} | how))
+    ways = variants(hits.sparkSession, [("", {"alpha": float(alpha)})])
+    return scored(parts, case_level(priors(found, prior_mode)), ways).select("case_id", "doc_id", "base", "final")
 
 
 def expansion(found: DataFrame, queries: DataFrame, codes: int = 3, words: int = 3) -> DataFrame:

@@ -20,7 +20,12 @@ def graded(hits: DataFrame, docs: DataFrame, expected: DataFrame) -> DataFrame:
     """
     d = hits.select("case_id", "doc_id").join(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text")), "doc_id", "left").join(expected.select("case_id", "severity", "keywords"), "case_id", "left")
     n = F.coalesce(F.size(F.filter(F.array_distinct("keywords"), lambda k: F.contains(F.col("_text"), F.lower(k)))), F.lit(0))
-    d = d.withColumn("n", F.greatest(n, F.lit(0)))
+    return grades(d.withColumn("n", F.greatest(n, F.lit(0))))
+
+
+def grades(pairs: DataFrame) -> DataFrame:
+    """case_id, doc_id, grade from a row for each code: its severity, and n, its keywords in the text, or these themselves."""
+    d = pairs if "n" in pairs.columns else pairs.withColumn("n", F.size(F.filter(F.array_distinct("keywords"), lambda k: F.contains(F.col("_text"), F.lower(k)))))
     counts = (F.col("n") >= 2) | ((F.col("n") == 1) & (F.col("severity") >= 3))
     g = d.groupBy("case_id", "doc_id").agg(F.sum(F.when(F.col("n") >= 2, 1.0).when(counts, 0.5).otherwise(0.0)).alias("codes"), F.max(F.when(counts, F.col("severity"))).alias("severe"), F.max(F.when(F.col("n") >= 2, F.col("n"))).alias("most"))
     return g.select("case_id", "doc_id", F.when((F.col("codes") >= 2) | ((F.col("most") >= 3) & (F.col("severe") >= 3)), 2).when(F.col("codes") >= 1, 1).otherwise(0).alias("grade"))

@@ -78,9 +78,14 @@ def js_divergence(rows: DataFrame, group: str, value: str, one: str, two: str, b
 
 
 def kendall(ranks: DataFrame, by: list[str]) -> DataFrame:
-    """tau, concordant and discordant pairs of two rankings (item, ra, rb) of each group."""
-    a, b = ranks.alias("a"), ranks.alias("b")
-    pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.item") < F.col("b.item")])
-    s = F.signum(F.col("a.ra") - F.col("b.ra")) * F.signum(F.col("a.rb") - F.col("b.rb"))
-    g = pairs.groupBy(*[F.col(f"a.{c}") for c in by]).agg(F.count_if(s > 0).alias("concordant"), F.count_if(s < 0).alias("discordant"), F.count(F.lit(1)).alias("pairs"))
-    return g.select(*by, "concordant", "discordant", F.round((F.col("concordant") - F.col("discordant")) / F.col("pairs"), 6).alias("tau"))
+    """tau, concordant and discordant pairs of two rankings (item, ra, rb) of each group.
+
+    Rankings are cut to their first items before, so a group's are one array,
+    whose pairs are counted in the row.
+    """
+    g = ranks.groupBy(*by).agg(F.collect_list(F.struct("ra", "rb")).alias("x")).where(F.size("x") > 1)
+    sign = lambda a, b: F.signum(a["ra"] - b["ra"]) * F.signum(a["rb"] - b["rb"])
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: sign(a, b))))
+    d = g.select(*by, pairs.alias("s"))
+    up, down = F.size(F.filter("s", lambda v: v > 0)), F.size(F.filter("s", lambda v: v < 0))
+    return d.select(*by, up.cast("bigint").alias("concordant"), down.cast("bigint").alias("discordant"), F.round((up - down) / F.size("s"), 6).alias("tau"))

@@ -10,7 +10,7 @@ from casewright.streaming import live
 from casewright.tables import table
 
 from . import fixtures as X
-from .queries import _BM25, _FOUND, _asked, _found, _top, query
+from .queries import _BM25, _FOUND, _GATE_TAIL, _asked, _found, _top, query
 
 # --- chunks, windows, evidence ---
 
@@ -175,12 +175,7 @@ def repeat_stability(spark, d):
 
 # --- gates, relevance, service ---
 
-_M, _ANY = X.MARKERS, gates.any_of
-_GATES = f"""{_FOUND}, wd AS (SELECT *, greatest(20, least(32, floor(length(text) * 0.15)::INT)) AS wd FROM fd), kk AS (SELECT case_id, code, text, wd, unnest(matched) AS k FROM wd), pp AS (SELECT *, strpos(text, lower(k)) AS p FROM kk),
-sp AS (SELECT case_id, code, regexp_extract(regexp_replace(substring(text, greatest(1, p - wd), least(wd, p - 1)), '(?s)^.*{_ANY(_M.clause)}', ''), '(?s)^.*({_ANY(_M.negation)}.*)$', 1) AS span FROM pp),
-ng AS (SELECT case_id, code, count(*) FILTER (span <> '' AND NOT regexp_matches(span, '{_ANY(_M.exceptions)}'))::DOUBLE / count(*) AS share FROM sp GROUP BY ALL),
-gt AS (SELECT fd.case_id, fd.code, round(greatest(0.1, least(1.0, 1 - 0.6::DOUBLE * share)), 4) AS gate_neg, round(least(1.0, log10(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) / 10.0::DOUBLE + 1) + 0.5), 4) AS gate_len,
-CASE WHEN severity < 3 OR regexp_matches(text, '{_ANY(_M.own)}') THEN 1.0 WHEN regexp_matches(text, '{_ANY(_M.reported)}') THEN 0.7 WHEN regexp_matches(text, '{_ANY(_M.other)}') THEN 0.85 ELSE 1.0 END::DOUBLE AS gate_sub FROM fd JOIN ng USING (case_id, code))"""
+_GATES = f"{_FOUND}{_GATE_TAIL}"
 
 
 @query(f"WITH {_GATES} SELECT *, round(gate_neg * gate_len * gate_sub, 4) AS gate_total FROM gt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import scoring as S
 from casewright.functions import text as T
-from casewright.operators import detection, metrics, preparation, retrieval, scoring, statistics
+from casewright.operators import detection, gates, metrics, preparation, retrieval, scoring, statistics
 from casewright.tables import table
 
 from . import fixtures as X
@@ -200,7 +200,8 @@ def alpha_eff(spark, d):
     return c.select("case_id", "n", *[F.round(x, 5).alias(x) for x in ("entropy", "kl", "alpha_eff", "bayes")])
 
 
-_IDF = "least(3.0, greatest(0.5, ln(1 + 500 / (1 + greatest(1.0, floor(len(keywords) * 8 * (1 - 0.5 * least(list_sum(list_transform(keywords, lambda k: length(k)))::DOUBLE / len(keywords) / 10, 1.0))))))))"
+_IDFT = "list_concat(list_distinct(list_transform(keywords, lambda k: lower(k))), CASE WHEN name <> '' THEN [lower(name)] ELSE [] END)"
+_IDF = f"least(3.0, greatest(0.5, ln(1 + 500 / (1 + greatest(1.0, floor(len({_IDFT}) * 8 * (1 - 0.5 * least(list_sum(list_transform({_IDFT}, lambda k: length(k)))::DOUBLE / len({_IDFT}) / 10, 1.0))))))))"
 _CAL = "CASE WHEN confidence <= 0 OR confidence >= 1 THEN confidence ELSE pow(confidence, 1 / greatest(0.1, 0.5 + (1 - severity::DOUBLE / ms) * 1.5)) END"
 
 
@@ -208,47 +209,90 @@ _CAL = "CASE WHEN confidence <= 0 OR confidence >= 1 THEN confidence ELSE pow(co
 def calibration_and_idf(spark, d):
     f = _found(spark, d)
     c = scoring.case_level(scoring.priors(f)).select("case_id", "max_severity")
-    return f.join(c, "case_id").select("case_id", "code", F.round(S.calibrated(F.col("confidence"), F.col("severity"), F.col("max_severity")), 4).alias("calibrated"), F.round(S.heuristic_idf(F.col("keywords")), 4).alias("idf"))
+    return f.join(c, "case_id").select("case_id", "code", F.round(S.calibrated(F.col("confidence"), F.col("severity"), F.col("max_severity")), 4).alias("calibrated"), F.round(S.heuristic_idf(S.idf_terms(F.col("keywords"), F.col("name"))), 4).alias("idf"))
+
+
+def _bench_cases(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text")
 
 
 def _bench_found(spark, d):
-    return detection.detections(table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text"), X.taxonomy(spark))
+    return detection.detections(_bench_cases(spark, d), X.taxonomy(spark))
+
+
+def _bench_gated(spark, d):
+    """The codes of the asked texts with their polarity gates."""
+    g = gates.polarity(detection.keyword_matches(_bench_cases(spark, d), X.taxonomy(spark)), X.MARKERS)
+    return _bench_found(spark, d).join(g.select("case_id", "code", "gate_total"), ["case_id", "code"])
+
+
+def _bench(sql: str) -> str:
+    """The same over the asked texts for cases."""
+    return sql.replace("FROM documents, tx", "FROM benchmark, tx").replace("doc_id AS case_id", "item_id AS case_id")
+
+
+_M, _ANY = X.MARKERS, gates.any_of
+_GATE_TAIL = f""", wd AS (SELECT *, greatest(20, least(32, floor(length(text) * 0.15)::INT)) AS wd FROM fd), kk AS (SELECT case_id, code, text, wd, unnest(list_concat(list_transform(matched, lambda k: lower(k)), CASE WHEN name <> '' AND contains(text, lower(name)) THEN [lower(name)] ELSE [] END)) AS k FROM wd), pp0 AS (SELECT *, strpos(text, k) AS p FROM kk),
+sp AS (SELECT case_id, code, k, regexp_extract(regexp_replace(substring(text, greatest(1, p - wd), least(wd, p - 1)), '(?s)^.*{_ANY(_M.clause)}', ''), '(?s)^.*({_ANY(_M.negation)}.*)$', 1) AS span FROM pp0),
+ng AS (SELECT case_id, code, count(*) FILTER (span <> '' AND NOT regexp_matches(span || k, '{_ANY(_M.exceptions)}'))::DOUBLE / count(*) AS share FROM sp GROUP BY ALL),
+gt AS (SELECT fd.case_id, fd.code, round(greatest(0.1, least(1.0, 1 - 0.6::DOUBLE * share)), 4) AS gate_neg, round(least(1.0, log10(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) / 10.0::DOUBLE + 1) + 0.5), 4) AS gate_len,
+CASE WHEN severity < 3 OR regexp_matches(text, '{_ANY(_M.own)}') THEN 1.0 WHEN regexp_matches(text, '{_ANY(_M.reported)}') THEN 0.7 WHEN regexp_matches(text, '{_ANY(_M.other)}') THEN 0.85 ELSE 1.0 END::DOUBLE AS gate_sub FROM fd JOIN ng USING (case_id, code))"""
+
+_WEIGHTS = scoring.WEIGHTS
+_SOFT, _HARD = "len(hit)::DOUBLE / len(terms)", "(len(hit) > 0)::INT::DOUBLE"
 
 
-def _scored(spark, d, **how):
-    hits = retrieval.bm25(table(spark, d, "documents"), _asked(spark, d), 15).select(F.col("query_id").alias("case_id"), "doc_id", "score")
-    return scoring.score(hits, _bench_found(spark, d), table(spark, d, "documents"), **how)
+def _ways_sql(rows: list[tuple]) -> str:
+    full = [(name, *({"alpha": 1.0, "product": False} | {f"w_{k}": v for k, v in _WEIGHTS.items()} | changes).values()) for name, changes in rows]
+    return "(VALUES " + ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{float(v)!r}::DOUBLE" for v in r) + ")" for r in full) + ") v(variant, alpha, product, wd, ws, wp, wi, wn)"
 
 
-def _score_sql(alpha: float = 1.0, share: str = "len(hit)::DOUBLE / len(terms)") -> str:
-    base = _PRIOR.replace("FROM documents, tx", "FROM benchmark, tx").replace("doc_id AS case_id", "item_id AS case_id").replace("greatest(0.01, 2 / (", f"greatest(0.01, 2 * {alpha} / (")
-    return f"""WITH {_BM25}, {base}, hs AS ({_top('hits', 15)}), pp AS (SELECT hs.query_id AS case_id, hs.doc_id, hs.score, pr.code, pr.keywords, pr.severity, pr.confidence, pr.prior, cl.ms, cl.ae, cl.bayes, list_distinct(list_concat(keywords, matched)) AS terms, lower(documents.text) AS dtext
-FROM hs JOIN documents ON hs.doc_id = documents.doc_id LEFT JOIN pr ON pr.case_id = hs.query_id LEFT JOIN cl ON cl.case_id = hs.query_id),
+def _features_sql(share: str = _SOFT, prior: str = _PRIOR, vectors: str = "") -> str:
+    """CTEs up to `fe`, the features of the first 15 hits, and `cl`, the case level."""
+    near = ", dv.embedding AS dvec, cv.embedding AS cvec" if vectors else ""
+    more = " LEFT JOIN embeddings dv ON dv.vec_id = hs.doc_id LEFT JOIN cv ON cv.code = pr.code" if vectors else ""
+    return f"""{_BM25}, {_bench(prior)}{_GATE_TAIL}{vectors}, hs AS ({_top('hits', 15)}),
+pp AS (SELECT hs.query_id AS case_id, hs.doc_id, hs.score, pr.code, pr.name, pr.keywords, pr.severity, pr.confidence, pr.prior, cl.ms, gate_neg, gate_len, gate_sub, list_concat(list_distinct(list_concat(keywords, matched)), CASE WHEN pr.name <> '' THEN [pr.name] ELSE [] END) AS terms, lower(documents.text) AS dtext{near}
+FROM hs JOIN documents ON hs.doc_id = documents.doc_id LEFT JOIN pr ON pr.case_id = hs.query_id LEFT JOIN cl ON cl.case_id = hs.query_id LEFT JOIN gt ON gt.case_id = hs.query_id AND gt.code = pr.code{more}),
 ph AS (SELECT *, list_filter(terms, lambda k: contains(dtext, lower(k))) AS hit FROM pp),
-fi AS (SELECT case_id, doc_id, score, avg(0.35 * ({_CAL}) + 0.3 * ({share}) + 0.15 * prior + 0.1 * ({_IDF}) / 3.0 + 0.1) AS phi, max(ae) AS ae, max(bayes) AS bayes FROM ph GROUP BY ALL)
-SELECT case_id, doc_id, round(score, 6) AS base, round(coalesce(score * exp(least(3.0, greatest(-3.0, ae * phi))) * bayes, score), 6) AS final FROM fi"""
+fe AS (SELECT case_id, doc_id, score, code, {_CAL} AS detect, {share} AS semantic, prior, greatest(0.0, least(1.0, ({_IDF} - 0.5) / 2.5)) AS specificity, round(gate_neg * gate_len * gate_sub, 4) AS negation FROM ph)"""
+
+
+def _ways_scored_sql(ways: list[tuple], **how) -> str:
+    return f"""{_features_sql(**how)}, fi AS (SELECT variant, case_id, doc_id, any_value(score) AS score, any_value(v.alpha) AS va, avg(CASE WHEN product THEN detect * semantic * prior * specificity * negation ELSE wd * detect + ws * semantic + wp * prior + wi * specificity + wn * negation END) AS phi FROM fe, {_ways_sql(ways)} GROUP BY variant, case_id, doc_id),
+al AS (SELECT fi.*, cl.bayes, greatest(0.01, greatest(0.01, 2 * va / (1 + exp(-(0.3 * n + 0.5 * mc - 0.95)))) * (1 + 0.5 * h) * (1 - 0.15 * kl)) AS eff FROM fi LEFT JOIN cl ON cl.case_id = fi.case_id),
+sd AS (SELECT variant, case_id, doc_id, round(score, 6) AS base, round(phi, 6) AS phi, round(coalesce(score * exp(least(3.0, greatest(-3.0, eff * phi))) * bayes, score), 6) AS final FROM al)"""
+
+
+def _case_hits(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), _asked(spark, d), 15).select(F.col("query_id").alias("case_id"), "doc_id", "score")
+
+
+def _ways(spark, d, ways: list[tuple], prior_mode: str = "severity", **how):
+    found = _bench_gated(spark, d)
+    parts = scoring.features(_case_hits(spark, d), found, table(spark, d, "documents"), prior_mode, **({"matching": "keyword_soft"} | how))
+    return scoring.scored(parts, scoring.case_level(scoring.priors(found, prior_mode)), scoring.variants(spark, ways))
+
+
+_ONE = [("full", {})]
 
 
-@query(_score_sql())
+@query(f"WITH {_ways_scored_sql(_ONE)} SELECT case_id, doc_id, base, final FROM sd")
 def final_score(spark, d):
-    return _scored(spark, d)
+    return scoring.score(_case_hits(spark, d), _bench_gated(spark, d), table(spark, d, "documents"))
 
 
-@query(_score_sql(share="(len(hit) > 0)::INT::DOUBLE"))
+@query(f"WITH {_ways_scored_sql(_ONE, share=_HARD)} SELECT case_id, doc_id, base, final FROM sd")
 def final_score_hard(spark, d):
-    return _scored(spark, d, soft=False)
+    return scoring.score(_case_hits(spark, d), _bench_gated(spark, d), table(spark, d, "documents"), soft=False)
 
 
-_SWEEP = " UNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, * FROM ({_score_sql(a)})" for a in (0.0, 0.5, 1.0, 2.0))
+_ALPHAS = [(str(a), {"alpha": a}) for a in (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)]
 
 
-@query(f"SELECT alpha, count(*) AS n, round(avg(final), 4) AS mean_final, round(max(final), 4) AS max_final FROM ({_SWEEP}) GROUP BY alpha")
+@query(f"WITH {_ways_scored_sql(_ALPHAS)} SELECT variant::DOUBLE AS alpha, count(*) AS n, round(avg(final), 4) AS mean_final, round(max(final), 4) AS max_final FROM sd GROUP BY 1")
 def variant_sweep(spark, d):
-    parts = [_scored(spark, d, alpha=a).withColumn("alpha", F.lit(a)) for a in (0.0, 0.5, 1.0, 2.0)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 4).alias("mean_final"), F.round(F.max("final"), 4).alias("max_final"))
+    return _ways(spark, d, _ALPHAS).groupBy(F.col("variant").cast("double").alias("alpha")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 4).alias("mean_final"), F.round(F.max("final"), 4).alias("max_final"))
 
 
 @query(f"""WITH {_PRIOR.replace("FROM documents, tx", "FROM benchmark, tx").replace("doc_id AS case_id", "item_id AS case_id")}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY prior DESC, code) AS n FROM pr) WHERE n <= 3),
@@ -282,9 +326,9 @@ def stratified_sample(spark, d):
     return preparation.stratified_sample(table(spark, d, "documents"), "lang", "doc_id")
 
 
-@query("SELECT role, count(*) FILTER (turn = 0) AS turn_0, count(*) FILTER (turn = 1) AS turn_1, count(*) FILTER (turn = 2) AS turn_2 FROM conversations GROUP BY role")
+@query("SELECT role, " + ", ".join(f"count(*) FILTER (turn = {t}) AS turn_{t}" for t in range(8)) + ", count(*) FILTER (turn IS NULL OR turn NOT BETWEEN 0 AND 7) AS turn_other FROM conversations GROUP BY role")
 def crosstab(spark, d):
-    return preparation.crosstab(table(spark, d, "conversations"), "role", "turn", [0, 1, 2])
+    return preparation.crosstab(table(spark, d, "conversations"), "role", "turn", list(range(8)))
 
 
 
