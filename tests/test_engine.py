@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casewright.functions import scoring as S
 from casewright.functions import text as T
 from casewright.functions import windows as W
-from casewright.operators import agreement, chunking, experiments, gates, metrics, resampling, rules, scoring, service, statistics
+from casewright.operators import agreement, chunking, evaluation, experiments, gates, metrics, preparation, resampling, retrieval, rules, scoring, service, statistics
 from casewright.plans import fixtures as X
 from casewright.plans.registry import ORACLES, QUERIES
 
@@ -30,7 +30,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "metrics_at_k", "l1_confidence", "dedupe_codes", "problem_prior", "final_score", "query_expansion", "wilcoxon_w", "holm", "family_split", "set_metrics", "chunks", "keyword_windows", "evidence_sentences", "context_validity", "merged_verdicts", "friedman", "krippendorff_ordinal", "bootstrap_interval", "polarity_gates", "graded_relevance", "finalized_codes", "stream_detections"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "metrics_at_k", "l1_confidence", "dedupe_codes", "problem_prior", "final_score", "query_expansion", "wilcoxon_w", "holm", "family_split", "set_metrics", "chunks", "keyword_windows", "evidence_sentences", "context_validity", "merged_verdicts", "friedman", "krippendorff_ordinal", "bootstrap_interval", "polarity_gates", "graded_relevance", "finalized_codes", "stream_detections", "strategy_metrics", "corpus_qrels", "component_ablation", "fused_score", "cooccurrence_weight", "review_load", "tools_by_rule", "sentence_classes", "masked_texts", "case_audit", "detector_gaps", "kendall_tau", "crosstab"])
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -171,3 +171,85 @@ def test_experiments_by_hand(spark):
     rows = spark.createDataFrame([("m", 1, 1, 0, 0.6667, False), ("m", 1, 0, 0, 1.0, True)], "arm string, tp int, fp int, fn int, f1 double, exact boolean")
     r = experiments.detector_aggregate(rows, ["arm"]).first()
     assert (r.cases, r.micro_precision, r.micro_recall, r.micro_f1, r.exact_rate) == (2, 0.666667, 1.0, 0.8, 0.5)
+
+
+def test_score_by_hand(spark):
+    """Worked out from the published formulas, not from a query of ours."""
+    found = spark.createDataFrame([("c", "a", "beta", 4, ["alpha", "gamma"], ["alpha"], 0.8, 0.5), ("c", "b", "delta words here", 2, ["omega", "epsilon zeta eta theta"], ["omega"], 0.6, 1.0)], "case_id string, code string, name string, severity int, keywords array<string>, matched array<string>, confidence double, gate_total double")
+    docs = spark.createDataFrame([(1, "ALPHA and beta"), (2, "nothing"), (3, "Omega")], "doc_id bigint, text string")
+    hits = spark.createDataFrame([("c", 1, 2.0), ("c", 2, 1.0), ("x", 3, 0.7)], "case_id string, doc_id bigint, score double")
+    p = [(4 + 1) / 8, (2 + 1) / 8]
+    detect = [0.8**2, 0.6 ** (1 / (0.5 + 0.5 * 1.5))]
+
+    def idf(terms):
+        df = max(1, int(len(terms) * 8 * (1 - 0.5 * min(sum(map(len, terms)) / len(terms) / 10, 1))))
+        return min(max((min(3.0, max(0.5, math.log(1 + 500 / (1 + df)))) - 0.5) / 2.5, 0), 1)
+
+    rare = [idf(["alpha", "gamma", "beta"]), idf(["omega", "epsilon zeta eta theta", "delta words here"])]
+    share = {1: [2 / 3, 0.0], 2: [0.0, 0.0]}  # the code's name is one of its terms
+    gate = [0.5, 1.0]
+    entropy, kl = -sum(x * math.log2(x) for x in p), sum(x * math.log(x * 2) for x in p)
+    alpha = 2 / (1 + math.exp(-(0.3 * 2 + 0.5 * 0.7 - 0.95))) * (1 + 0.5 * entropy) * (1 - 0.15 * kl)
+    bayes = 0.5 + 0.5 * (p[0] * 0.8 + p[1] * 0.6)
+    got = {(r.case_id, r.doc_id): r.final for r in scoring.score(hits, found, docs).collect()}
+    for doc, base in ((1, 2.0), (2, 1.0)):
+        phi = sum(0.35 * detect[i] + 0.3 * share[doc][i] + 0.15 * p[i] + 0.1 * rare[i] + 0.1 * gate[i] for i in (0, 1)) / 2
+        assert got["c", doc] == pytest.approx(base * math.exp(min(3, alpha * phi)) * bayes, abs=1e-5)
+    assert got["x", 3] == 0.7  # a case without codes keeps its score
+    hard = {(r.case_id, r.doc_id): r.final for r in scoring.score(hits, found, docs, soft=False).collect()}
+    assert hard["c", 1] > got["c", 1] and hard["c", 2] == got["c", 2]
+    uniform = {(r.case_id, r.doc_id): r.final for r in scoring.score(hits, found, docs, prior_mode="uniform").collect()}
+    assert uniform["c", 1] != got["c", 1] and (uniform["c", 1] > uniform["c", 2]) == (got["c", 1] > got["c", 2])
+    for wrong in (lambda: scoring.priors(found, "flat"), lambda: scoring.features(hits, found, docs, matching="exact")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_gates_of_names_and_exceptions(spark):
+    m = gates.Markers(negation=["not "], exceptions=["only a"])
+    rows = [(0, "it is not only a debt", ["only a debt"], ""), (1, "it is not a debt", ["debt"], ""), (2, "not a debt, but a loan", ["debt"], "Loan"), (3, "a debt and no loan", ["debt"], "house")]
+    df = spark.createDataFrame([(k, t, 1, w, n) for k, t, w, n in rows], "k int, text string, severity int, matched array<string>, name string")
+    assert [r.gate_neg for r in gates.polarity(df, m).orderBy("k").collect()] == [1.0, 0.4, 0.4, 1.0]
+    assert gates.polarity(df.where("k = 2").withColumn("text", F.lit("a loan, and that is not a debt")), m).first().gate_neg == 0.7
+
+
+def test_fusion_by_hand(spark):
+    one = spark.range(1).select(S.gated(F.lit(0.4), F.lit(0.25)).alias("g"), S.gated(F.lit(None).cast("double"), F.lit(0.25)).alias("none"))
+    g = 1 / (1 + math.exp(-(5 * 0.4 - 1.5)))
+    assert one.first().g == pytest.approx(g / (1 + math.exp(-4)) + (1 - g) * 0.25) and one.first().none == 0.25
+
+
+def test_strategies_by_name(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta delta"), (3, "omega"), (4, None)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([("q", "alpha beta")], "query_id string, text string")
+    none = spark.createDataFrame([], "case_id string, code string, name string, severity int, keywords array<string>, matched array<string>, confidence double")
+    got = evaluation.run(["bm25", "hybrid", "h2l-bm25", "mine"], docs, asked, none, 2, {"mine": lambda d, q, k: retrieval.bm25(d, q, k, padded=True)}).collect()
+    assert {r.strategy for r in got} == {"bm25", "hybrid", "h2l-bm25", "mine"} and all(r.doc_id == 1 for r in got if r.rank == 1)
+    with pytest.raises(ValueError):
+        evaluation.run(["bm52"], docs, asked, none)
+    made = retrieval.hypothetical(docs, asked, retrieval.bm25, lambda t: F.when(t == "alpha beta", "omega")).collect()
+    assert [(r.doc_id, r.fallback) for r in made] == [(3, False)]
+    assert {r.fallback for r in retrieval.hypothetical(docs, asked, retrieval.bm25).collect()} == {True}
+    assert retrieval.feedback(docs, asked, 2).where("rank = 1").first().doc_id == 1
+
+
+def test_near_duplicates_and_split_repair(spark):
+    base = " ".join(f"word{k}" for k in range(200))
+    rows = [("a", base, "train", "A"), ("b_PAR_1", base + " more", "test", "B"), ("c", "quite another text", "test", "C"), ("d", base, "train", "D"), ("e", None, "test", "E"), ("f", "", None, "F")]
+    cases = spark.createDataFrame(rows, "case_id string, text string, split string, family string")
+    pairs = preparation.near_duplicates(cases, "case_id")
+    assert [(r.one, r.two) for r in pairs.collect()] == [("a", "b_PAR_1")]
+    left = preparation.repaired(cases, pairs, "case_id", "family", "split", F.col("case_id").contains("_PAR_"))
+    assert {r.case_id: r.split for r in left.collect()} == {"a": "train", "b_PAR_1": "train", "c": "test", "d": "train", "e": "test", "f": None}
+
+
+def test_chunks_of_equal_keys_stay_apart(spark):
+    rows = [(1, "s", "a" * 120 + "\n\n" + "c" * 120), (1, "s", "b" * 120), (2, None, None), (3, "s", "d " * 1500)]
+    got = chunking.chunks(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()
+    assert sorted((r.doc_id, r.chunk_index, r.content[0]) for r in got if r.doc_id == 1) == [(1, 0, "a"), (1, 0, "b"), (1, 1, "c")]
+    assert [r.chunk_index for r in got if r.doc_id == 3] == [0, 1] and all(len(r.content) <= 2000 for r in got)
+
+
+def test_masked_by_hand(spark):
+    one = spark.range(1).select(T.masked(F.lit("Mr Bond met Mr clown1 at school North on 12/03/1987"), ["Mr"], ["school"], ["clown"]).alias("m")).first().m
+    assert (one.text, one.n) == ("[NAME] met Mr clown1 at [PLACE] on [DATE]", 3)
