@@ -21,12 +21,20 @@ def draw(*keys: Column) -> Column:
 
 
 def stratified_split(families: DataFrame, stratum: str, family: str, share: float = 0.3, seed: int = 42) -> DataFrame:
-    """Each stratum's families, shuffled; the first share of them, one at least, is `test`."""
-    d = families.select(stratum, family).distinct()
-    w, whole = Window.partitionBy(stratum).orderBy(draw(F.col(family).cast("string"), F.lit(str(seed)))), Window.partitionBy(stratum)
-    d = d.withColumn("n", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(whole))
-    take = F.greatest(F.lit(1), F.floor(F.col("m") * share))
-    return d.select(stratum, family, F.when(F.col("n") <= take, "test").otherwise("train").alias("split"))
+    """Each stratum's families, shuffled; the first share of them, one at least, is `test`.
+
+    Families are dealt to slices by the first digits of their draw, so that a
+    slice of a stratum, and not the stratum, is sorted by a task; a row for each
+    slice says how many families come before it.
+    """
+    d = families.select(stratum, family).distinct().withColumn("_draw", draw(F.col(family).cast("string"), F.lit(str(seed)))).withColumn("_slice", F.substring("_draw", 1, 2))
+    counts = d.groupBy(stratum, "_slice").agg(F.count(F.lit(1)).alias("_n"))  # 256 rows a stratum at most
+    whole, before = Window.partitionBy(stratum), Window.partitionBy(stratum).orderBy("_slice")
+    counts = counts.select(F.col(stratum).alias("_s"), F.col("_slice").alias("_of"), (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_m"))
+    place = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_draw"))
+    j = d.withColumn("_at", place).join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_of")))
+    take = F.greatest(F.lit(1), F.floor(F.col("_m") * share))
+    return j.select(stratum, family, F.when(F.col("_before") + F.col("_at") <= take, "test").otherwise("train").alias("split"))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 10, seed: int = 42) -> DataFrame:
