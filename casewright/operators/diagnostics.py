@@ -79,7 +79,7 @@ def forest(values: DataFrame, arm: str, baselines: list[str], enhanced: list[str
     standard errors of the difference to each side. Strata of under two matched
     cases are left out.
     """
-    side = lambda arms, name: values.join(F.broadcast(best_arm(values, arm, arms, value)), F.col(arm) == F.col("arm")).where(F.col(value).isNotNull()).select(case, stratum, F.col(value).cast("double").alias(name))
+    side = lambda arms, name: values.join(F.broadcast(best_arm(values, arm, arms, value).select(F.col("arm").alias(arm))), arm).where(F.col(value).isNotNull()).select(case, stratum, F.col(value).cast("double").alias(name))
     d = side(baselines, "a").join(side(enhanced, "b").drop(stratum), case).withColumn("d", F.col("b") - F.col("a"))
     g = d.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("m"), F.stddev_pop("d").alias("s")).where("n >= 2")
     effect, se = F.col("m") / (F.col("s") + 1e-10), F.col("s") / F.sqrt("n")
@@ -100,7 +100,8 @@ def slices(values: DataFrame, masks: dict[str, Column], arm: str, full: str, met
     """slice, variant, metric, both means, what the full arm has above it and its rows, for each variant.
 
     A row belongs to all slices whose mask holds. A slice without rows of the
-    full arm or of the variant has no row for it.
+    full arm or of the variant has no row for it; one without values has a null
+    mean.
     """
     named = F.array_compact(F.array(*[F.when(mask, F.lit(name)) for name, mask in masks.items()]))
     rows = values.withColumn("slice", F.explode(named))

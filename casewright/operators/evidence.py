@@ -18,31 +18,28 @@ def scan(text: Column, position: Column, markers: list[str], guards: dict[str, t
 
     Without one they are the text's ends. A marker that has a guard (`before` or
     `after`, cues) counts only with a cue whole within `reach` characters on that
-    side. A marker's places don't overlap; one with a guard must not overlap
-    itself. The work grows with the text times the number of markers.
+    side. A marker's places don't overlap; one with a guard behind it must not
+    overlap itself. The work grows with the text times the number of markers.
     """
     text, at = F.coalesce(text, F.lit("")), position.cast("int")
 
-    def pattern(marker: str) -> str:
-        side, cues = (guards or {}).get(marker, ("", []))
-        fits = [c for c in cues if len(c) <= reach]
-        if side == "before":
-            near = "|".join(f"(?<=(?s:\\Q{c}\\E.{{0,{reach - len(c)}}}))" for c in fits)
-        else:
-            near = "|".join(f"(?=(?s:.{{0,{reach - len(c)}}}\\Q{c}\\E))" for c in fits)
-        if side and not fits:
-            near = "(?!)"
-        return f"(?:{near})\\Q{marker}\\E" if side == "before" else f"\\Q{marker}\\E(?:{near})" if side else f"\\Q{marker}\\E"
-
     def bounds(marker: str) -> Column:
-        sizes = F.transform(F.split(text, pattern(marker), -1), F.length)
-
-        def step(a: Column, n: Column) -> Column:
-            start, end = a["at"] + n, a["at"] + n + len(marker)
-            return F.struct(end.alias("at"), F.when(end <= at, end).otherwise(a["left"]).alias("left"), F.when((start >= at) & (start < a["right"]), start).otherwise(a["right"]).alias("right"))
-
-        first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("left"), F.length(text).alias("right"))
-        return bound(sizes, lambda s: F.aggregate(F.slice(s, F.lit(1), F.size(s) - 1), first, step))
+        side, cues = (guards or {}).get(marker, ("", []))
+        pattern = f"\\Q{marker}\\E"
+        if side == "after":
+            fits = [c for c in cues if len(c) <= reach]
+            pattern += "(?:" + ("|".join(f"(?=(?s:.{{0,{reach - len(c)}}}\\Q{c}\\E))" for c in fits) or "(?!)") + ")"
+
+        def step(a: Column, piece: Column) -> Column:
+            start = a["at"] + F.length(piece)
+            end, before = start + len(marker), F.right(F.concat(a["before"], piece), F.lit(reach))
+            counts = F.exists(F.array(*[F.lit(c) for c in cues]).cast("array<string>"), lambda c: F.contains(before, c)) if side == "before" else F.lit(True)
+            left = F.when(counts & (end <= at), end).otherwise(a["left"])
+            right = F.when(counts & (start >= at) & (start < a["right"]), start).otherwise(a["right"])
+            return F.struct(end.alias("at"), (F.concat(before, F.lit(marker)) if side == "before" else F.lit("")).alias("before"), left.alias("left"), right.alias("right"))
+
+        first = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.lit(0).alias("left"), F.length(text).alias("right"))
+        return bound(F.split(text, pattern, -1), lambda pieces: F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), first, step))
 
     ends = [F.struct(F.lit(0).alias("left"), F.length(text).alias("right"))] + [F.transform(F.array(bounds(m)), lambda b: F.struct(b["left"].alias("left"), b["right"].alias("right")))[0] for m in markers if m]
     return bound(F.array(*ends), lambda e: F.struct(F.array_max(F.transform(e, lambda x: x["left"])).alias("left"), F.array_min(F.transform(e, lambda x: x["right"])).alias("right")))

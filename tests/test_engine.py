@@ -30,7 +30,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "metrics_at_k", "l1_confidence", "dedupe_codes", "problem_prior", "final_score", "query_expansion", "wilcoxon_w", "holm", "family_split", "set_metrics", "chunks", "keyword_windows", "evidence_sentences", "context_validity", "merged_verdicts", "friedman", "krippendorff_ordinal", "bootstrap_interval", "polarity_gates", "graded_relevance", "finalized_codes", "stream_detections", "strategy_metrics", "corpus_qrels", "component_ablation", "fused_score", "cooccurrence_weight", "review_load", "tools_by_rule", "sentence_classes", "masked_texts", "case_audit", "detector_gaps", "kendall_tau", "crosstab"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "metrics_at_k", "l1_confidence", "dedupe_codes", "problem_prior", "final_score", "query_expansion", "wilcoxon_w", "holm", "family_split", "set_metrics", "chunks", "keyword_windows", "evidence_sentences", "context_validity", "merged_verdicts", "friedman", "krippendorff_ordinal", "bootstrap_interval", "polarity_gates", "graded_relevance", "finalized_codes", "stream_detections", "strategy_metrics", "corpus_qrels", "component_ablation", "fused_score", "cooccurrence_weight", "review_load", "tools_by_rule", "sentence_classes", "masked_texts", "case_audit", "detector_gaps", "kendall_tau", "crosstab", "boundary_scan", "evidence_records", "coerced_spans", "historic_context", "distress_signals", "effect_interval", "system_comparison", "review_scores", "shown_documents", "paired_tests"])
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
