@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, html, licenses, mixing, near_join, packing, pii, quality, sharding, tiff
+from . import chat, html, infill, licenses, mixing, near_join, neighbours, packing, phrases, pii, quality, sharding, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,17 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_quality_rules, op4_chat_formatting, op5_pii, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff)}
-ORACLES = {"op3_quality_rules": quality.ORACLE, "op4_chat_formatting": chat.ORACLE}
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scan, op2_html_extraction, op3_quality_rules, op4_chat_formatting, op5_pii, op6_mixing, op7_sharding, op8_packing, op9_ngram_join, op10_media_tiff, op11_phrase_mining, op12_fill_in_middle, op13_nearest_neighbours)}
+ORACLES = {"op3_quality_rules": quality.ORACLE, "op4_chat_formatting": chat.ORACLE, "op11_phrase_mining": phrases.ORACLE, "op12_fill_in_middle": infill.ORACLE}
