@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import collapsed
-from casewright.functions.windows import bound
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,35 +63,6 @@ def audit(cases: DataFrame, case_id: str, family: str, split: str, text: str) ->
     return d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("risk"), F.col(f"`{c}`").cast("bigint").alias("n")) for c in d.columns])).alias("r")).select("r.*").where("n > 0")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.9, bands: int = 16, rows: int = 8, n: int = 3) -> DataFrame:
-    """one, two, similarity of rows whose sets of n words (whole texts) are alike, by bands of minima and an exact check.
-
-    Equal texts are one row, that of the least key. Keys of bands are shuffled;
-    rows of a band's key meet the least of it, and what is alike to it is told.
-    """
-    words = F.split(collapsed(F.lower(text)), " ")
-    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
-    d = docs.where(F.trim(text) != "").groupBy(F.md5(collapsed(F.lower(text))).alias("digest")).agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(text).alias(text)), key).alias("r")).select(F.col("r.k").alias("k"), F.col(f"r.{text}").alias(text)).select("k", bound(words, grams).alias("g"))
-    least = lambda b: F.xxhash64(*[F.array_min(F.transform("g", lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(b * rows, (b + 1) * rows)], F.lit(b))
-    keys = d.select("k", F.explode(F.array(*[least(b) for b in range(bands)])).alias("key"))
-    first = keys.groupBy("key").agg(F.min("k").alias("one"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "one")
-    pairs = keys.join(first, "key").where("one <> k").select("one", F.col("k").alias("two")).distinct()
-    side = lambda name: d.select(F.col("k").alias(name), F.col("g").alias(f"g_{name}"))
-    both = pairs.join(side("one"), "one").join(side("two"), "two")
-    shared = F.size(F.array_intersect("g_one", "g_two"))
-    like = shared / (F.size("g_one") + F.size("g_two") - shared)
-    return both.select("one", "two", F.round(like, 6).alias("similarity")).where(F.col("similarity") >= similarity)
-
-
-def repaired(cases: DataFrame, pairs: DataFrame, case_id: str, family: str, split: str, made: Column) -> DataFrame:
-    """`cases`, where the families of made test cases that are near duplicates (one, two) of training ones go to `train`."""
-    a = cases.select(F.col(case_id).alias("one"), F.col(split).alias("s1"), F.col(family).alias("f1"), made.alias("m1"))
-    b = cases.select(F.col(case_id).alias("two"), F.col(split).alias("s2"), F.col(family).alias("f2"), made.alias("m2"))
-    p = pairs.select("one", "two").join(a, "one").join(b, "two").where("s1 <> s2 AND f1 <> f2")
-    moved = p.where("s1 = 'test' AND m1").select(F.col("f1").alias(family)).unionByName(p.where("s2 = 'test' AND m2").select(F.col("f2").alias(family))).distinct().withColumn("_moved", F.lit(True))
-    return cases.join(moved, family, "left").withColumn(split, F.when(F.col("_moved"), "train").otherwise(F.col(split))).select(*cases.columns)
-
-
 def adversarial_cases(taxonomy: DataFrame, template: str = "{0} {1}", most: int = 20) -> DataFrame:
     """case_id, case_description, code, false_trigger_code and trigger_word: a code's first word in a text that plants a word of the next code.
 

@@ -7,17 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from casewright.operators import detection
-
-#: Used by local sessions, as in tests on one machine, where `spark.checkpoint.dir` is unset.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/casewright"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; only a local session may do without the setting."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+from casewright.staging import shared_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
@@ -39,6 +29,6 @@ def drained(stream: DataFrame) -> DataFrame:
     goes on where it was; no batch is written twice.
     """
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")

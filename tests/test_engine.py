@@ -233,16 +233,6 @@ def test_strategies_by_name(spark):
     assert retrieval.feedback(docs, asked, 2).where("rank = 1").first().doc_id == 1
 
 
-def test_near_duplicates_and_split_repair(spark):
-    base = " ".join(f"word{k}" for k in range(200))
-    rows = [("a", base, "train", "A"), ("b_PAR_1", base + " more", "test", "B"), ("c", "quite another text", "test", "C"), ("d", base, "train", "D"), ("e", None, "test", "E"), ("f", "", None, "F")]
-    cases = spark.createDataFrame(rows, "case_id string, text string, split string, family string")
-    pairs = preparation.near_duplicates(cases, "case_id")
-    assert [(r.one, r.two) for r in pairs.collect()] == [("a", "b_PAR_1")]
-    left = preparation.repaired(cases, pairs, "case_id", "family", "split", F.col("case_id").contains("_PAR_"))
-    assert {r.case_id: r.split for r in left.collect()} == {"a": "train", "b_PAR_1": "train", "c": "test", "d": "train", "e": "test", "f": None}
-
-
 def test_chunks_of_equal_keys_stay_apart(spark):
     rows = [(1, "s", "a" * 120 + "\n\n" + "c" * 120), (1, "s", "b" * 120), (2, None, None), (3, "s", "d " * 1500)]
     got = chunking.chunks(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()
