@@ -1,21 +1,17 @@
 """Phrase collocations: which runs of two to five words stand together far more often than chance, per language.
 
 Texts are split into pieces, and equal pieces are one row with the number of
-times they occur. Each word of a piece starts a window of up to five words, whose
-beginnings are all the phrases that start there, so one row a word is enough to
-count them. Tasks code words by numbers, add up equal windows, and send them as
-compressed blocks to buckets, by a hash of the first two words. In a bucket's
-task duckdb counts the phrases, two words first, and longer ones only in the
-windows whose beginning is frequent, since no phrase is more frequent than its
-parts; it holds MEMORY at most and spills to scratch files, which only that task
-reads and which go with it. The counts of a phrase's parts are asked for by
-shuffled requests, of which a heavy part's are met by a broadcast of bounded size.
-
-A beginning that more than about one in SPLIT windows has is heavy; its windows go
-to buckets by one more word, as long as that is heavy too. Counts of heavy
-beginnings meet from several buckets. Tasks name what is heavy in their own
-rows; SPLIT beginnings of each length at most are heavy in all, and one that two
-in SPLIT windows have is always found. What is heavy changes who counts, never a count.
+times they occur. Phrases are then counted three times over, each time in fewer
+places, as no phrase is more frequent than its parts: first single words, then
+pairs of words that may be frequent, by a hash, and at last all phrases in which
+every pair may be. What may be frequent is told by a bitmap of a bounded number of
+bits, which lets some rare ones through and no frequent one out; so it changes how
+much is counted, never a count. Tasks add up equal phrases of a part of their
+rows before they send them. The phrases of a hash bucket are added up by duckdb in
+the task of that bucket; it holds MEMORY at most and spills to scratch files, which
+only that task reads and which go with it. The counts of a phrase's parts are asked
+for by shuffled requests, of which a heavy part's are met by a broadcast of bounded
+size.
 
 Scores are exact while 1000 * a * n has at most 38 digits, that is for any corpus
 of fewer than 10**17 words. Defined cases. Null texts and texts without words
@@ -26,6 +22,7 @@ whatever their names. Equal scores and counts are ordered by the phrase's bytes.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Iterator
 
@@ -39,15 +36,15 @@ from pyspark.sql import functions as F
 from .common import numbered, skew_join, staged
 
 LONGEST, FREQUENT, BEST = 5, 100, 2000
-#: One in so many windows makes a beginning heavy.
-SPLIT = 1024
-#: Bytes of pieces that a task codes at once, and windows (words) that it sorts at once.
-CHUNK, WINDOWS = 1 << 23, (1 << 20) - 8
-#: Windows of a bucket on average, and the memory of its database.
-PER_BUCKET, MEMORY = 1 << 20, "256MB"
+#: Bytes of pieces that a task codes at once, and words that it adds up at once.
+CHUNK, AT_ONCE = 1 << 24, 1 << 20
+#: Words of all pieces for a bucket, and the memory of its database.
+PER_BUCKET, MEMORY = 1 << 22, "256MB"
+#: Bits of a bitmap for each name in it, and at most.
+BITS, MOST_BITS = 16, 1 << 27
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENDS = ",;:!?\n\x0b\x0c\r"
-_BITS = 21  # of a number in a packed key: words and languages of a part are fewer than 2**21
+_WIDE = 21  # bits of a word's number in a packed key: a part has fewer than 2**21 words
 
 
 def pieces(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -60,62 +57,83 @@ def pieces(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
     return rows.withColumn("words", F.char_length("piece") - F.char_length(F.replace("piece", F.lit(" "), F.lit(""))) + 1)
 
 
-class Windows:
-    """The windows of some pieces: numbers of words, -1 behind a piece's end, with the lang's first."""
+def _name_hash(lang: Column, word: Column) -> Column:
+    return F.xxhash64(F.concat(lang, F.lit("\0"), word))
 
-    def __init__(self, words: np.ndarray, codes: np.ndarray, times: np.ndarray):
-        self.words, self.codes, self.times = words, codes, times  # words by number; (1 + LONGEST, n); (n)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
-    def beginnings(self) -> np.ndarray:
-        """Hashes of the lang and the first 1, 2, ... words."""
-        out, h = [], np.zeros(self.codes.shape[1], np.uint64)
-        for row in self.codes:
-            h = (h ^ self.hashes[row]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            out.append(h)
-        return np.array(out[1:])
+class Part:
+    """Words in a row: their numbers, how many of a piece are left at each, and how often the piece occurs.
+
+    A number stands for a word of a language, so phrases of two languages differ.
+    """
+
+    def __init__(self, number: np.ndarray, left: np.ndarray, times: np.ndarray, langs: np.ndarray, words: np.ndarray):
+        self.number, self.left, self.times, self.langs, self.words = number, left, times, langs, words
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(f"{a}\0{w}".encode(), seed=42) for a, w in zip(langs, words, strict=True)), np.uint64, len(words))
+
+    def pairs(self, allowed: Bitmap) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which a pair of words starts that may both be frequent, and the pairs' hashes."""
+        fine = allowed.holds(self.hashes)[self.number]
+        at = np.flatnonzero((self.left[:-1] > 1) & fine[:-1] & fine[1:])
+        h = self.hashes[self.number[at]] * np.uint64(0x9E3779B97F4A7C15) ^ self.hashes[self.number[at + 1]]
+        return at, h ^ (h >> np.uint64(31))
+
+    def phrases(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct phrases of so many words that start at the places, as rows of numbers, and how often they occur."""
+        columns = [self.number[at + k].astype(np.uint64) for k in range(size)]
+        keys = [sum(c << np.uint64(_WIDE * j) for j, c in enumerate(columns[k : k + 3])) for k in range(0, size, 3)]
+        order = np.lexsort(keys)
+        first = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)))[: len(at)]
+        start = np.flatnonzero(first)
+        return np.array([c[order[start]] for c in columns]).astype(np.int64), _sums(self.times[at[order]], start)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else np.empty(0, np.int64)
+
+
+class Bitmap:
+    """Bits by hash: every name that was put in is held, and few others."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & np.uint64(self.bits - 1)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
-    def added_up(self) -> Windows:
-        """Equal windows as one, in the order of their numbers."""
-        if not len(self.times):
-            return self
-        first, second = (sum((c.astype(np.uint64) + np.uint64(1)) << np.uint64(_BITS * k) for k, c in enumerate(part[::-1])) for part in (self.codes[:3], self.codes[3:]))
-        order = np.lexsort((second, first))
-        first, second = first[order], second[order]
-        start = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
-        out = object.__new__(Windows)
-        out.words, out.hashes, out.codes, out.times = self.words, self.hashes, self.codes[:, order[start]], np.add.reduceat(self.times[order], start)
-        return out
 
+def bitmap(names: DataFrame) -> Bitmap:
+    """The bitmap of a column `hash`, which has MOST_BITS at most however many names there are."""
+    count = names.count()
+    bits = min(MOST_BITS, 1 << max(6, (BITS * count - 1).bit_length() if count else 6))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    rows = names.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    words, found = np.zeros(bits // 64, np.uint64), rows.toPandas()  # bits / 64 rows at most
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return Bitmap(bits, words)
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
-    """The windows of pieces (lang, piece, times), some pieces at once."""
 
-    def coded(held: list[pa.RecordBatch]) -> Iterator[Windows]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """The words of pieces (lang, piece, times), AT_ONCE of them at once; the last ones of a part are those that begin the next."""
+
+    def coded(held: list[pa.RecordBatch]) -> Iterator[Part]:
         table = pa.Table.from_batches(held)
         split = pc.split_pattern(table.column(1).combine_chunks(), " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        named = table.column(0).combine_chunks().dictionary_encode()
-        flat = split.flatten().dictionary_encode()
-        number, words = flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False)
-        lang, langs = named.indices.to_numpy(), named.dictionary.to_numpy(zero_copy_only=False)
-        end, piece = np.repeat(np.cumsum(counts), counts), np.repeat(np.arange(len(counts)), counts)
-        times = table.column(2).to_numpy()
-        for at in range(0, len(number), WINDOWS):
-            to = min(at + WINDOWS, len(number))
-            here, names = number[at : to + LONGEST - 1], words
-            if len(words) > WINDOWS:  # a single piece of very many words: numbers of this part
-                used, here = np.unique(here, return_inverse=True)
-                names = words[used]
-            spoken, tongue = np.unique(lang[piece[at:to]], return_inverse=True)
-            codes = np.full((1 + LONGEST, to - at), -1, np.int32)
-            codes[0] = tongue + len(names)
-            place = np.arange(at, to)
-            for k in range(LONGEST):
-                inside = place + k < end[at:to]
-                codes[1 + k, inside] = here[(place + k - at)[inside]]
-            yield Windows(np.concatenate((names, langs[spoken])), codes, times[piece[at:to]])
+        flat, lang = split.flatten().dictionary_encode(), table.column(0).combine_chunks().dictionary_encode()
+        words, langs = (x.dictionary.to_numpy(zero_copy_only=False) for x in (flat, lang))
+        piece = np.repeat(np.arange(len(counts)), counts)
+        names, number = np.unique(lang.indices.to_numpy().astype(np.int64)[piece] << 32 | flat.indices.to_numpy(), return_inverse=True)
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(piece))
+        times = table.column(2).to_numpy()[piece]
+        for at in range(0, len(number), AT_ONCE):
+            to = min(at + AT_ONCE, len(number))
+            upto = min(to + LONGEST - 1, len(number))
+            used, here = (np.arange(len(names)), number[at:upto]) if len(names) < 1 << _WIDE else np.unique(number[at:upto], return_inverse=True)
+            part = Part(here, left[at:upto], times[at:upto], langs[names[used] >> 32], words[names[used] & 0xFFFFFFFF])
+            part.own = to - at
+            yield part
 
     held, size = [], 0
     for batch in batches:
@@ -129,149 +147,83 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
         yield from coded(held)
 
 
-def _heavy_here(split: int):
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Beginnings of two to four words that one in `split` windows has, with how many have it."""
-        for found in _windows(batches):
-            h, codes, least = found.beginnings(), found.codes, len(found.times) / split
-            rest = np.arange(len(found.times))
-            for k in range(2, LONGEST):
-                rest = rest[codes[k, rest] >= 0]
-                names, back, counts = np.unique(h[k - 1, rest], return_inverse=True, return_counts=True)
-                many = counts >= least
-                rest = rest[many[back]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(counts[many])], names=["beginning", "windows"])
-
-    return heavy
-
-
-def _block(part: Windows, deep: np.ndarray, single: np.ndarray, single_times: np.ndarray) -> bytes:
-    """Windows and single words as three compressed Arrow streams: names, windows, single words (lang, word)."""
-    used, new = np.unique(np.concatenate((part.codes.ravel(), single.ravel())), return_inverse=True)
-    none = int(used[0] == -1)
-    new = (new - none).astype(np.int32)
-    codes, single = new[: part.codes.size].reshape(part.codes.shape), new[part.codes.size :].reshape(2, -1)
-    sink = pa.BufferOutputStream()
-    tables = ({"name": part.words[used[none:]]}, {f"w{k}": c for k, c in enumerate(codes)} | {"deep": deep.astype(np.int8), "times": part.times}, {"w0": single[0], "w1": single[1], "times": single_times})
-    for columns in tables:
-        batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) if k == "name" else pa.array(v) for k, v in columns.items()})
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _sender(buckets: int, heavy: np.ndarray):
-    """Pieces to blocks, by bucket; `heavy` holds the sorted hashes of heavy beginnings."""
-
-    def is_heavy(h: np.ndarray) -> np.ndarray:
-        if not len(heavy):
-            return np.zeros(len(h), bool)
-        return heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _windows(batches):
-            # single words: added up by lang and word
-            pair = found.codes[0].astype(np.int64) << 32 | found.codes[1]
-            pairs, back = np.unique(pair, return_inverse=True)
-            single = np.array([pairs >> 32, pairs & 0xFFFFFFFF]).astype(np.int32)
-            totals = np.zeros(len(pairs), np.int64)
-            np.add.at(totals, back, found.times)
-            home = ((found.hashes[single[0]] * np.uint64(31) ^ found.hashes[single[1]]) % np.uint64(buckets)).astype(np.int32)
-            # windows: the shortest beginning of two words or more that isn't heavy says where they go
-            some = found.codes[2] >= 0
-            found.codes, found.times = found.codes[:, some], found.times[some]
-            found = found.added_up()
-            h, size = found.beginnings(), (found.codes[1:] >= 0).sum(0)
-            key, deep = h[1].copy() if len(found.times) else np.empty(0, np.uint64), np.full(len(found.times), 2)
-            for k in range(2, LONGEST):
-                on = np.flatnonzero((deep == k) & (size >= k))
-                on = on[is_heavy(h[k - 1, on])]
-                deep[on] = k + 1
-                on = on[size[on] > k]
-                key[on] = h[k, on]
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
-            order, homes = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
-            upto, homes_upto = (np.searchsorted(x, np.arange(buckets + 1)) for x in (bucket[order], home[homes]))
-            numbers, blocks = [], []
-            for b in range(buckets):
-                mine, singles = order[upto[b] : upto[b + 1]], homes[homes_upto[b] : homes_upto[b + 1]]
-                if len(mine) or len(singles):
-                    part = object.__new__(Windows)
-                    part.words, part.codes, part.times = found.words, found.codes[:, mine], found.times[mine]
-                    numbers.append(b)
-                    blocks.append(_block(part, deep[mine], single[:, singles], totals[singles]))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
-
-    return send
+_COUNTS = "lang string, phrase string, size int, times bigint"
 
 
-_COUNTS = "lang string, phrase string, size int, times bigint"
+def _rows(part: Part, numbers: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    phrases = [" ".join(p) for p in zip(*part.words[numbers].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part.langs[numbers[0]], pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(phrases), len(numbers), np.int32)), pa.array(times)], names=["lang", "phrase", "size", "times"])
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parts(batches):
+        totals = np.bincount(part.number[: part.own], weights=None, minlength=len(part.words))
+        sums = np.zeros(len(part.words), np.int64)
+        np.add.at(sums, part.number[: part.own], part.times[: part.own])
+        numbers = np.flatnonzero(totals)
+        yield _rows(part, numbers[None, :], sums[numbers])
+
+
+def _pairs(allowed: Bitmap):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            at, h = part.pairs(allowed)
+            at, h = at[at < part.own], h[at < part.own]
+            order = np.argsort(h)
+            start = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))[: len(h)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[order[start]].view(np.int64)), pa.array(_sums(part.times[at[order]], start))], names=["hash", "times"])
+
+    return pairs
+
+
+def _phrases(allowed: Bitmap, allowed_pairs: Bitmap):
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            at, h = part.pairs(allowed)
+            pair = np.zeros(len(part.number) + LONGEST, bool)  # whether one that may be frequent starts there
+            pair[at[allowed_pairs.holds(h)]] = True
+            run = np.flatnonzero(pair[: part.own])
+            for size in range(2, LONGEST + 1):
+                run = run[pair[run + size - 2]]
+                if len(run):
+                    yield _rows(part, *part.phrases(run, size))
+
+    return phrases
 
 
 def _counter(frequent: int, memory: str):
-    """Blocks (bucket, block) of whole buckets to phrases with their counts; those of heavy beginnings may come from several tasks."""
-    column = [f"w{k}" for k in range(1 + LONGEST)]
+    """Phrases with counts (lang, phrase, size, times) of whole buckets to the frequent ones, added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        index: dict[str, int] = {}
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
         with tempfile.TemporaryDirectory() as scratch, duckdb.connect(f"{scratch}/counts.duckdb", config={"threads": 1, "memory_limit": memory, "temp_directory": f"{scratch}/spill", "preserve_insertion_order": False}) as db:
-            db.execute(f"CREATE TABLE windows ({', '.join(f'{c} INTEGER' for c in column)}, deep TINYINT, times BIGINT); CREATE TABLE single (w0 INTEGER, w1 INTEGER, times BIGINT)")
-            held: dict[str, list[pa.RecordBatch]] = {"windows": [], "single": []}
-
-            def put() -> None:
-                for name, parts in held.items():
-                    if parts:
-                        rows = pa.Table.from_batches(parts)  # noqa: F841  the database reads it by its name
-                        db.execute(f"INSERT INTO {name} SELECT * FROM rows")
-                        parts.clear()
-
-            some = False
-            for batch in batches:
-                for block in batch.column(1):
-                    some, stream = True, pa.BufferReader(block.as_buffer())
-                    names, windows, single = (pa.ipc.open_stream(stream).read_all() for _ in range(3))
-                    ids = np.array([*(index.setdefault(w, len(index)) for w in names.column(0).to_pylist()), -1], np.int32)
-                    for name, table in (("windows", windows), ("single", single)):
-                        new = {c: ids[table.column(c).to_numpy()] if c in column else table.column(c).combine_chunks() for c in table.column_names}
-                        held[name].append(pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in new.items()}))
-                    if sum(b.num_rows for b in held["windows"]) >= WINDOWS // 4:
-                        put()
-            if not some:
-                return
-            put()
-            names = np.array(list(index), object)
-            db.execute(f"CREATE TABLE counts_1 AS SELECT w0, w1, sum(times)::BIGINT AS times FROM single GROUP BY ALL HAVING sum(times) >= {frequent}")
-            for k in range(2, LONGEST + 1):
-                key = ", ".join(column[: k + 1])
-                if k > 2:  # only windows whose beginning may be frequent
-                    db.execute(f"CREATE TABLE longer AS SELECT w.* FROM windows w SEMI JOIN counts_{k - 1} USING ({', '.join(column[:k])}) WHERE w{k} >= 0; DROP TABLE windows; ALTER TABLE longer RENAME TO windows")
-                db.execute(f"CREATE TABLE counts_{k} AS SELECT {key}, sum(times)::BIGINT AS times FROM windows GROUP BY {key} HAVING sum(times) >= {frequent} OR max(deep) > {k}")
-            for k in range(1, LONGEST + 1):
-                for rows in db.sql(f"SELECT * FROM counts_{k}").to_arrow_reader(1 << 16):
-                    if rows.num_rows:
-                        parts = [names[rows.column(c).to_numpy()] for c in range(k + 1)]
-                        phrases = [" ".join(p) for p in zip(*parts[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(phrases), k, np.int32)), rows.column(k + 1)], names=["lang", "phrase", "size", "times"])
+            db.execute("CREATE TABLE counts (lang VARCHAR, phrase VARCHAR, size INTEGER, times BIGINT)")
+            for batch in itertools.chain([first], batches):
+                rows = pa.Table.from_batches([batch])  # noqa: F841  the database reads it by its name
+                db.execute("INSERT INTO counts SELECT * FROM rows")
+            found = db.sql(f"SELECT lang, phrase, size, sum(times)::BIGINT AS times FROM counts GROUP BY ALL HAVING sum(times) >= {frequent}")
+            yield from found.to_arrow_reader(1 << 16)
 
     return count
 
 
-def frequent_phrases(rows: DataFrame, frequent: int = FREQUENT, split: int = SPLIT, per_bucket: int = PER_BUCKET) -> DataFrame:
+def frequent_phrases(rows: DataFrame, frequent: int = FREQUENT, per_bucket: int = PER_BUCKET) -> DataFrame:
     """lang, phrase, size (words) and times of all phrases of one to five words that occur `frequent` times or more.
 
-    `rows` are `pieces`; they are read twice, so they should be staged.
+    `rows` are `pieces`; they are read three times, so they should be staged.
     """
-    total = rows.agg(F.sum("words")).first()[0] or 0
+    buckets = max(1, -(-(rows.agg(F.sum("words")).first()[0] or 0) // per_bucket))
     given = rows.select("lang", "piece", "times")
-    heavy = given.mapInArrow(_heavy_here(split), "beginning bigint, windows bigint").groupBy("beginning").agg(F.sum("windows").alias("windows"))
-    found = heavy.where(F.col("windows") * split >= total).select("beginning").collect()  # `split` of each length at most
-    names = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
-    buckets = max(1, -(-total // per_bucket))
-    blocks = given.mapInArrow(_sender(buckets, names), "bucket int, block binary")
-    counts = blocks.repartitionById(buckets, "bucket").mapInArrow(_counter(frequent, MEMORY), _COUNTS)
-    return counts.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times")).where(F.col("times") >= frequent)
+    counted = lambda part: given.mapInArrow(part, _COUNTS).repartition(buckets, "lang", "phrase").mapInArrow(_counter(frequent, MEMORY), _COUNTS)
+    single = staged(counted(_single))
+    words = bitmap(single.select(_name_hash(F.col("lang"), F.col("phrase")).alias("hash")))
+    pairs = given.mapInArrow(_pairs(words), "hash bigint, times bigint").groupBy("hash").agg(F.sum("times").alias("times"))
+    pairs = bitmap(staged(pairs.where(F.col("times") >= frequent).select("hash")))
+    return single.unionByName(counted(_phrases(words, pairs)))
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -279,11 +231,11 @@ def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(F.lit(1000), 4) * wide(a, 17) * wide(n, 17), wide(left, 17) * wide(right, 17))
 
 
-def mine(docs: DataFrame, lang: str = "lang", text: str = "text", frequent: int = FREQUENT, best: int = BEST, split: int = SPLIT, per_bucket: int = PER_BUCKET) -> DataFrame:
+def mine(docs: DataFrame, lang: str = "lang", text: str = "text", frequent: int = FREQUENT, best: int = BEST, per_bucket: int = PER_BUCKET) -> DataFrame:
     """The `best` phrases of each language: lang, rank, phrase, a, l, r, n and score."""
     rows = staged(pieces(docs, lang, text))
     totals = rows.groupBy("lang").agg(F.sum(F.col("times") * F.col("words")).alias("n"))
-    counts = staged(frequent_phrases(rows, frequent, split, per_bucket))
+    counts = staged(frequent_phrases(rows, frequent, per_bucket))
     several = counts.where("size > 1")
     word = F.split("phrase", " ")
     run = lambda at, size: F.array_join(F.slice(F.col("word"), at, size), " ")

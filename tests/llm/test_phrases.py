@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from casewright.llm import phrases
@@ -51,47 +54,47 @@ def corpus(seed=3, n=240):
     return rows + rows[:20] + [("en", None), (None, None), ("de", ""), ("de", " .. \t"), ("en", "the same passage is here again. " * 50)]
 
 
-@pytest.mark.parametrize(("split", "per_bucket"), [(1024, 1 << 20), (20, 300), (3, 100)])
-def test_counts_equal_plain_python_however_they_are_dealt(spark, split, per_bucket):
+@pytest.mark.parametrize("per_bucket", [1 << 20, 300])
+def test_counts_equal_plain_python_however_they_are_dealt(spark, per_bucket):
     rows = corpus()
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
-    out = phrases.mine(docs.withColumn("phrase", F.lit(1)).withColumn("times", F.lit("clash")), frequent=6, split=split, per_bucket=per_bucket)
+    out = phrases.mine(docs.withColumn("phrase", F.lit(1)).withColumn("times", F.lit("clash")), frequent=6, per_bucket=per_bucket)
     assert got(out) == brute(rows, 6)
     assert len(got(out)) > 20
 
 
-def test_heavy_beginnings_and_parts_of_windows(spark, monkeypatch):
-    """A word pair that a third of all windows has, in pieces of very many words, coded in parts."""
-    monkeypatch.setattr(phrases, "WINDOWS", 500)
+def test_hot_pairs_and_long_pieces_in_parts(monkeypatch):
+    """A word pair that a third of all places has, in pieces of very many words, coded in parts, with bitmaps that let much through."""
+    monkeypatch.setattr(phrases, "AT_ONCE", 500)
     monkeypatch.setattr(phrases, "CHUNK", 2000)
+    monkeypatch.setattr(phrases, "_WIDE", 10)  # numbers of a part, as of a piece with very many words
     rng = random.Random(1)
     rows = [("en", " ".join(f"hot pair {rng.choice('ab')} {rng.randrange(40)}" for _ in range(400))) for _ in range(6)]
-    rows += [("en", " ".join(f"u{k}" for k in range(3000)))]
-    # functions that tasks run are sent by name, so small parts are tried here in this process
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "piece": [r[1] for r in rows], "times": pa.array([1] * len(rows), pa.int64())})
+    rows += [("en", " ".join(f"u{k}" for k in range(3000))), ("fr", "hot pair a 1")]
+    batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "piece": [r[1] for r in rows], "times": pa.array([1] * (len(rows) - 1) + [30], pa.int64())})
+    every = phrases.Bitmap(64, np.full(1, 2**64 - 1, np.uint64))
+    parts = [*phrases._single(iter([batch])), *phrases._phrases(every, every)(iter([batch]))]
     found = Counter()
-    heavy = Counter()
-    for part in phrases._heavy_here(8)(iter([batch])):
-        for h, c in zip(*(x.to_pylist() for x in part.columns), strict=True):
-            heavy[h] += c
-    assert heavy
-    import numpy as np
-
-    names = np.sort(np.array(list(heavy), np.int64).view(np.uint64))
-    blocks = pa.Table.from_batches(phrases._sender(7, names)(iter([batch])))
-    for b in range(7):
-        mine = blocks.filter(pa.compute.equal(blocks["bucket"], b))
-        for part in phrases._counter(20, "64MB")(iter(mine.to_batches())):
-            for _, p, _, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                found[p] += t
+    for part in phrases._counter(20, "64MB")(iter(parts)):
+        for lang, p, k, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
+            assert k == len(p.split(" "))
+            found[lang, p] += t
     true = Counter()
-    for _, text in rows:
+    for (lang, text), times in zip(rows, [1] * (len(rows) - 1) + [30], strict=True):
         w = text.split(" ")
         for k in range(1, 6):
-            true.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
-    assert {p: c for p, c in found.items() if c >= 20} == {p: c for p, c in true.items() if c >= 20}
+            for i in range(len(w) - k + 1):
+                true[lang, " ".join(w[i : i + k])] += times
+    assert found == {p: c for p, c in true.items() if c >= 20}
+
+
+def test_bitmaps_hold_every_name(spark):
+    names = [xxhash.xxh64_intdigest(f"en\0w{k}".encode(), seed=42) for k in range(5000)]
+    rows = spark.range(5000).select(phrases._name_hash(F.lit("en"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("hash"))
+    made = phrases.bitmap(rows)
+    others = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
+    assert made.holds(np.array(names, np.uint64)).all() and made.holds(others).mean() < 0.1
+    assert not phrases.bitmap(rows.limit(0)).holds(others).any()
 
 
 def test_ties_and_the_number_of_phrases(spark):
