@@ -15,7 +15,10 @@ third part, to which notices of licences that no family holds belong. A
 paragraph whose best family stays below the limit is `unknown` if it is unlikely
 to be none. A family is confirmed if half of the
 three-word n-grams of one of its templates, or half of those of the paragraph
-and LEAST at least, are shared. Rights that are reserved in the short form alone
+and LEAST at least, are shared; templates of up to SHORT n-grams count only
+whole, and short notices are a lead and one of the family's names. Words that say
+which of like licences is meant (`nd` behind `by`, another version, `lesser`)
+contradict the others, which they leave unconfirmed. Rights that are reserved in the short form alone
 give way to any other confirmed notice of the document.
 
 Weights lie in arrays by a hash of the n-gram, with a fingerprint beside them,
@@ -57,6 +60,8 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "SPDX-License-Identifier: MIT",
         "This project is licensed under the MIT License.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -79,22 +84,57 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
         "Licensed under the Mozilla Public License, version 2.0.",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "Licensed under the ISC License."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "Licensed under the ISC License.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Published under CC BY 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0).", "Released into the public domain."],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission of the copyright holder.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.", "All rights reserved.", "Proprietary and confidential."],
 }
+# The names by which a short notice calls a family, behind one of the leads.
+LEADS = ["Licensed under", "Released under", "Published under", "Distributed under the terms of", "This project is available under", "License:", "SPDX-License-Identifier:"]
+NAMES = {
+    "apache-2.0": ["the Apache License, Version 2.0", "Apache-2.0", "the Apache 2.0 License", "Apache License 2.0"], "mit": ["the MIT License", "MIT", "MIT license", "the Expat License"],
+    "gpl": ["GPLv3", "GPLv2", "GPL-3.0-or-later", "GPL-2.0-only", "the GPL", "the GPLv3", "the GPLv2", "the GNU GPL", "the GNU General Public License", "the GNU General Public License v2", "the GNU General Public License, version 3"],
+    "lgpl": ["LGPLv3", "LGPL-2.1", "the GNU LGPL", "the GNU Lesser General Public License", "the GNU Lesser General Public License, version 3"], "agpl": ["AGPLv3", "AGPL-3.0-only", "the GNU AGPL", "the GNU Affero General Public License", "the GNU Affero General Public License, version 3"],
+    "bsd": ["BSD-3-Clause", "BSD-2-Clause", "the BSD License", "a BSD-style license", "the New BSD License", "the BSD 2-Clause License", "the Simplified BSD License"], "mpl-2.0": ["MPL-2.0", "MPL 2.0", "the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"], "isc": ["ISC", "the ISC License"],
+    "cc-by": ["CC BY 4.0", "CC-BY-3.0", "CC BY", "a Creative Commons Attribution 3.0 License", "the Creative Commons Attribution License"], "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-3.0", "CC BY-SA", "the Creative Commons Attribution-ShareAlike License"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-3.0", "CC BY-NC", "the Creative Commons Attribution-NonCommercial License"], "cc-by-nd": ["CC BY-ND 4.0", "CC-BY-ND-3.0", "CC BY-ND", "the Creative Commons Attribution-NoDerivs License"],
+    "cc-by-nc-sa": ["CC BY-NC-SA 4.0", "CC-BY-NC-SA-3.0", "CC BY-NC-SA", "the Creative Commons Attribution-NonCommercial-ShareAlike License"], "cc-by-nc-nd": ["CC BY-NC-ND 4.0", "CC-BY-NC-ND-3.0", "CC BY-NC-ND", "the Creative Commons Attribution-NonCommercial-NoDerivs License"],
+    "public-domain": ["CC0", "CC0 1.0", "CC0-1.0", "the Unlicense", "Creative Commons Zero"], "proprietary": ["a proprietary license"],
+}
+# Patterns of those names over a paragraph's words, one space between them.
+_NC, _SA, _ND = "(?:nc|non ?commercial)", "(?:sa|share ?alike)", "(?:nd|no ?deriv(?:s|atives|ative works)?)"
+_CC = "(?:creative commons(?: license)?(?: cc)?|cc) (?:attribution|by)"
+PATTERNS = {
+    "apache-2.0": "apache(?: software)? license (?:version |v ?)?2(?: 0)?|apache 2(?: 0)?(?: license)?", "mit": "(?:mit|expat)(?: license)?(?! 0)", "gpl": "(?:gnu )?general public license(?: as published)?|(?:gnu )?gpl(?:v[0-9])?", "lgpl": "(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl(?:v[0-9])?",
+    "agpl": "(?:gnu )?affero general public license|(?:gnu )?agpl(?:v[0-9])?", "bsd": "(?:(?:new|modified|revised|simplified) )?bsd(?: [0234] clause)?(?: style)?(?: licen[sc]e)?", "mpl-2.0": "(?:mozilla public license|mpl)(?: version| v)? 2(?: 0)?|mplv2", "isc": "isc(?: license)?",
+    "cc-by": _CC, "cc-by-sa": f"{_CC} {_SA}", "cc-by-nc": f"{_CC} {_NC}", "cc-by-nd": f"{_CC} {_ND}", "cc-by-nc-sa": f"{_CC} {_NC} {_SA}", "cc-by-nc-nd": f"{_CC} {_NC} {_ND}", "public-domain": "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?|unlicense|cc 0 1 0", "proprietary": "proprietary license",
+}
+# Words that say which of like licences is meant, and so contradict the others' notices.
+NEVER = {
+    "apache-2.0": "apache(?: software)? license (?:version |v ?)?(?!2\\b)[0-9]", "mpl-2.0": "mozilla public license (?:version |v ?)?(?!2\\b)[0-9]", "gpl": "gnu (?:lesser|library|affero) general", "isc": "substantial portions", "mit": "mit no attribution|mit 0\\b",
+    "cc-by": f"(?:\\bby|attribution) (?:{_NC}|{_SA}|{_ND})\\b", "cc-by-sa": f"(?:\\bby|attribution) (?:{_NC}|{_ND})\\b", "cc-by-nd": f"(?:\\bby|attribution) (?:{_NC}|{_SA})\\b", "cc-by-nc": f"\\b{_NC} (?:{_SA}|{_ND})\\b", "cc-by-nc-sa": f"\\b{_NC} {_ND}\\b", "cc-by-nc-nd": f"\\b{_NC} {_SA}\\b",
+}
+# Words without which a notice isn't of the family, as its other words are those of another's.
+MUST = {"lgpl": "lesser|library general|lgpl", "agpl": "affero|agpl", "cc-by-sa": _SA, "cc-by-nc": _NC, "cc-by-nd": _ND, "cc-by-nc-sa": f"{_NC} {_SA}", "cc-by-nc-nd": f"{_NC} {_ND}"}
 # Words of notices that no family is to be told from.
 LOOSE = [
     "License: see the file LICENSE.", "This file is distributed under the terms stated in its license.", "The license of this work is described elsewhere.", "Licensed under the Foo Public License, version 7.", "Released under the Bar License.", "Subject to the terms of the license agreement with the vendor.",
+    "Licensed under the Apache Software License, Version 1.1.", "Licensed under the Apache License, Version 1.1.", "Licensed under the Mozilla Public License, version 1.1.",
 ]
 # Notices of licences that no family holds, which only the limit is found by.
 STRANGE = [
@@ -105,11 +145,14 @@ STRANGE = [
 OTHERS = [
     "He lost his driving license on the way to work.", "The software is free and the version is new.", "The public library is open to any person.", "The version of the story was published in May.", "You may obtain a copy of the book at the desk.", "Use the source of water with care.",
     "The general had the rights of the people in mind.", "All conditions are met.", "They work under the bridge.", "A work of art in the public eye.", "Terms and conditions of sale may change.", "The foundation gave permission to build.", "Nobody is permitted without a ticket.", "The commons lie behind the village.",
+    "He had the GPL in mind.", "She studied at MIT and at BSD.", "The ISC met in May.", "We walk by the commons, by and by.", "The rights to the land were reserved.", "Rooms are reserved for all who come.",
 ]
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [NONE, *TEMPLATES, UNKNOWN]
 MOST, SLOTS = 3, 1 << 13
 CONFIRMED = 0.5
+#: Templates of so many three-word n-grams or fewer confirm only whole.
+SHORT = 8
 #: The share of accepted families that shall be right.
 PRECISION = 0.98
 #: Three-word n-grams that a part of a notice shares with its template at least.
@@ -118,6 +161,8 @@ LEAST = 5
 RESERVED = "All rights reserved."
 #: Words too common to be a feature by themselves, or to begin a look-up.
 COMMON = frozenset("0 1 2 3 4 5 6 7 8 9 a all an and any are art as at bar be by can either eye from for found from had has he his http if in into is it its later lie may met mind mit new no not of on one only open or org part people person that the their they this to via was way with without work you".split())
+#: Words that are a feature only beside others, and only so begin a look-up.
+LONE = frozenset(("cc", "nc", "nd", "sa", "isc"))
 _SPLIT = "[^a-z0-9]+"
 #: Words that begin comment lines; other signs of comments aren't words.
 _SIGNS = r"(?i)^\s*(?:dnl|rem)\b"
@@ -128,11 +173,11 @@ def tokens(text: str) -> list[str]:
 
 
 def grams(words: list[str], vocabulary: set[str] | None = None) -> list[str]:
-    """Distinct n-grams of up to MOST words of which one at least isn't COMMON."""
+    """Distinct n-grams of up to MOST words of which one at least isn't COMMON, nor LONE if it is the only one."""
     out = {}
     for n in range(1, MOST + 1):
         for i in range(len(words) - n + 1):
-            if not all(w in COMMON for w in words[i : i + n]):
+            if not all(w in COMMON or n == 1 and w in LONE for w in words[i : i + n]):
                 out[" ".join(words[i : i + n])] = 1
     return [g for g in out if vocabulary is None or g in vocabulary]
 
@@ -185,6 +230,8 @@ def examples(count: int, seed: int) -> list[tuple[str, int]]:
         else:
             notices = LOOSE if FAMILIES[y] == UNKNOWN else TEMPLATES[FAMILIES[y]]
             words = rng.choice(notices).split()
+            if FAMILIES[y] != UNKNOWN and rng.random() < 0.5:
+                words = f"{rng.choice([*LEADS, '', '', ''])} {rng.choice(NAMES[FAMILIES[y]])}".split()
             long = [t for t in notices if len(t.split()) > 12] if FAMILIES[y] != UNKNOWN else []
             if long and rng.random() < 0.4:
                 words, y = _cut(rng, rng.choice(long).split(), y)
@@ -239,26 +286,30 @@ def limit_of(sure: np.ndarray, right: np.ndarray, precision: float = PRECISION)
 
 
 @functools.lru_cache(maxsize=2)
-def trained(count: int = 4000, seed: int = 0, rounds: int = 300, penalty: float = 2e-4) -> Licenses:
+def trained(count: int = 7000, seed: int = 0, rounds: int = 200, penalty: float = 2e-4) -> Licenses:
     """The classifier of `count` made paragraphs: two thirds fit it, a sixth each calibrates it and finds its limit."""
     data = examples(count, seed)
     parts = [[d for k, d in enumerate(data) if k % 6 in which] for which in ((0, 1, 2, 3), (4,), (5,))]
     fit, held, last = parts[0], parts[1], parts[2] + strange(count // 60, seed)
     seen: dict[str, int] = {}
-    known = {g for t in [*sum(TEMPLATES.values(), []), *LOOSE, *OTHERS] for g in grams(tokens(t))}
+    named = [f"{lead} {name}" for names in NAMES.values() for name in names for lead in LEADS]
+    known = {g for t in [*sum(TEMPLATES.values(), []), *named, *LOOSE, *OTHERS] for g in grams(tokens(t))}
     for text, _ in fit:
         for g in grams(tokens(text), known):
             seen.setdefault(g, len(seen))
     x, y = _matrix(fit, seen), np.array([d[1] for d in fit])
-    w, b = np.zeros((len(seen), len(FAMILIES))), np.zeros(len(FAMILIES))
-    one = np.eye(len(FAMILIES))[y]
+    w, b = np.zeros((len(seen), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+    one = np.eye(len(FAMILIES), dtype=np.float32)[y]
     rate = 4.0 / max(1.0, x.sum(axis=1).mean())
-    for _ in range(rounds):  # proximal gradient steps: the L1 penalty makes the weights sparse
-        z = x @ w + b
+    ahead, step = w, 1.0
+    for _ in range(rounds):  # proximal gradient steps with momentum (Beck and Teboulle, 2009): the L1 penalty makes the weights sparse
+        z = x @ ahead + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= rate * (x.T @ (p - one)) / len(y)
+        last_w, next_step = w, (1 + math.sqrt(1 + 4 * step * step)) / 2
+        w = ahead - rate * (x.T @ (p - one)) / len(y)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
+        ahead, step = w + (step - 1) / next_step * (w - last_w), next_step
         b -= rate * (p - one).mean(axis=0)
     z, hy = _matrix(held, seen) @ w + b, np.array([d[1] for d in held])
 
@@ -285,12 +336,12 @@ def trained(count: int = 4000, seed: int = 0, rounds: int = 300, penalty: float
     for i in use:
         slot = vocabulary[names[i]]
         weights[slot], prints[slot] = w[i], _slots(names[i])[2]
-    anchors = sorted({v for g in vocabulary for v in g.split() if v not in COMMON})
+    anchors = [*sorted({v for g in vocabulary for v in g.split() if v not in COMMON | LONE}), "cc[^a-z0-9]{1,3}by", "isc license"]
     return Licenses(weights, prints, b, float(temperature), limit, anchors, vocabulary)
 
 
 def _matrix(rows: list[tuple[str, int]], seen: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(rows), len(seen)))
+    x = np.zeros((len(rows), len(seen)), np.float32)
     for k, (text, _) in enumerate(rows):
         for g in grams(tokens(text), set(seen)):
             x[k, seen[g]] = 1
@@ -308,6 +359,20 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
+def form_pattern(family: str) -> str:
+    """Short notices over a paragraph's words: a lead and a name of the family, or the name alone."""
+    name, lead = PATTERNS[family], "spdx license identifier|licen[sc]e|(?:licen[sc]ed|released|published|distributed|available|offered|covered) (?:under|by)(?: the terms of)?|public domain under"
+    form = f"(?:^| )(?:{lead})(?: (?:the|a|an))? (?:{name})(?= |$)|^(?:the )?(?:{name})(?: (?:[0-9]|only|or|later|international|licen[sc]e))*$"
+    return form + ("|(?:released|dedicated|placed) (?:in|into|to) the public domain" if family == "public-domain" else "")
+
+
+def settled_by_words(said: str, family: str) -> int | None:
+    """3 if a short notice confirms the family, 0 if words contradict it, None if templates have to tell."""
+    if re.search(NEVER.get(family, "(?!)"), said) or not re.search(MUST.get(family, ""), said):
+        return 0
+    return 3 if re.search(form_pattern(family), said) else None
+
+
 def anchor_pattern(model: Licenses) -> str:
     return "(?i)(?<![a-z0-9])(?:" + "|".join(model.anchors) + ")(?![a-z0-9])"
 
@@ -318,7 +383,7 @@ def paragraphs(text: Column, model: Licenses) -> Column:
     weights = [_literal([round(float(v), 6) for v in model.weights[:, j]], "double") for j in range(k)]
     prints = _literal(model.prints.tolist(), "bigint")
     shapes = {f: {t: _shape(t) for t in TEMPLATES[f]} for f in TEMPLATES}
-    common = _literal(sorted(COMMON), "string")
+    common = _literal(sorted(COMMON | LONE), "string")
 
     def grams_of(words: Column) -> Column:
         def of(n: int) -> Column:
@@ -351,15 +416,18 @@ def paragraphs(text: Column, model: Licenses) -> Column:
         def near(mine: Column, template: str, shape: list[str]) -> Column:
             n = F.size(F.array_intersect(mine, _literal(shape, "string")))
             whole = F.lit(1 if template == RESERVED else 3)
-            return let(n, lambda k: F.when(k >= F.lit(CONFIRMED * len(shape)), whole).when((k >= LEAST) & (k >= CONFIRMED * F.size(mine)), 2).otherwise(0))
+            least = len(shape) if len(shape) <= SHORT else CONFIRMED * len(shape)
+            return let(n, lambda k: F.when(k >= F.lit(least), whole).when((k >= LEAST) & (k >= CONFIRMED * F.size(mine)) & F.lit(len(shape) > SHORT), 2).otherwise(0))
 
-        def shared(mine: Column) -> Column:
+        def shared(mine: Column, said: Column) -> Column:
             out = F.lit(0)
             for f, templates in shapes.items():
-                out = F.when(family == f, F.array_max(F.array(*[near(mine, t, shape) for t, shape in templates.items()]))).otherwise(out)
+                wrong = said.rlike(NEVER.get(f, "(?!)")) | ~said.rlike(MUST.get(f, ""))
+                best = F.array_max(F.array(*[near(mine, t, shape) for t, shape in templates.items()]))
+                out = F.when(family == f, F.when(wrong, 0).when(said.rlike(form_pattern(f)), 3).otherwise(best)).otherwise(out)
             return out
 
-        return let(own, shared)
+        return let(F.array_join(words, " "), lambda said: let(own, lambda mine: shared(mine, said)))
 
     anchor = anchor_pattern(model)
     words = lambda x: F.filter(F.split(F.lower(x), _SPLIT), lambda w: w != "")
