@@ -6,7 +6,9 @@ propose one kind, and spans may overlap. Boosted trees score a span by its
 format and by the words around it. A kind's spans are taken from the least
 probability at which they are right with PRECISION; the trees, their
 calibration and these limits come from three separate parts of the made
-candidates. Of two spans that overlap the more probable one stays, from left to
+candidates. Which pattern proposed a span isn't told to the trees, and every one
+proposes right and wrong examples. Patterns bound repeats (a name has three words
+at most, a password 200 characters). Of two spans that overlap the more probable one stays, from left to
 right; spans that touch a base span go. Everything that touches texts is
 built-in functions; the trees are fitted by the driver on made candidates.
 
@@ -43,6 +45,7 @@ CARD = r"[0-9]++(?:[ ][0-9]++|-[0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _MONTH = "(?:jan|feb|m[aä]r|apr|ma[iy]|jun|jul|aug|sep|o[ck]t|nov|de[cz]|janv|févr|mars|avr|juin|juil|août|ene|abr|ago|dic)[a-zäéû]{0,7}"
 _LEADS = r"(?i:name is|name:|named|i am|heiße|heisse|name ist|m'appelle|me llamo|nombre es)"
+_GREETS = r"(?:(?i:dear|contact|patient|customer|employee|signed|attn:|liebe|lieber|cher|chère|estimado|estimada)|(?i:regards|sincerely|grüßen|cordialement|atentamente),?)"
 _NAME = r"\p{Lu}[\p{Ll}'’-]{1,20}"
 #: What the generators propose, by kind; those of one kind may overlap too.
 CANDIDATES = {
@@ -51,8 +54,9 @@ CANDIDATES = {
         r"(?<![0-9A-Za-z.+/-])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,13}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z.+])\(?[0-9]{2,5}\)?[ ./-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){0,2}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z.+])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     ],
-    "national_id": [r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"(?<![0-9A-Za-z])(?:[0-9]{8}[A-Z]|[12] [0-9]{2} [0-9]{2} [0-9]{2} [0-9]{3} [0-9]{3}(?: [0-9]{2})?)(?![0-9A-Za-z])"],
+    "national_id": [r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"(?<![0-9A-Za-z])(?:[0-9]{8}[A-Z]|[12] [0-9]{2} [0-9]{2} [0-9]{2} [0-9]{3} [0-9]{3}(?: [0-9]{2})?)(?![0-9A-Za-z])", r"(?<![0-9A-Za-z-])(?:[A-Z]{1,2}[0-9]{6,9}|[A-Z][0-9]{3}-[0-9]{4}-[0-9]{4})(?![0-9A-Za-z-])"],
     "iban": [r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"],
     "ipv6": [r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])"],
     "birth_date": [r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])", rf"(?i)(?<![0-9])[0-9]{{1,2}}(?:st|nd|rd|th|\.)? (?:de |of )?{_MONTH} (?:de )?(?:19|20)[0-9]{{2}}(?![0-9])", rf"(?i)(?<![a-z]){_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?,? (?:19|20)[0-9]{{2}}(?![0-9])"],
@@ -61,7 +65,7 @@ CANDIDATES = {
         r"(?<!\p{L})\p{Lu}[\p{Ll}-]{1,24}(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?(?![0-9])",
         r"(?<![0-9])[0-9]{1,4},? (?:rue|avenue|boulevard|place|chemin|impasse)(?: (?:de|du|des|la|le|l'))*(?: \p{L}[\p{L}'-]{1,20}){1,3}", r"(?i)(?<!\p{L})(?:calle|avenida|plaza|paseo)(?: (?:de|del|la|las|los))*(?: \p{L}[\p{L}'-]{1,20}){1,2},? [0-9]{1,4}(?![0-9])",
     ],
-    "person": [rf"(?<!\p{{L}})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña)\.? {_NAME}(?: {_NAME}){{0,2}}", rf"(?=\p{{Lu}})(?<=\b{_LEADS} ){_NAME}(?: {_NAME}){{0,2}}"],
+    "person": [rf"(?<!\p{{L}})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña)\.? {_NAME}(?: {_NAME}){{0,2}}", rf"(?=\p{{Lu}})(?<=\b{_LEADS} ){_NAME}(?: {_NAME}){{0,2}}", rf"(?=\p{{Lu}})(?<=\b{_GREETS} ){_NAME}(?: {_NAME}){{1,2}}"],
     "secret": [
         r"(?<![0-9A-Za-z_])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z_])(?:gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000})(?![0-9A-Za-z])",
         r"(?i)(?<![a-z0-9])(?:password|passwd|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']? ?(?:=|:|:=) ?[\"']?[^\s\"',;<>]{4,200}[\"']?", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
@@ -70,16 +74,16 @@ CANDIDATES = {
 #: Cheap patterns of which every text with a match of the kind has one. They
 #: begin with characters that are rare in prose, so that few places are tried.
 _NEEDS = {
-    "masked_email": r"[\[({<][aA][tT][\])}>]", "local_phone": r"[0-9][ ()./-]{0,2}[0-9]", "national_id": r"[0-9](?:-[0-9]{2}-[0-9]|[0-9]{7}[A-Z]| [0-9]{2} [0-9]{2} )", "iban": r"[A-Z]{2}[0-9]{2} ?[0-9A-Z]", "ipv6": r":(?::|(?<=[0-9A-Fa-f]:)[0-9A-Fa-f]{1,4}:)",
+    "masked_email": r"[\[({<][aA][tT][\])}>]", "local_phone": r"[0-9][ ()./-]{0,2}[0-9]", "national_id": r"[0-9](?:-[0-9]{2}-[0-9]|[0-9]{7}[A-Z]| [0-9]{2} [0-9]{2} |(?<=[A-Z][0-9])(?:[0-9]{5}|[0-9]{2}-[0-9]{4}-))", "iban": r"[A-Z]{2}[0-9]{2} ?[0-9A-Z]", "ipv6": r":(?::|(?<=[0-9A-Fa-f]:)[0-9A-Fa-f]{1,4}:)",
     "birth_date": r"[0-9](?:[./-][0-9]{1,2}[./-][0-9]|[0-9]{3}(?<= (?:19|20)[0-9]{2}))", "street": r"[0-9](?:,? \p{L}|(?<= [0-9]))",
-    "person": rf" (?=\p{{Lu}})(?<=(?:M(?:rs?|s|iss|me|lle)|D(?:r|on|oña)|Prof|Herr|Frau|Sra?)\.? |{_LEADS} )",
+    "person": rf" (?=\p{{Lu}})(?<=(?:M(?:rs?|s|iss|me|lle)|D(?:r|on|oña)|Prof|Herr|Frau|Sra?)\.? |{_LEADS} |{_GREETS} )",
     "secret": r"[-_=:](?<=gh[pousr]_|sk-|xox[abprs]-|-----|(?i:word|wd|wort|secret|token|key|auth)[\"']{0,1} {0,1}:{0,1}[=:])|[AJ](?:[KS]IA[0-9A-Z]|Iza|(?<=eyJ))|(?<![0-9A-Za-z])[0-9a-f]{32}",
 }
 #: Words around a span, by what they speak of.
 CONTEXT = {
     "calls": r"\b(?:tel|phone|telephone|call|mobile|cell|fax|sms|whatsapp|telefon|handy|anruf|téléphone|tél|appelez|teléfono|móvil|llame)\b",
     "writes": r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\b",
-    "names": r"\b(?:ssn|social security|passport|national id|id card|ausweis|tax id|dni|steuer\w*|sécurité sociale)\b",
+    "names": r"\b(?:ssn|social security|passport|reisepass|passeport|pasaporte|national id|id card|ausweis|tax id|dni|steuer\w*|sécurité sociale|driver'?s? licen[cs]e|licen[cs]e (?:no|number)|führerschein|permis)\b",
     "banks": r"\b(?:iban|bank|account|konto|compte|cuenta|bic|swift|transfer)\b",
     "hosts": r"\b(?:ip|ipv6|host|address|server|client|login|from)\b",
     "births": r"\b(?:born|birth|birthday|dob|birthdate|geboren|geburtsdatum|née?|naissance|nacid[oa]|nacimiento)\b",
@@ -87,7 +91,12 @@ CONTEXT = {
     "keys": r"\b(?:password|passwd|passwort|pwd|secret|token|api|key|credentials?|auth|login)\b",
     "counts": r"\b(?:isbn|issn|order|invoice|ref|no|nr|serial|version|page|pages|table|section|model|sku|part|vol|doi|population|total|figure|lot|sha|sha1|md5|commit|hash|checksum|published|updated|posted|on)\b",
 }
-FEATURES = ["kind", "pattern", "chars", "digits", "letters", "capitals", "groups", "spaces", "dashes", "dots", "slashes", "parens", "colons", "equals", "zero", "dated", "variety", *CONTEXT, *(f"close_{k}" for k in CONTEXT)]
+CONTEXT |= {
+    "leads": r"(?:\bname is|\bname:|\bhei(?:ß|ss)e|\bname ist|m'appelle|\bme llamo|nombre es|\bnamed|\bi am|\bdear|\bpatient|\bcustomer|\bemployee|\bsigned|\battn:|\blieber?|\bchère?|\bestimad[oa]|\bregards,?|\bsincerely,?|\bcontact) $",
+    "things": r"\b(?:file|host|user|class|product|brand|company|variable|table|column|field|domain|server|project|package|model|band|song|book|city|street)[ _-]?name|\bname of (?:the|a)\b",
+    "shown": r"\b(?:example|sample|placeholder|dummy|such as|format|looks? like|starts? with|begins? with|beispiel|exemple|ejemplo)\b",
+}
+FEATURES = ["kind", "checked", "chars", "digits", "letters", "capitals", "groups", "spaces", "dashes", "dots", "slashes", "parens", "colons", "equals", "zero", "dated", "variety", "mixed", *CONTEXT, *(f"close_{k}" for k in CONTEXT)]
 PRECISION = 0.98
 _AROUND, _CLOSE = 40, 16
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -158,17 +167,28 @@ def candidates(text: Column) -> Column:
     return let(text, proposed)
 
 
+def checked(m: Column, kind: Column) -> Column:
+    """1 if a number's check digits hold (an IBAN's by 97, a Spanish id's letter by 23), 0 if not, -1 for other forms."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.left(plain, F.lit(4))), "")
+    value = lambda x: F.when(x.rlike("[0-9]"), x.try_cast("int")).otherwise(F.ascii(x) - 55)
+    rest = F.aggregate(F.filter(turned, lambda x: x != ""), F.lit(0), lambda a, x: F.pmod(a * F.when(x.rlike("[0-9]"), 10).otherwise(100) + value(x), F.lit(97)))
+    letter = F.substring(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), F.pmod(F.left(m, F.lit(8)).try_cast("int"), F.lit(23)) + 1, F.lit(1))
+    return F.when(kind == "iban", (rest == 1).cast("double")).when((kind == "national_id") & m.rlike("^[0-9]{8}[A-Z]$"), (F.right(m, F.lit(1)) == letter).cast("double")).otherwise(-1.0)
+
+
 def features(c: Column) -> dict[str, Column]:
     """FEATURES of a candidate struct, as numbers."""
     m, near = c["m"], c["near"]
     count = lambda chars: (F.length(m) - F.length(F.translate(m, chars, ""))).cast("double")
     number = F.array_position(F.array(*[F.lit(k) for k in MORE]), c["kind"]).cast("double")
     out = {
-        "kind": number, "pattern": c["pattern"].cast("double"), "chars": F.length(m).cast("double"), "digits": count("0123456789"), "letters": (F.length(m) - F.length(F.regexp_replace(m, r"\p{L}", ""))).cast("double"), "capitals": (F.length(m) - F.length(F.regexp_replace(m, r"\p{Lu}", ""))).cast("double"),
+        "kind": number, "checked": checked(m, c["kind"]), "chars": F.length(m).cast("double"), "digits": count("0123456789"), "letters": (F.length(m) - F.length(F.regexp_replace(m, r"\p{L}", ""))).cast("double"), "capitals": (F.length(m) - F.length(F.regexp_replace(m, r"\p{Lu}", ""))).cast("double"),
         "groups": F.size(F.split(m, "[^0-9A-Za-z]+")).cast("double"), "spaces": count(" "), "dashes": count("-"), "dots": count("."), "slashes": count("/"), "parens": count("()"), "colons": count(":"), "equals": count("="), "zero": m.rlike(r"^\(?0").cast("double"),
         "dated": m.rlike(r"^(?:19|20)[0-9]{2}[ ./-]|[ ./-](?:19|20)[0-9]{2}$|^[0-9]{1,2}[./-][0-9]{1,2}[./-]").cast("double"), "variety": F.size(F.array_distinct(F.split(m, ""))).cast("double"),
     }
     out |= {k: near.rlike(rx).cast("double") for k, rx in CONTEXT.items()}
+    out["mixed"] = m.rlike("[A-Za-z][0-9]|[0-9][A-Za-z]").cast("double")
     return out | {f"close_{k}": c["close"].rlike(rx).cast("double") for k, rx in CONTEXT.items()}
 
 
@@ -185,28 +205,40 @@ def made_candidates(count: int, seed: int = 0) -> list[tuple[str, str, int, int,
     day, month, year = lambda: f"{rng.randint(1, 28):02d}", lambda: f"{rng.randint(1, 12):02d}", lambda: f"{rng.choice(('19', '20'))}{d(2)}"
     named = lambda: rng.choice("January March May June July October December Januar März Dezember mars juillet enero".split())
     six = lambda: f"{rng.randrange(65536):x}"
+
+    def iban(country: str, body: str, gap: bool) -> str:
+        number = "".join(str(int(c, 36)) for c in f"{body}{country}00")
+        whole = f"{country}{98 - int(number) % 97:02d}{body}"
+        return " ".join(whole[k : k + 4] for k in range(0, len(whole), 4)) if gap else whole
+
+    def dni(n: str) -> str:
+        return n + "TRWAGMYFPDXBNJZSQVHLCKE"[int(n) % 23]
+
     says = {
         "calls": ["call", "phone", "tel", "mobile", "fax", "telefon"], "writes": ["email", "mail", "contact", "write to"], "names": ["ssn", "social security", "passport", "tax id", "dni"], "banks": ["iban", "bank account", "transfer to", "konto"], "hosts": ["host", "ip", "client", "server"],
         "births": ["born", "birth", "dob", "geboren", "née", "nacido", "birthday:"], "homes": ["lives at", "address", "home address:", "wohnt", "adresse", "domicilio"], "keys": ["password", "secret", "token", "api key", "credentials"], "counts": ["isbn", "order", "invoice", "ref", "serial", "version", "page", "total", "part", "lot", "commit", "sha1", "published", "updated"],
     }
     dates = [lambda: f"{day()}.{month()}.{year()}", lambda: f"{day()}/{month()}/{year()}", lambda: f"{year()}-{month()}-{day()}", lambda: f"{day()} {named()} {year()}", lambda: f"{named()} {day()}, {year()}"]
+    leads, greets = ["my name is", "name:", "Name:", "ich heiße", "je m'appelle", "me llamo", "i am", "named"], ["Dear", "contact", "patient", "customer", "Regards,", "signed", "attn:", "Estimado"]
     good = {
         "masked_email": [lambda: f"{word()}.{word()} [at] {word()} [dot] com", lambda: f"{word()}(at){word()}.org", lambda: f"{word()}{d(2)} (at) {word()}.{word()}.net"],
         "local_phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"0{rng.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)}/{d(6)}"],
-        "national_id": [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(8)}{rng.choice('TRWAGMYFPD')}", lambda: f"{rng.choice('12')} {d(2)} {month()} {d(2)} {d(3)} {d(3)} {d(2)}"], "iban": [lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", lambda: f"FR{d(25)}", lambda: f"ES{d(22)}"],
+        "national_id": [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: dni(d(8)), lambda: f"{rng.choice('CHKLPX')}{d(8)}", lambda: f"{rng.choice(('AB', 'GB', 'XA'))}{d(7)}", lambda: f"{rng.choice('ABDS')}{d(3)}-{d(4)}-{d(4)}", lambda: f"{rng.choice('12')} {d(2)} {month()} {d(2)} {d(3)} {d(3)} {d(2)}"], "iban": [lambda: iban("DE", d(18), rng.random() < 0.5), lambda: iban("FR", d(23), rng.random() < 0.3), lambda: iban("ES", d(20), rng.random() < 0.3), lambda: iban("GB", f"{word().upper().ljust(4, 'X')[:4]}{d(14)}", rng.random() < 0.5)],
         "ipv6": [lambda: ":".join(six() for _ in range(8)), lambda: f"{six()}:{six()}::{six()}", lambda: f"fe80::{six()}:{six()}:{six()}:{six()}", lambda: f"2001:db8::{six()}"],
         "birth_date": dates,
         "street": [lambda: f"{rng.randint(1, 999)} {cap()} {rng.choice(('Street', 'Avenue', 'Road', 'Lane', 'St', 'Drive'))}", lambda: f"{cap()}{rng.choice(('straße', 'weg', 'platz', 'allee', 'gasse'))} {rng.randint(1, 200)}", lambda: f"{rng.randint(1, 99)} rue de {cap()}", lambda: f"Calle de {cap()}, {rng.randint(1, 99)}"],
-        "person": [lambda: f"{rng.choice(('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Herr', 'Frau', 'Mme', 'Sra.'))} {cap()} {cap()}", lambda: f"{rng.choice(('Mr', 'Dr', 'Frau'))} {cap()}"],
-        "secret": [lambda: f"AKIA{coded(16)}", lambda: f"ghp_{mixed(36)}", lambda: f"sk-{mixed(40)}", lambda: f"password={hexed(rng.randint(8, 20))}", lambda: f'token = "{hexed(40)}"', lambda: f"api_key: {mixed(24)}", lambda: f"secret='{mixed(16)}'", lambda: f"eyJ{mixed(20)}.{mixed(30)}.{mixed(30)}", lambda: "-----BEGIN RSA PRIVATE KEY-----"],
+        "person": [lambda: f"{rng.choice(('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Herr', 'Frau', 'Mme', 'Sra.'))} {cap()} {cap()}", lambda: f"{rng.choice(('Mr', 'Dr', 'Frau'))} {cap()}", lambda: f"{rng.choice(leads)} \1{cap()} {cap()}", lambda: f"{rng.choice(greets)} \1{cap()} {cap()}", lambda: f"{rng.choice(leads[:6])} \1{cap()}"],
+        "secret": [lambda: f"password: {word()}{d(rng.randint(1, 4))}", lambda: f"pwd={mixed(rng.randint(6, 12))}", lambda: f"passwort: {cap()}{d(2)}!", lambda: f"{rng.choice(('api key', 'access key', 'token', 'secret'))} \1{hexed(rng.choice((32, 40, 64)))}", lambda: f"AKIA{coded(16)}", lambda: f"ghp_{mixed(36)}", lambda: f"sk-{mixed(40)}", lambda: f"password={hexed(rng.randint(8, 20))}", lambda: f'token = "{hexed(40)}"', lambda: f"api_key: {mixed(24)}", lambda: f"secret='{mixed(16)}'", lambda: f"eyJ{mixed(20)}.{mixed(30)}.{mixed(30)}", lambda: "-----BEGIN RSA PRIVATE KEY-----"],
     }
+    things, shown = ["file", "host", "class", "product", "company", "project", "band", "city"], ["for example", "a sample such as", "a placeholder like", "it starts with", "the format"]
     bad = {
-        "masked_email": [lambda: f"{word()} (at) {word()}. {word()}", lambda: f"{word()} <at> {word()}. {word()}"], "national_id": [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(8)}{rng.choice('TRWAGMYFPD')}"],
+        "masked_email": [lambda: f"{word()} (at) {word()}. {word()}", lambda: f"{word()} <at> {word()}. {word()}"], "national_id": [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(8)}{rng.choice('TRWAGMYFPD')}", lambda: f"{rng.choice('CHKLPX')}{d(8)}", lambda: f"{rng.choice(('AB', 'GB', 'XA'))}{d(7)}", lambda: f"{rng.choice('ABDS')}{d(3)}-{d(4)}-{d(4)}"],
         "ipv6": [lambda: ":".join(d(2) for _ in range(8)), lambda: f"{word()[:2]}::{word()[:3]}", lambda: "a::b", lambda: f"{rng.choice(('add', 'fed', 'cafe'))}::{rng.choice(('bad', 'dad', 'face'))}", lambda: "::"],
         "local_phone": [lambda: d(rng.randint(7, 14)), lambda: f"{d(3)} {d(3)} {d(3)}", lambda: f"20{d(2)}-{d(2)}-{d(2)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{d(1)}.{d(4)}.{d(4)}", lambda: f"97{d(1)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)}"],
-        "iban": [lambda: f"AB{d(2)} {word().upper().ljust(4, 'X')[:4]} {d(4)} {d(4)}", lambda: f"XY{d(4)}QWER{d(4)}"],
-        "birth_date": dates, "street": [lambda: f"{rng.randint(1, 99)} {cap()} {cap()} Way", lambda: f"{cap()}weg 3", lambda: f"{rng.randint(1, 99)} place de {word()} {word()}"], "person": [lambda: f"Don {cap()}", lambda: f"Dr {cap()}"],
-        "secret": [lambda: hexed(40), lambda: hexed(32), lambda: "token: none", lambda: "password: ****", lambda: f"secret: {word()}", lambda: "key = value", lambda: f"auth: {word()}", lambda: f"token={word()[:4].ljust(4, 'a')}", lambda: "password: required"],
+        "iban": [lambda: f"AB{d(2)} {word().upper().ljust(4, 'X')[:4]} {d(4)} {d(4)}", lambda: f"XY{d(4)}QWER{d(4)}", lambda: f"{rng.choice(('DE', 'ES', 'SN'))}{d(20)}", lambda: f"{rng.choice(('DE', 'GB'))}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"],
+        "birth_date": dates, "street": [lambda: f"{rng.randint(1, 99)} {cap()} {cap()} Way", lambda: f"{cap()}weg 3", lambda: f"{rng.randint(1, 99)} place de {word()} {word()}", lambda: f"{rng.choice(('plaza', 'Avenida', 'paseo'))} {word()} {rng.choice(('19', '20'))}{d(2)}", lambda: f"calle {word()} {word()} {d(4)}"],
+        "person": [lambda: f"Don {cap()}", lambda: f"{rng.choice(things)} {rng.choice(('name:', 'name is', 'named'))} \1{cap()} {cap()}", lambda: f"{rng.choice(things)} {rng.choice(('name:', 'name is', 'named'))} \1{cap()}", lambda: f"{rng.choice(things)} name: {word()}, contact \1{cap()} {cap()}"],
+        "secret": [lambda: hexed(40), lambda: hexed(32), lambda: f"AKIA{rng.choice('XA0')*16}", lambda: f"ghp_{rng.choice('xa0')*36}", lambda: f"sk-{rng.choice(('your-api-key-goes-here', 'x'*20))}", lambda: f"{rng.choice(shown)} \1AKIA{coded(16)}", lambda: f"{rng.choice(shown)} \1-----BEGIN RSA PRIVATE KEY-----", lambda: f"{rng.choice(('commit', 'sha1', 'md5', 'checksum'))} \1{hexed(rng.choice((32, 40, 64)))}", lambda: "token: none", lambda: "password: ****", lambda: f"secret: {word()}", lambda: "key = value", lambda: f"auth: {word()}", lambda: f"token={word()[:4].ljust(4, 'a')}", lambda: "password: required"],
     }
     right = {"masked_email": ["writes", None], "local_phone": ["calls"], "national_id": ["names"], "iban": ["banks", "banks", None], "ipv6": ["hosts", "hosts", None], "birth_date": ["births"], "street": ["homes", "homes", None], "person": [None, "writes", "calls", "homes"], "secret": ["keys", None, None]}
     same = ("local_phone", "national_id", "birth_date")  # of which the words around alone tell one from the other
@@ -219,19 +251,30 @@ def made_candidates(count: int, seed: int = 0) -> list[tuple[str, str, int, int,
         if rng.random() < 0.3:  # another number before, with a word that isn't this one's
             lead = f"{rng.choice(says[rng.choice(list(says))])} {d(rng.randint(3, 9))} {word()} {word()} {lead}"
         before = f"{filler(rng.randint(0, 6))} {lead}"
+        if kind == "local_phone" and label and hint and rng.random() < 0.2:  # one number behind another
+            before += f"{d(3)}-{d(3)}-{d(4)}{rng.choice((' ', '/', ', ', ' or '))}"
+        if "\1" in body:  # words before what is put in
+            front, body = body.split("\1")
+            before += front
         after = filler(rng.randint(0, 5))
         if kind in ("local_phone", "street") and rng.random() < 0.35:  # numbers that follow aren't part of it
-            after = rng.choice((f"{d(rng.randint(1, 2))} {after}", f"/ {d(3)}-{d(3)}-{d(4)} {after}", f"{d(3)}-{d(3)}-{d(4)} {after}"))
+            after = rng.choice((f"{d(rng.randint(1, 2))} {after}", f"/ {d(3)}-{d(3)}-{d(4)} {after}", f"{d(3)}-{d(3)}-{d(4)} {after}", f"{d(3)}-{d(3)}-{d(4)} {after}", f"{d(3)} {d(3)} {d(4)} {after}"))
         out.append((kind, f"{before}{body} {after}", len(before), len(before) + len(body), int(label)))
     return out
 
 
+def covered(c: Column) -> Column:
+    """How much of a made span (a, b) a candidate is; a secret's may begin with the word before it."""
+    size = F.when(c["kind"] == "secret", F.col("b") - F.col("a")).otherwise(F.greatest(F.col("b") - F.col("a"), c["end"] - c["start"]))
+    return (F.least(c["end"], F.col("b")) - F.greatest(c["start"], F.col("a"))) / size
+
+
 def scored_examples(spark: SparkSession, made: list[tuple[str, str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and kinds of the candidates that meet what was put in; right is what covers nine tenths of it."""
     rows = [{"kind": k, "text": t, "a": a, "b": b, "label": y} for k, t, a, b, y in made]
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,text:string,a:int,b:int,label:int>>")).alias("r")).select("r.*").repartition(16)
     found = table.select("kind", "label", "a", "b", F.explode(candidates(F.col("text"))).alias("c")).where("c.kind = kind AND c.start < b AND c.end > a")
-    covers = (F.least("c.end", "b") - F.greatest("c.start", "a")) / F.greatest(F.col("b") - F.col("a"), F.col("c.end") - F.col("c.start"))
+    covers = covered(F.col("c"))
     values = features(F.col("c"))
     data = found.select(*[values[f].alias(f) for f in FEATURES], (F.col("label") * (covers >= 0.9).cast("int")).alias("y")).collect()
     rows = np.array(sorted(map(tuple, data)), float).reshape(-1, len(FEATURES) + 1)
@@ -247,7 +290,7 @@ def _fitted(spark: SparkSession, count: int, seed: int) -> tuple[boosting.Booste
     return model, tuple(boosting.threshold(model, x[last & (kinds == k)], y[last & (kinds == k)], PRECISION) for k in range(1, len(MORE) + 1))
 
 
-def trained(spark: SparkSession, count: int = 7200, seed: int = 0) -> tuple[boosting.Boosted, tuple[float, ...]]:
+def trained(spark: SparkSession, count: int = 9000, seed: int = 0) -> tuple[boosting.Boosted, tuple[float, ...]]:
     """The model of `count` made candidates, and for each of MORE the probability from which spans are taken."""
     return _fitted(spark, count, seed)
 
