@@ -84,7 +84,11 @@ _SECTIONS = frozenset("article main section aside nav header footer form table".
 _KIN = (5, 12, 25, 60, 120, 250)
 _HINTS = {
     "rights": re.compile(r"©|\(c\)|copyright|all rights reserved", re.I), "reply": re.compile(r"\b(?:reply|replies|comments?|says|said)\b", re.I), "share": re.compile(r"\b(?:share|tweet|subscribe|newsletter|sign up|log ?in|cookies?|privacy|advert\w*|sponsored|related|read more)\b", re.I),
+    "bars": re.compile(r"(?:[^|·•»\n]{1,24}[|·•»] ?){1,12}[^|·•»\n]{1,24}"), "stamp": re.compile(r"\b(?:last (?:edited|updated|modified|changed)|updated on|terms of (?:use|service)|contact us|about us|site ?map|powered by)\b", re.I),
+    "onward": re.compile(r"(?:related|more|other|recent|popular|latest|you (?:may|might)|see also|recommended|further)\b.{0,40}", re.I),
 }
+#: Hints that the whole of a short text must be.
+_WHOLE = frozenset(("bars", "onward"))
 
 
 def blocks(page: str, model: Model) -> tuple[list[str], list[list[int]]]:
@@ -112,7 +116,7 @@ def blocks(page: str, model: Model) -> tuple[list[str], list[list[int]]]:
                 names.append("ends" if text[-1] in ".!?…\"”»" else "open")
                 commas = text.count(",")
                 names += [f"commas>{b}" for b in (0, 2) if commas > b]
-                names += [f"hint {k}" for k, rx in _HINTS.items() if rx.search(text)]
+                names += [f"hint {k}" for k, rx in _HINTS.items() if (rx.fullmatch(text[:300]) if k in _WHOLE else rx.search(text))]
                 features.append([*home[1], *(i for i in map(model.id, names) if i is not None)])
                 texts.append(text)
                 kin.append(home[5])
@@ -195,10 +199,11 @@ def blocks(page: str, model: Model) -> tuple[list[str], list[list[int]]]:
             at = end.start() if end else len(page)
     flush()
     most = max(prose.values(), default=0)
+    few = [i for i in map(model.id, (f"blocks<{b}" for b in (2, 3, 5, 9) if len(texts) < b)) if i is not None]
     for k, own in enumerate(kin):
         n = prose.get(own, 0)
         names = [f"kin>{b}" for b in _KIN if n > b] + (["kin most"] if n and n == most else [])
-        features[k] += [i for i in map(model.id, names) if i is not None]
+        features[k] += [*few, *(i for i in map(model.id, names) if i is not None)]
     return texts, features
 
 
@@ -292,7 +297,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             body = f"<{tag}{vague()}>{body}</{tag}>"
         return body
 
+    def bar() -> str:
+        """A menu in a single block, with or without links."""
+        labels.append(0)
+        parts = rng.sample(("Home", "About", "Contact", "News", "Shop", "Blog", "Help", _words(rng, 1), _words(rng, 2), _words(rng, 1)), rng.randint(2, 6))
+        if rng.random() < 0.5:
+            parts = [f"<a href='/{k}'>{p}</a>" for k, p in enumerate(parts)]
+        return rng.choice((" | ", "|", " · ", " » ", " • ")).join(parts)
+
     def menu() -> str:
+        if rng.random() < 0.15:
+            return rng.choice(("<div{}>{{}}</div>", "<p{}>{{}}</p>", "<table><tr><td{}>{{}}</td></tr></table>", "<center{}>{{}}</center>")).format(vague()).format(bar())
         inner = "<ul>" + links(rng.randint(2, 8), rng.choice(("<li>{}</li>", "<li>{}"))) + "</ul>"
         return rng.choice((f"<nav>{inner}</nav>", f"<div{name('nav', 'menu', 'navbar', 'navigation', 'breadcrumb', 'breadcrumbs', 'topbar')}>{inner}</div>", f'<div role="navigation">{inner}</div>', f"<nav{name('menu', 'main')}>{inner}</nav>"))
 
@@ -350,7 +365,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             body += "<p>" + text(rng.randint(2, 5), 1, ".") + "</p>"
         for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 12))):
             kind = rng.random()
-            if kind < 0.62:
+            if kind < 0.05:
+                body += "<dl>" + "".join("<dt>" + text(rng.choice((1, 2, 4)), 1) + rng.choice(("</dt>", "")) + "<dd>" + prose(1) + rng.choice(("</dd>", "")) for _ in range(rng.randint(1, 5))) + "</dl>"
+            elif kind < 0.62:
                 body += "<p>" + prose(1) + rng.choice(("</p>", "</p>", "", "<br>"))
             elif kind < 0.7:
                 body += "<p><b>" + prose(1) + rng.choice(("<br>", "</b></p>", "</p>"))
@@ -369,6 +386,10 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
                 body += "<figure><img src='a.png'><figcaption>" + text(5, 1) + "</figcaption></figure>"
             else:
                 body += small()
+        if rng.random() < 0.15:  # what leads on from the article, in the article's own element
+            tag = rng.choice(("h2", "h3", "h4", "p"))
+            labels.append(0)
+            body += f"<{tag}>" + rng.choice(("Related stories", "Related", "More from this section", "You may also like", "Recent posts", "Popular now", "Recommended for you", f"Other {_words(rng, 1).lower()}")) + f"</{tag}>" + rng.choice(("<ul>{}</ul>", "{}", "<div>{}</div>")).format(links(rng.randint(1, 5), "<li>{}</li>"))
         if rng.random() < 0.12:
             body += comments()
         kind = rng.random()
@@ -380,9 +401,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             return rng.choice((f"<div{vague()}>{body}</div>", f"<section{vague()}>{body}</section>", f"<table><tr><td>{body}</td></tr></table>", body))
         return f"<div{name('content', 'post', 'article', 'entry', 'story', 'main', 'text', 'body')}>{body}</div>"
 
-    if rng.random() < 0.02:  # hardly any markup
+    if rng.random() < 0.06:  # hardly any markup
         labels.append(1)
-        return rng.choice(("{}", "<p>{}", "<body>{}</body>")).format(_words(rng, rng.choice((8, 20, 60)), ".")), labels
+        return rng.choice(("{}", "<p>{}", "<p>{}</p>", "<div>{}</div>", "<h1>{}</h1>", "<html><body><p>{}</p></body></html>", "<body>{}</body>")).format(_words(rng, rng.choice((1, 2, 3, 5, 8, 20, 60)), rng.choice((".", "", "!")))), labels
     title = _words(rng, 6)
     out = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
     if rng.random() < 0.6:
@@ -400,6 +421,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     foot = rng.choice(("&copy; ", "Copyright ", "", "© 2024 "))
     if rng.random() < 0.85:
         tag = rng.choice(("footer", "footer", f"div{name('footer', 'bottom', 'copyright', 'legal', 'foot')}"))
+        if rng.random() < 0.35:  # a list of lines or links
+            lines = [rng.choice(("This page was last edited on {0}.", "Last updated: {0}", "Contact us", "Terms of use", "{0}", "Powered by {0}", "<a href='/p'>{0}</a>", "Text is available under {0}.")).format(_words(rng, rng.randint(1, 5))) for _ in range(rng.randint(1, 5))]
+            labels += [0] * len(lines)
+            out += f"<{tag}><ul>" + "".join(f"<li>{x}</li>" for x in lines) + "</ul>" + f"</{tag.split(' ')[0]}>"
+            return out + rng.choice(("</body></html>", "")), labels
         labels.append(0)
         out += f"<{tag}>" + foot + _words(rng, rng.choice((2, 6, 12, 25)), rng.choice(("", "."))) + f"</{tag.split(' ')[0]}>"
     return out + rng.choice(("</body></html>", "")), labels
@@ -460,7 +486,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 200, penalty: float
 
 
 @functools.lru_cache(maxsize=2)
-def trained(seed: int = 0, count: int = 1200) -> Model:
+def trained(seed: int = 0, count: int = 1600) -> Model:
     """The model of `count` made pages."""
     rng = random.Random(seed)
     return train([labelled_page(rng) for _ in range(count)])
