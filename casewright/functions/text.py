@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9, the tokenizer used where none is injected."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def collapsed(text: Column) -> Column:

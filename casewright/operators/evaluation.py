@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.staging import staged
+
 from . import metrics, retrieval, scoring, service
 
 Strategy = Callable[[DataFrame, DataFrame, int], DataFrame]
@@ -44,10 +46,11 @@ def qrels(judged: DataFrame, docs: DataFrame) -> DataFrame:
 
     `judged` is a `relevance_map`. The cases' keywords travel to the documents,
     if their number allows it; pairs without a keyword go where they are made.
+    The result is staged, as reports read it several times.
     """
     d = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
     pairs = d.join(retrieval.within(judged, 20_000)).where(F.exists("keywords", lambda k: F.contains(F.col("_text"), F.lower(k))))
-    return service.grades(pairs).where("grade > 0")
+    return staged(service.grades(pairs).where("grade > 0"))
 
 
 def graded(hits: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -61,25 +64,32 @@ def run(names: list[str], docs: DataFrame, queries: DataFrame, found: DataFrame,
 
     The enhanced form asks with the codes' names and words put behind, scores
     what is found by the codes, and ranks by the new score. `more` adds
-    strategies, or takes the place of those here; an unknown name raises.
+    strategies, or takes the place of those here; an unknown name raises. The
+    texts are cut into tokens once for all that are built in, and the result, a
+    few rows a query, is staged, so that reports on it don't search anew.
     """
     known = STRATEGIES | (more or {})
     unknown = [n for n in names if n.removeprefix("h2l-") not in known]
     if unknown or not names:
         raise ValueError(f"unknown strategies: {unknown}; known are {sorted(known)}, each with h2l- before it too")
+    own = {n.removeprefix("h2l-") for n in names} - set(more or {})
+    built_in = retrieval.corpus(docs) if own else docs
+    found = staged(found)
     wider = scoring.expansion(found, queries.select(F.col("query_id").alias("case_id"), "text")).select(F.col("case_id").alias("query_id"), F.col("expanded").alias("text"))
     out = None
     for name in names:
-        search = known[name.removeprefix("h2l-")]
+        plain = name.removeprefix("h2l-")
+        search = known[plain]
+        given = built_in if plain in own else docs
         if name.startswith("h2l-"):
-            hits = search(docs, wider, k).select(F.col("query_id").alias("case_id"), "doc_id", "score")
+            hits = search(given, wider, k).select(F.col("query_id").alias("case_id"), "doc_id", "score")
             hits = scoring.score(hits, found, docs).select("case_id", "doc_id", F.col("final").alias("score"))
             hits = retrieval.ranked(hits, ["case_id"], k)
         else:
-            hits = search(docs, queries, k).withColumnRenamed("query_id", "case_id")
+            hits = search(given, queries, k).withColumnRenamed("query_id", "case_id")
         hits = hits.select(F.lit(name).alias("strategy"), "case_id", "doc_id", "score", "rank")
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return staged(out)
 
 
 def evaluated(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:

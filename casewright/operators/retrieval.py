@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.scoring import dot
 from casewright.functions.text import tokens
-from casewright.functions.windows import bound
+from casewright.staging import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,50 +27,61 @@ def within(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def term_counts(terms: Column) -> Column:
-    """Structs of each term and how often it is in the array: run lengths of the sorted array, in the row."""
+@dataclass(frozen=True)
+class Corpus:
+    """Documents whose texts are cut into tokens once: staged tokens (doc_id, t), staged terms (term, df), and figures of all."""
 
-    def runs(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
-        return bound(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
+    docs: DataFrame
+    tokens: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+    floor: float
 
-    return bound(F.array_sort(terms), runs)
 
+def _raw(n: int) -> Column:
+    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
-def bm25_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (doc_id, dl, term, tf) and term weights (term, df, idf, avgdl).
 
-    Negative weights become a quarter of the mean weight, as in the public
-    package of the same name. A document's terms are counted in its row, so
-    postings aren't shuffled; of the vocabulary a count a task is.
+def corpus(docs: DataFrame | Corpus, key: str = "doc_id", text: str = "text") -> Corpus:
+    """What lexical retrieval needs of the documents; hand it to several searches, so that the texts are read once.
+
+    Documents without tokens don't count. Negative term weights become a quarter
+    of the mean weight, as in the public package of the same name.
     """
-    d = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    postings = d.select("doc_id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("p")).select("doc_id", "dl", "p.term", "p.tf")
-    total = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total))
-    raw = df.select("term", "df", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    return postings, idf
+    if isinstance(docs, Corpus):
+        return docs
+    cut = staged(docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("t")).where(F.size("t") > 0))
+    n, avgdl = cut.agg(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    terms = staged(cut.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    floor = terms.agg(F.avg(_raw(n)) * EPSILON).first()[0]
+    return Corpus(docs, cut, terms, n, avgdl or 0.0, floor or 0.0)
+
+
+def term_weights(c: Corpus) -> DataFrame:
+    """term, df, idf of the corpus."""
+    return c.terms.select("term", "df", F.when(_raw(c.n) < 0, F.lit(c.floor)).otherwise(_raw(c.n)).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, padded: bool = False) -> DataFrame:
+def bm25(docs: DataFrame | Corpus, queries: DataFrame, k: int = 10, padded: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank; queries are (query_id, text).
 
-    The terms of the queries, if their count allows it, travel to the postings,
-    so that of these only sums for a query and a document are shuffled. `padded`
-    also ranks documents that share no term, with 0.
+    The terms of the queries, if their count allows it, travel to the tokens, so
+    that only counts of these terms, and sums for a query and a document, are
+    shuffled. `padded` also ranks documents that share no term, with 0.
     """
-    postings, idf = bm25_index(docs)
+    c = corpus(docs)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     few = within(asked)
-    weights = few.join(idf, "term")
+    weights = few.join(term_weights(c), "term")
+    named = asked.select("term").distinct()
     if few is not asked:  # no more rows than the terms of the queries
-        weights = F.broadcast(weights)
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        weights, named = F.broadcast(weights), F.broadcast(named)
+    postings = c.tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(named, "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(c.avgdl)))
     hits = postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("qf")).alias("score"))
     if padded:
-        everything = queries.select("query_id").join(docs.where(F.size(tokens(F.col("text"))) > 0).select("doc_id"))
+        everything = queries.select("query_id").join(c.tokens.select("doc_id"))
         hits = everything.join(hits, ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
     return ranked(hits, ["query_id"], k)
 
@@ -91,28 +104,63 @@ def rrf(lists: list[DataFrame], k: int = 10, constant: int = 60) -> DataFrame:
     return ranked(fused, ["query_id"], k)
 
 
-def coverage(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def coverage(docs: DataFrame | Corpus, queries: DataFrame) -> DataFrame:
     """The share of a query's distinct tokens that a document holds: the reranker used where none is injected."""
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
     terms = q.select("query_id", F.size("q").alias("n"), F.explode("q").alias("term"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    d = corpus(docs).tokens.select("doc_id", F.explode(F.array_distinct("t")).alias("term"))
     return d.join(within(terms), "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, depth: int = 25, fused: int = 30) -> DataFrame:
-    """BM25 and a second arm, fused by rank, then reranked by coverage."""
-    second = coverage(docs, queries)
-    pool = rrf([bm25(docs, queries, depth), ranked(second, ["query_id"], depth)], fused).select("query_id", "doc_id")
-    return ranked(pool.join(second, ["query_id", "doc_id"], "left").fillna(0.0, ["score"]), ["query_id"], k)
+def hybrid(docs: DataFrame | Corpus, queries: DataFrame, k: int = 10, depth: int = 25, fused: int = 30, second: DataFrame | None = None, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
+    """BM25 and a second arm, fused by rank, then reranked.
+
+    The second arm is `second` (query_id, doc_id, rank), as of `dense`, or word
+    coverage; a query that one arm finds nothing for is answered by the other.
+    The reranker is `scorer`, with `rerank`'s fallback, or coverage.
+    """
+    c = corpus(docs)
+    covered = coverage(c, queries) if second is None or scorer is None else None
+    arm = ranked(covered, ["query_id"], depth) if second is None else second.where(F.col("rank") <= depth)
+    pool = rrf([bm25(c, queries, depth), arm], fused)
+    if scorer is not None:
+        return rerank(pool, c.docs, queries, scorer, k)
+    return ranked(pool.select("query_id", "doc_id").join(covered, ["query_id", "doc_id"], "left").fillna(0.0, ["score"]), ["query_id"], k)
+
+
+def rerank(pool: DataFrame, docs: DataFrame, queries: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int = 10) -> DataFrame:
+    """query_id, doc_id, score, rank and failed: a pool's few documents a query, in the order of an injected scorer.
+
+    `scorer` takes the texts of a query's pairs. Where it raises, gives another
+    number of scores than it was asked for, or one that isn't a number, the query
+    keeps the pool's scores and order, and says so in `failed`.
+    """
+    pairs = pool.select("query_id", "doc_id", "score").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_d")), "doc_id").join(queries.select("query_id", F.coalesce("text", F.lit("")).alias("_q")), "query_id")
+    kind = dict(pairs.dtypes)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        out = group[["query_id", "doc_id", "score"]].copy()
+        try:
+            scores = [float(x) for x in scorer(group["_q"].tolist(), group["_d"].tolist())]
+            out["failed"] = len(scores) != len(out) or any(x != x or abs(x) == float("inf") for x in scores)
+        except Exception:  # noqa: BLE001  whatever the injected function raises, the query falls back
+            out["failed"] = True
+        if not out["failed"].all():
+            out["score"] = scores
+        return out
+
+    scored = pairs.groupBy("query_id").applyInPandas(one, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, score double, failed boolean")
+    return ranked(scored, ["query_id"], k)
 
 
-def feedback_terms(docs: DataFrame, queries: DataFrame, from_docs: int = 3, each: int = 5, most: int = 5, first: DataFrame | None = None) -> DataFrame:
+def feedback_terms(docs: DataFrame | Corpus, queries: DataFrame, from_docs: int = 3, each: int = 5, most: int = 5, first: DataFrame | None = None) -> DataFrame:
     """query_id and the new words (longer than three) of the best documents, in order of rank and place.
 
     The best are those of `first` (query_id, doc_id, rank), or of BM25.
     """
-    best = (first if first is not None else bm25(docs, queries, 5)).select("query_id", "doc_id", "rank").where(F.col("rank") <= from_docs)
-    words = best.join(docs, "doc_id").select("query_id", "rank", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).where(F.length("word") > 3)
+    c = corpus(docs)
+    best = (first if first is not None else bm25(c, queries, 5)).select("query_id", "doc_id", "rank").where(F.col("rank") <= from_docs)
+    words = within(best).join(c.tokens, "doc_id").select("query_id", "rank", F.posexplode("t").alias("pos", "word")).where(F.length("word") > 3)
     words = words.groupBy("query_id", "rank", "word").agg(F.min("pos").alias("pos"))
     own = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("word")).distinct()
     new = words.join(own, ["query_id", "word"], "left_anti")
@@ -130,12 +178,13 @@ def expanded(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return queries.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
 
 
-def feedback(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def feedback(docs: DataFrame | Corpus, queries: DataFrame, k: int = 10) -> DataFrame:
     """Pseudo-relevance feedback: hybrid retrieval with the new words of its own first documents."""
-    return hybrid(docs, expanded(queries, feedback_terms(docs, queries, first=hybrid(docs, queries, 5))), k)
+    c = corpus(docs)
+    return hybrid(c, staged(expanded(queries, feedback_terms(c, queries, first=hybrid(c, queries, 5)))), k)
 
 
-def hypothetical(docs: DataFrame, queries: DataFrame, search: Callable[..., DataFrame], generate: Callable[[Column], Column] | None = None, k: int = 10) -> DataFrame:
+def hypothetical(docs: DataFrame | Corpus, queries: DataFrame, search: Callable[..., DataFrame], generate: Callable[[Column], Column] | None = None, k: int = 10) -> DataFrame:
     """What a generated document finds, and `fallback`, whether the query itself had to do.
 
     `generate` gives a text for a query's, or null; without it all queries fall back.

@@ -143,8 +143,9 @@ def hop_queries(found: DataFrame, queries: DataFrame, hop: int, problems: int =
 
 def multihop(docs: DataFrame, queries: DataFrame, found: DataFrame, k: int = 10, hops: int = 3) -> DataFrame:
     """query_id, doc_id, hop, rank: what each hop finds first; a document stays at its first hop."""
-    runs = [retrieval.bm25(docs, queries if h == 1 else hop_queries(found, queries, h - 1), k).withColumn("hop", F.lit(h)) for h in range(1, hops + 1)]
-    d = runs[0]
-    for r in runs[1:]:
-        d = d.unionByName(r)
+    asked = queries.select("query_id", "text", F.lit(1).alias("hop"))
+    for h in range(2, hops + 1):
+        asked = asked.unionByName(hop_queries(found, queries, h - 1).withColumn("hop", F.lit(h)))
+    asked = asked.select(F.struct("query_id", "hop").alias("query_id"), "text")  # the queries of all hops are asked at once
+    d = retrieval.bm25(docs, asked, k).select("query_id.query_id", "query_id.hop", "doc_id", "rank")
     return d.groupBy("query_id", "doc_id").agg(F.min(F.struct("hop", "rank")).alias("m")).select("query_id", "doc_id", "m.hop", "m.rank")

@@ -53,7 +53,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
-    return retrieval.bm25_index(table(spark, d, "documents"))[1].select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.term_weights(retrieval.corpus(table(spark, d, "documents"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _COV = f"""
@@ -65,7 +65,7 @@ _RRF = f"{_BM25}, {_COV}, b25 AS ({_top('hits', 25)}), c25 AS ({_top('cov', 25)}
 
 @query(f"WITH {_RRF} {_top('f', 10)}")
 def rrf_fusion(spark, d):
-    docs, asked = table(spark, d, "documents"), _asked(spark, d)
+    docs, asked = retrieval.corpus(table(spark, d, "documents")), _asked(spark, d)
     return retrieval.rrf([retrieval.bm25(docs, asked, 25), retrieval.ranked(retrieval.coverage(docs, asked), ["query_id"], 25)])
 
 
@@ -401,7 +401,7 @@ def js_divergence(spark, d):
 kp AS (SELECT x.query_id, sign(x.ra - y.ra) * sign(x.rb - y.rb) AS s FROM j x JOIN j y ON x.query_id = y.query_id AND x.item < y.item)
 SELECT query_id, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0) AS discordant, round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) / count(*), 6) AS tau FROM kp GROUP BY 1""")
 def kendall_tau(spark, d):
-    docs, asked = table(spark, d, "documents"), _asked(spark, d)
+    docs, asked = retrieval.corpus(table(spark, d, "documents")), _asked(spark, d)
     a = retrieval.bm25(docs, asked, 25).select("query_id", F.col("doc_id").alias("item"), F.col("rank").alias("ra"))
     b = retrieval.ranked(retrieval.coverage(docs, asked), ["query_id"], 25).select("query_id", F.col("doc_id").alias("item"), F.col("rank").alias("rb"))
     return statistics.kendall(a.join(b, ["query_id", "item"]), ["query_id"])
