@@ -44,7 +44,7 @@ def negated(text: Column, word: Column, m: Markers, window: Column) -> Column:
 
 
 def polarity(found: DataFrame, m: Markers, mode: str = "balanced", least_severity: int = 3, other: float = 0.85, reported: float = 0.70) -> DataFrame:
-    """`found` (text in lower case, matched, severity, maybe name) with gate_neg, gate_len, gate_sub and gate_total.
+    """`found` (text in lower case, matched, severity, maybe name) with gate_neg, gate_len, gate_sub, gate_total, and the share of its terms that is denied.
 
     A code's terms are its matched words and, where the text holds it, its name.
     Texts without the teller's own words are weaker, reported ones most so; that
@@ -58,7 +58,7 @@ def polarity(found: DataFrame, m: Markers, mode: str = "balanced", least_severit
     hits, n = F.size(F.filter(terms, lambda k: negated(text, k, m, window))), F.size(terms)
     neg = F.when(n > 0, F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - 0.6 * hits / n))).otherwise(1.0)
     sub = F.when((F.col("severity") < least_severity) | _has(text, m.own), 1.0).when(_has(text, m.reported), reported).when(_has(text, m.other), other).otherwise(1.0)
-    d = found.withColumns({"gate_neg": F.round(neg, 4), "gate_len": length_gate(F.regexp_replace(text, r"^\s+|\s+$", "")), "gate_sub": sub})
+    d = found.withColumns({"denied_share": F.when(n > 0, hits / n).otherwise(0.0), "gate_neg": F.round(neg, 4), "gate_len": length_gate(F.regexp_replace(text, r"^\s+|\s+$", "")), "gate_sub": sub})
     return d.withColumn("gate_total", F.round(F.col("gate_neg") * F.col("gate_len") * F.col("gate_sub"), 4))
 
 

@@ -96,6 +96,70 @@ def scored(parts: DataFrame, level: DataFrame, ways: DataFrame) -> DataFrame:
     return g.select("variant", "case_id", "doc_id", F.round("score", 6).alias("base"), F.round("phi", 6).alias("phi"), F.round(F.coalesce(final, F.col("score")), 6).alias("final"))
 
 
+#: The parameters of the score that a sweep changes, with their defaults. The score doesn't read `beta`.
+DEFAULTS = {"t_base": 0.5, "t_range": 1.5, "neg_lambda": 0.6, "kl_kappa": 0.15, "margin": 0.3, "mu": 2.0, "alpha": 1.0, "beta": 0.3}
+#: What each is changed to.
+SWEEPS = {
+    "t_base": [0.2, 0.35, 0.5, 0.65, 0.8, 1.0], "t_range": [0.5, 1.0, 1.5, 2.0, 2.5], "neg_lambda": [0.3, 0.45, 0.6, 0.8, 1.0], "kl_kappa": [0.0, 0.05, 0.1, 0.15, 0.25, 0.3],
+    "margin": [0.1, 0.2, 0.3, 0.4, 0.5], "mu": [0.5, 1.0, 2.0, 3.0, 4.0], "alpha": [0.25, 0.5, 0.75, 1.0, 1.5, 2.0], "beta": [0.0, 0.1, 0.3, 0.5, 0.7, 1.0],
+}
+
+
+def configuration_rows(sweeps: dict[str, list[float]]) -> list[tuple]:
+    """(parameter, value, each of DEFAULTS with that one changed): a row for each value of each parameter, and one of all defaults.
+
+    Parameters must be known, and their values hold the default once, as a sweep is compared with it.
+    """
+    rows = [("default", 0.0, *DEFAULTS.values())]
+    for name, values in sweeps.items():
+        if name not in DEFAULTS or values.count(DEFAULTS[name]) != 1:
+            raise ValueError(f"{name!r} must be one of {sorted(DEFAULTS)}, and its values must hold the default once")
+        rows += [(name, float(v), *(DEFAULTS | {name: float(v)}).values()) for v in values]
+    return rows
+
+
+def swept(found: DataFrame, sweeps: dict[str, list[float]] | None = None, base: float = 0.5) -> DataFrame:
+    """parameter, value, n_scored, mean_boost, mean_phi, mean_alpha, mean_score, std_score and the change of the mean score from the default's, in percent.
+
+    `found` (case_id, code, name, severity, confidence, keywords, matched, text,
+    denied_share, gate_len, gate_sub, maybe near, the likeness of code and text)
+    is read once: texts are left behind before the few configurations are put
+    beside each code as columns, and cases stay where their codes are, so what is
+    shuffled doesn't grow with the configurations. Each must score the same
+    cases as the default; if one doesn't, reading the result raises an error.
+    """
+    ways = found.sparkSession.createDataFrame(configuration_rows(sweeps or SWEEPS), "parameter string, value double, " + ", ".join(f"{k} double" for k in DEFAULTS))
+    near = F.col("near").cast("double") if "near" in found.columns else F.lit(None).cast("double")
+    word = keyword_share(F.col("text"), with_name(F.col("keywords"), F.col("matched"), F.col("name")))
+    rare = specificity(heuristic_idf(idf_terms(F.col("keywords"), F.col("name"))))
+    flat = found.select("case_id", "code", F.col("severity").cast("double").alias("severity"), "confidence", word.alias("word"), near.alias("near"), rare.alias("rare"), "denied_share", "gate_len", "gate_sub")
+    case = Window.partitionBy("case_id")
+    flat = flat.withColumns({"n": F.count(F.lit(1)).over(case), "total": F.sum("severity").over(case), "most": F.max("severity").over(case)})
+    d = flat.join(F.broadcast(ways))
+    way = ["parameter", "value", *DEFAULTS]
+    raw = F.greatest(F.lit(FLOOR), F.when(F.col("total") > 0, (F.col("severity") + F.col("mu") / F.col("n")) / (F.col("total") + F.col("mu"))).otherwise(1.0 / F.col("n")))
+    d = d.withColumn("raw", raw).withColumn("prior", F.col("raw") / F.sum("raw").over(Window.partitionBy("case_id", "parameter", "value")))
+    c, p = F.col("confidence"), F.col("prior")
+    t = F.greatest(F.lit(0.1), F.col("t_base") + (1 - F.col("severity") / F.col("most")) * F.col("t_range"))
+    detect = F.when((c <= 0) | (c >= 1), clamp(c, 0.0, 1.0)).otherwise(F.pow(c, 1 / t))
+    semantic = F.coalesce(F.greatest(gated(F.col("near"), F.col("word")), sigmoid((F.col("near") - F.col("margin")) / 0.15)), F.col("word"))
+    denied = F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - F.col("neg_lambda") * F.col("denied_share"))), 4)
+    parts = {"detect": detect, "semantic": semantic, "prior": p, "specificity": F.col("rare"), "negation": F.round(denied * F.col("gate_len") * F.col("gate_sub"), 4)}
+    phi = sum(F.lit(WEIGHTS[k]) * x for k, x in parts.items())
+    g = d.groupBy("case_id", *way).agg(F.avg(phi).alias("phi"), F.count(F.lit(1)).alias("n"), F.avg(c).alias("conf"), F.sum(p * c).alias("pconf"), (-F.sum(p * F.log2(p))).alias("entropy"), F.sum(p * F.log(p)).alias("plogp"))
+    kl = F.when(F.col("n") > 1, clamp(F.col("plogp") + F.log("n"), 0.0, 2.0)).otherwise(0.0)
+    alpha = F.greatest(F.lit(FLOOR), 2 * F.col("alpha") * sigmoid(0.3 * F.col("n") + 0.5 * F.col("conf") - 0.95))
+    g = g.withColumn("eff", F.greatest(F.lit(FLOOR), alpha * (1 + 0.5 * F.col("entropy")) * (1 - F.col("kl_kappa") * kl)))
+    g = g.withColumn("boost", F.exp(clamp(F.col("eff") * F.col("phi"), -3.0, 3.0)) * (0.5 + 0.5 * F.least(F.col("pconf"), F.lit(1.0))))
+    x = F.col("boost") * base
+    out = g.groupBy("parameter", "value").agg(F.count(F.lit(1)).alias("n_scored"), F.avg("boost").alias("mean_boost"), F.avg("phi").alias("mean_phi"), F.avg("eff").alias("mean_alpha"), F.avg(x).alias("mean_score"), F.stddev_pop(x).alias("std_score"), F.bit_xor(F.xxhash64("case_id")).alias("_cases"))
+    first = F.max_by(F.struct("mean_score", "_cases", "n_scored"), F.col("parameter") == "default").over(Window.partitionBy(F.lit(1)))  # a row for each configuration
+    d = out.withColumn("_first", first)
+    same = F.when((F.col("_cases") == F.col("_first._cases")) & (F.col("n_scored") == F.col("_first.n_scored")), F.col("n_scored")).otherwise(F.raise_error(F.lit("configurations scored different cases")).cast("bigint"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return d.select("parameter", "value", same.alias("n_scored"), r("mean_boost"), r("mean_phi"), r("mean_alpha"), r("mean_score"), r("std_score"), F.round((F.col("mean_score") / F.nullif(F.col("_first.mean_score"), F.lit(0.0)) - 1) * 100, 4).alias("change_percent"))
+
+
 def score(hits: DataFrame, found: DataFrame, docs: DataFrame, alpha: float = 1.0, prior_mode: str = "severity", soft: bool = True, **how) -> DataFrame:
     """case_id, doc_id, base, final of hits (case_id, doc_id, score); words alone unless `how` asks otherwise.
 
