@@ -17,6 +17,22 @@ Strategy = Callable[[DataFrame, DataFrame, int], DataFrame]
 STRATEGIES: dict[str, Strategy] = {"bm25": retrieval.bm25, "hybrid": retrieval.hybrid, "feedback": retrieval.feedback, "coverage": lambda docs, queries, k: retrieval.ranked(retrieval.coverage(docs, queries), ["query_id"], k)}
 
 
+def dense_strategy(vectors: DataFrame, asked: DataFrame) -> Strategy:
+    """Search by vectors (doc_id, vec) and those of the queries (query_id, qvec); a query without one finds nothing."""
+    return lambda docs, queries, k: retrieval.dense(vectors, queries.select("query_id").join(asked, "query_id"), k)
+
+
+def two_arm_strategy(vectors: DataFrame, asked: DataFrame, scorer: Callable | None = None, depth: int = 25) -> Strategy:
+    """BM25 and vectors, fused; a query that one arm finds nothing for is answered by the other. `scorer` as for `retrieval.rerank`."""
+    by_vectors = dense_strategy(vectors, asked)
+    return lambda docs, queries, k: retrieval.hybrid(docs, queries, k, depth, second=by_vectors(docs, queries, depth), scorer=scorer)
+
+
+def generated_strategy(generate: Callable, search: Strategy = retrieval.bm25) -> Strategy:
+    """What the text that `generate` makes of a query finds; where it makes none, the query itself is searched for."""
+    return lambda docs, queries, k: retrieval.hypothetical(docs, queries, search, generate, k)
+
+
 def relevance_map(expected: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """case_id, code, severity, keywords by which documents are judged, for expected codes (case_id, code, category, details, severity).
 

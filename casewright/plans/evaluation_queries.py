@@ -60,6 +60,22 @@ def strategy_runs(spark, d):
     return _runs(spark, d)
 
 
+_ARM_VECTORS = "dq AS (SELECT b.item_id AS query_id, e.vec_id AS doc_id, greatest(0.0, least(1.0, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id AND b.item_id % 5 > 0, embeddings e)"
+_MADE_TEXT = "xh AS (SELECT item_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 80) ELSE text END AS text FROM benchmark)"
+
+
+@query(f"""SELECT 'dense' AS strategy, query_id AS case_id, doc_id, score, rank FROM (WITH {_ARM_VECTORS} {_top('dq', 15)})
+UNION ALL SELECT 'two-arm', query_id, doc_id, score, rank FROM (WITH {_ARM_VECTORS}, {_BM25}, {_COV}, b25 AS ({_top('hits', 25)}), d25 AS ({_top('dq', 25)}), f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM b25 UNION ALL SELECT query_id, doc_id, rank FROM d25) GROUP BY ALL), pool AS ({_top('f', 30)}), h AS (SELECT pool.query_id, pool.doc_id, coalesce(cov.score, 0) AS score FROM pool LEFT JOIN cov ON pool.query_id = cov.query_id AND pool.doc_id = cov.doc_id) {_top('h', 15)})
+UNION ALL SELECT 'made-text', query_id, doc_id, score, rank FROM (WITH {_MADE_TEXT}, {_BM25.replace('FROM benchmark', 'FROM xh')} {_top('hits', 15)})
+UNION ALL SELECT 'h2l-dense', case_id, doc_id, final, row_number() OVER (PARTITION BY case_id ORDER BY final DESC, doc_id) FROM (WITH {_ARM_VECTORS}, {_ways_scored_sql(_ONE).replace(f"hs AS ({_top('hits', 15)})", f"hs AS ({_top('dq', 15)})")} SELECT * FROM sd)""")
+def strategy_arms(spark, d):
+    e = table(spark, d, "embeddings")
+    vectors, asked = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id % 5 > 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    made = evaluation.generated_strategy(lambda t: F.when(F.length(t) > 200, F.substring(t, 1, 80)))
+    more = {"dense": evaluation.dense_strategy(vectors, asked), "two-arm": evaluation.two_arm_strategy(vectors, asked), "made-text": made}
+    return evaluation.run([*more, "h2l-dense"], table(spark, d, "documents"), _asked(spark, d), _bench_gated(spark, d), more=more)
+
+
 _EVAL = f"""{_XQ}, {_WIDE}, {_RUNS}, {_QRELS}, rn AS (SELECT case_id, count(*) AS relevant FROM qr GROUP BY 1), g AS (SELECT ru.strategy, ru.case_id, ru.doc_id, ru.rank, coalesce(qr.grade, 0) AS grade, coalesce(rn.relevant, 0) AS relevant FROM ru LEFT JOIN qr ON qr.case_id = ru.case_id AND qr.doc_id = ru.doc_id LEFT JOIN rn ON rn.case_id = ru.case_id),
 g2 AS (SELECT *, row_number() OVER (PARTITION BY strategy, case_id ORDER BY grade DESC, rank) AS ideal, sum((grade > 0)::INT) OVER (PARTITION BY strategy, case_id ORDER BY rank) AS got FROM g),
 m AS (SELECT strategy, case_id, sum(((grade > 0) AND rank <= 5)::INT) AS tp, sum((rank <= 5)::INT) AS ret, max(relevant) AS rel, sum(CASE WHEN rank <= 5 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 5 THEN (pow(2, grade) - 1) / log2(ideal + 1) ELSE 0 END) AS idcg, sum(CASE WHEN grade > 0 THEN got / rank ELSE 0 END) AS ps, min(CASE WHEN grade > 0 THEN rank END) AS fr FROM g2 GROUP BY ALL),
