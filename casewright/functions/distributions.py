@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -86,3 +87,24 @@ def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
 def z_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) of the normal distribution."""
     return _each(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
+
+
+#: Pairs up to which the distribution of signed ranks is worked out whole.
+EXACT = 50
+
+
+def signed_rank_p(n: Column, w: Column) -> Column:
+    """Two-sided p of the smaller sum of signed ranks of n pairs without ties, from all 2**n signs; null beyond EXACT pairs.
+
+    The number of subsets of the ranks 1 to n with each sum grows rank by rank;
+    it is worked out in the row, a row being a test.
+    """
+    ranks = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def with_rank(counts: Column, k: Column) -> Column:
+        sums = F.sequence(F.lit(0), (k * (k + 1) / 2).cast("int"))
+        return F.transform(sums, lambda s: F.coalesce(F.get(counts, s), F.lit(0.0)) + F.when(s >= k, F.get(counts, s - k)).otherwise(0.0))
+
+    counts = F.aggregate(ranks, F.array(F.lit(1.0)), with_rank)
+    below = F.aggregate(F.slice(counts, F.lit(1), F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n <= EXACT, F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n)))

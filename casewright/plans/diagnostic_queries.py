@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import detection, diagnostics, evidence, retrieval
+from casewright.operators import comparisons, detection, diagnostics, evidence, retrieval
 from casewright.tables import table
 
 from . import fixtures as X
@@ -227,3 +227,21 @@ e AS (SELECT case_id, count(*) AS problems, round(avg(c), 6) AS detection, round
 SELECT e.*, round(coalesce(a, 0), 6) AS mean_score, round(coalesce(list_sum(t) / len(t), 0), 6) AS top_score FROM e LEFT JOIN k ON k.case_id = e.case_id""")
 def case_results(spark, d):
     return evidence.case_result(_bench_found(spark, d), _ranked_hits(spark, d), table(spark, d, "documents"))
+
+
+# --- pairs of groups with exact p of few cases ---
+
+_DP = "dp AS (SELECT 0 AS k, [1.0::DOUBLE] AS c UNION ALL SELECT k + 1, list_transform(range(0, (k + 1) * (k + 2) // 2 + 1), lambda s: coalesce(c[s + 1], 0) + CASE WHEN s >= k + 1 THEN c[s - k] ELSE 0 END) FROM dp WHERE k < 50)"
+
+
+@query(f"""WITH RECURSIVE {_DP}, {_EVAL}, vl AS (SELECT strategy AS g, case_id AS c, ndcg AS v FROM mm WHERE case_id % 4 < 2 OR strategy <> 'coverage'), pd AS (SELECT a.g AS one, b.g AS two, round(a.v - b.v, 12) AS d FROM vl a JOIN vl b ON a.c = b.c AND a.g < b.g),
+ev AS (SELECT one, two, count(*) AS n_pairs, count(*) FILTER (abs(d) > 1e-15) AS n_nonzero, max(abs(d)) AS most, avg(d) AS m, stddev_pop(d) AS s, median(d) AS md FROM pd GROUP BY ALL HAVING count(*) >= 3),
+rk AS (SELECT *, rank() OVER (PARTITION BY one, two ORDER BY abs(d)) + (count(*) OVER (PARTITION BY one, two, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY one, two, abs(d)) AS ties FROM pd WHERE d <> 0),
+sw AS (SELECT one, two, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, max(ties) AS ties FROM rk GROUP BY ALL),
+j AS (SELECT ev.*, w, n_nonzero = n_pairs AND ties = 1 AND n_nonzero <= 50 AS exact, CASE WHEN most <= 1e-8 THEN 1.0 WHEN n_nonzero = n_pairs AND ties = 1 AND n_nonzero <= 50 THEN least(1.0, 2 * list_sum(c[1:floor(w)::INT + 1]) / pow(2, n_nonzero)) END AS p FROM ev LEFT JOIN sw ON sw.one = ev.one AND sw.two = ev.two LEFT JOIN dp ON k = n_nonzero)
+SELECT one, two, CASE WHEN most <= 1e-8 THEN 'No difference' WHEN exact THEN 'Wilcoxon, exact' ELSE 'Wilcoxon' END AS test, n_pairs, n_nonzero, CASE WHEN most <= 1e-8 THEN 0 ELSE w END::DOUBLE AS statistic, round(p, 6) AS exact_p, round(m / (s + 1e-10), 6) AS d,
+CASE WHEN abs(m / (s + 1e-10)) >= 0.8 THEN 'large' WHEN abs(m / (s + 1e-10)) >= 0.5 THEN 'medium' WHEN abs(m / (s + 1e-10)) >= 0.2 THEN 'small' ELSE 'negligible' END AS effect, round(m, 6) AS mean_diff, round(md, 6) AS median_diff, round(m - 1.96::DOUBLE * s / sqrt(n_pairs), 6) AS low, round(m + 1.96::DOUBLE * s / sqrt(n_pairs), 6) AS high FROM j""")
+def paired_groups(spark, d):
+    values = _evaluated(spark, d).where("case_id % 4 < 2 OR strategy <> 'coverage'")
+    out = comparisons.paired_groups(values, "strategy", "case_id", "ndcg")
+    return out.withColumn("exact_p", F.when(F.col("test") != "Wilcoxon", F.col("p"))).drop("p", "p_holm")  # the normal form's p has no SQL
