@@ -302,11 +302,6 @@ def case_audit(spark, d):
     return preparation.audit(_case_set(spark, d), "case_id", "family", "split", "text")
 
 
-@query(f"WITH t AS (SELECT code, keywords[1] AS word, row_number() OVER (ORDER BY code) AS n, lead(code) OVER (ORDER BY code) AS c2, lead(keywords[1]) OVER (ORDER BY code) AS w2 FROM {X.TAXONOMY_SQL} WHERE len(keywords) > 0) SELECT 'ADV_' || lpad(n::VARCHAR, 3, '0') AS case_id, word || ' ' || w2 AS case_description, code, c2 AS false_trigger_code, w2 AS trigger_word FROM t WHERE c2 IS NOT NULL")
-def adversarial_cases(spark, d):
-    return preparation.adversarial_cases(X.taxonomy(spark))
-
-
 @query(f"""WITH {_FOUND}, s AS (SELECT doc_id AS case_id, quality, toxic FROM labels), e AS (SELECT case_id, (CASE WHEN quality = 1 THEN ['0801'] ELSE [] END || CASE WHEN toxic = 1 THEN ['F32'] ELSE [] END) AS e FROM s), p AS (SELECT case_id, list(code) AS p FROM fd GROUP BY 1),
 j AS (SELECT e, coalesce(p, []) AS p FROM e LEFT JOIN p USING (case_id)), u AS (SELECT 'missing' AS kind, unnest(list_filter(e, lambda x: NOT list_contains(p, x))) AS code FROM j UNION ALL SELECT 'extra', unnest(list_filter(p, lambda x: NOT list_contains(e, x))) FROM j), c AS (SELECT kind, code, count(*) AS n FROM u GROUP BY ALL)
 SELECT kind, code, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, code) AS place FROM c QUALIFY place <= 8""")

@@ -177,11 +177,6 @@ def auto_tag(spark, d):
     return detection.auto_tags(table(spark, d, "documents"), X.taxonomy(spark))
 
 
-@query(f"SELECT lower(k) AS keyword, array_to_string(list_sort(list_distinct(list(code))), ',') AS codes FROM (SELECT code, unnest(keywords) AS k FROM {X.TAXONOMY_SQL}) GROUP BY 1")
-def keyword_index(spark, d):
-    return detection.keyword_index(X.taxonomy(spark))
-
-
 _PRIOR = f"""{_FOUND}, pr0 AS (SELECT *, greatest((severity + 2.0::DOUBLE / count(*) OVER w) / (sum(severity) OVER w + 2.0), 0.01) AS raw FROM fd WINDOW w AS (PARTITION BY case_id)),
 pr AS (SELECT *, raw / sum(raw) OVER (PARTITION BY case_id) AS prior FROM pr0),
 cl0 AS (SELECT case_id, count(*) AS n, -sum(prior * log2(prior)) AS h, sum(prior * ln(prior)) AS pl, avg(confidence) AS mc, sum(prior * confidence) AS pc, max(severity) AS ms FROM pr GROUP BY case_id),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidate_queries, diagnostic_queries, evaluation_queries, report_queries, similarity_queries, sweep_queries  # noqa: F401  register their queries
+from . import candidate_queries, diagnostic_queries, evaluation_queries, masking_queries, report_queries, similarity_queries, sweep_queries  # noqa: F401  register their queries
 from .more_queries import bca_interval
 from .queries import ORACLES, QUERIES
 
