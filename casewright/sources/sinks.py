@@ -79,6 +79,61 @@ class Checkpoint:
         return self.spark.read.parquet(f"{self.path}/results").where(F.col("strategy").isin(list(strategies)))
 
 
+class RunLog:
+    """Results of a matrix of runs (such as model, repeat, strategy, case), kept row by row, so that a run that was ended goes on.
+
+    Work is dealt to slices by a hash of its keys; a slice's rows are appended to
+    the log in one commit, with the signature of what they were made from. What
+    the log holds of the same signature isn't made anew, nor are rows that
+    `failed` says are to be tried again counted as made. After each slice the
+    progress (signature, done, wanted, at) is written beside the log.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, signature: str, keys: list[str], failed: Column | None = None) -> None:
+        self.spark, self.path, self.signature, self.keys = spark, path.rstrip("/"), signature, keys
+        self.failed = F.lit(False) if failed is None else failed
+
+    def _read(self, name: str) -> DataFrame | None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("signature") == self.signature) if there else None
+
+    def rows(self) -> DataFrame | None:
+        """A row for each key that was made, the last one that didn't fail, else the last; None if there is no log."""
+        log = self._read("rows")
+        if log is None:
+            return None
+        names = [c for c in log.columns if c not in ("signature", "at")]
+        kept = log.withColumn("_good", ~F.coalesce(self.failed, F.lit(False))).groupBy(*self.keys).agg(F.max_by(F.struct(*names), F.struct("_good", "at")).alias("r"))
+        return kept.select("r.*")
+
+    def missing(self, wanted: DataFrame) -> DataFrame:
+        """The wanted keys of which the log has no row that counts."""
+        log = self._read("rows")
+        return wanted if log is None else wanted.join(log.where(~F.coalesce(self.failed, F.lit(False))).select(*self.keys).distinct(), self.keys, "left_anti")
+
+    def progress(self) -> tuple[int, int]:
+        """done and wanted after the last slice; nothing was done if there is no log."""
+        told = self._read("progress")
+        last = told.agg(F.max_by(F.struct("done", "wanted"), "at")).first()[0] if told is not None else None
+        return (last.done, last.wanted) if last else (0, 0)
+
+    def run(self, wanted: DataFrame, make: Callable[[DataFrame], DataFrame], slices: int = 8) -> DataFrame:
+        """The rows of all wanted keys; `make` gives them for those that it is handed, a slice at a time."""
+        all_of = wanted.select(*self.keys).distinct().count()
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(slices))
+        for k in range(slices):
+            todo = self.missing(wanted.where(part == k))
+            if todo.isEmpty():
+                continue
+            made = make(todo).withColumns({"signature": F.lit(self.signature), "at": F.lit(time.time_ns())})
+            made.write.mode("append").parquet(f"{self.path}/rows")
+            done = all_of - self.missing(wanted).select(*self.keys).distinct().count()
+            self.spark.createDataFrame([(self.signature, done, all_of, time.time_ns())], "signature string, done bigint, wanted bigint, at bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/progress")
+        found = self.rows()
+        return found.join(wanted.select(*self.keys).distinct(), self.keys, "left_semi") if found is not None else make(wanted)
+
+
 def prune(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
     """Delete all but the newest `keep` bundles (by name, as they end in a time) of a folder; their names."""
     jvm = spark.sparkContext._jvm
