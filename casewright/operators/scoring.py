@@ -34,6 +34,23 @@ def case_level(with_prior: DataFrame, alpha: float = 1.0) -> DataFrame:
     return d.select("case_id", "n", "mean_conf", "entropy", "kl", "alpha", eff.alias("alpha_eff"), (0.5 + 0.5 * F.least(F.col("pconf"), F.lit(1.0))).alias("bayes"), "max_severity")
 
 
+def corpus_specificity(taxonomy: DataFrame, docs: DataFrame, least: int = 500) -> DataFrame:
+    """code, df, idf and specificity of codes (code, name, keywords) by how many documents hold one of their terms.
+
+    The exact form of `heuristic_idf`: the codes, a small table, travel to the
+    texts, and a count a code and task is shuffled. A corpus of fewer documents
+    counts as `least`; a code without terms weighs 1.
+    """
+    terms = F.transform(idf_terms(F.col("keywords"), F.coalesce("name", F.lit(""))), F.lower)
+    codes = taxonomy.select("code", F.filter(terms, lambda t: F.coalesce(t != "", F.lit(False))).alias("_terms"))
+    texts = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    hits = texts.join(F.broadcast(codes)).where(F.exists("_terms", lambda t: F.contains(F.col("_text"), t))).groupBy("code").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(least)).alias("_n"))
+    d = codes.join(hits, "code", "left").fillna(0, ["df"]).join(F.broadcast(n))
+    idf = F.when(F.size("_terms") > 0, clamp(F.log(1 + F.col("_n") / (1 + F.col("df"))), 0.5, 3.0)).otherwise(1.0)
+    return d.select("code", "df", F.round(idf, 6).alias("idf"), F.round(specificity(idf), 6).alias("specificity"))
+
+
 def cooccurrence(found: DataFrame, vectors: DataFrame, gamma: float = 0.3) -> DataFrame:
     """case_id, code, weight: 1 and a share of the mean positive likeness of a code to the case's other codes.
 

@@ -29,3 +29,9 @@ def sensitivity_sweep(spark, d):
     gate = gates.polarity(detection.keyword_matches(X.cases(table(spark, d, "documents")), X.taxonomy(spark)), X.MARKERS)
     found = _found(spark, d).join(gate.select("case_id", "code", "text", "denied_share", "gate_len", F.col("gate_sub").cast("double").alias("gate_sub")), ["case_id", "code"])
     return scoring.swept(found)
+
+
+@query(f"""WITH tx AS {X.TAXONOMY_SQL}, tm AS (SELECT code, list_concat(list_distinct(list_transform(keywords, lambda k: lower(k))), [lower(name)]) AS terms FROM tx), df AS (SELECT tm.code, count(*) FILTER (len(list_filter(terms, lambda k: contains(lower(coalesce(text, '')), k))) > 0) AS df, greatest(count(*), 500) AS n FROM tm, documents GROUP BY 1)
+SELECT code, df, round(least(3.0, greatest(0.5, ln(1 + n / (1 + df)))), 6) AS idf, round((least(3.0, greatest(0.5, ln(1 + n / (1 + df)))) - 0.5) / 2.5, 6) AS specificity FROM df""")
+def corpus_specificity(spark, d):
+    return scoring.corpus_specificity(X.taxonomy(spark), table(spark, d, "documents"))

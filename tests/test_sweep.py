@@ -51,3 +51,11 @@ def test_sweeps_must_be_known_and_hold_the_default_once(sweeps):
 
 def test_cases_without_codes_give_no_rows(spark):
     assert scoring.swept(spark.createDataFrame([], DDL)).collect() == []
+
+
+def test_specificity_by_the_corpus(spark):
+    codes = spark.createDataFrame([("a", "Rent", ["flat", "FLAT"]), ("b", None, ["nowhere"]), ("c", "", []), ("d", None, None)], "code string, name string, keywords array<string>")
+    docs = spark.createDataFrame([("a flat",), ("RENT is due",), ("flat rent",), (None,), ("else",)], "text string")
+    got = {r.code: (r.df, r.idf) for r in scoring.corpus_specificity(codes, docs, 4).collect()}
+    assert got == {"a": (3, round(math.log(1 + 5 / 4), 6)), "b": (0, round(math.log(6), 6)), "c": (0, 1.0), "d": (0, 1.0)}
+    assert {r.idf for r in scoring.corpus_specificity(codes, docs).collect()} == {3.0, 1.0}
