@@ -112,23 +112,24 @@ def prefix_sums(lengths: Column, block: int = 64) -> Column:
     return let(lengths, summed)
 
 
-def skew_join(rows: DataFrame, small: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
+def skew_join(rows: DataFrame, small: DataFrame, key: str | list[str], size: str, how: str = "inner", whole: bool = True) -> DataFrame:
     """`rows` with the columns of `small`, whose keys are unique and never null, without a hot task.
 
     `size` of `small` says how many of `rows` have its key. If all of `small` is
-    within BROADCAST_ROWS it is broadcast. Else a size is found above which at
+    within BROADCAST_ROWS it is broadcast, unless `whole` is false, by which rows
+    meet in the same way at every size of the input. Else a size is found above which at
     most BROADCAST_ROWS keys lie: these are broadcast, and rows of the others
     meet by a shuffle, in which no key is large. `rows` is read twice then.
     """
     key = [key] if isinstance(key, str) else key
     power = F.ceil(F.log2(F.greatest(F.col(size), F.lit(1)))).cast("int")
     at = {r[0]: r[1] for r in small.groupBy(power).count().collect()}  # a row for each power of two
-    if sum(at.values()) <= BROADCAST_ROWS:
+    if whole and sum(at.values()) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), key, how)
     least = LIGHT
     while sum(n for p, n in at.items() if p > least) > BROADCAST_ROWS:
         least += 1
-    if max(at) <= least:
+    if max(at, default=0) <= least:
         return rows.join(small, key, how)
     heavy = F.broadcast(small.where(power > least))
     rest = rows.join(F.broadcast(small.where(power > least).select(*key)), key, "left_anti").join(small.where(power <= least), key, how)

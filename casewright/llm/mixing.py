@@ -180,9 +180,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     each = F.floor(F.col("copies") / F.col("rows")).cast("int")
     found = found.withColumn("each", each).withColumn("k", F.col("copies") - F.col("each") * F.col("rows"))
     d = keyed.select("row", "id", "mark")
-    out = skew_join(d, found.where("each > 0"), ["id", "mark"], "rows").select("row", F.explode(F.sequence(F.lit(1), F.col("each")))).select("row.*")
+    out = skew_join(d, found.where("each > 0"), ["id", "mark"], "rows", whole=False).select("row", F.explode(F.sequence(F.lit(1), F.col("each")))).select("row.*")
     some = found.where("k > 0")
     if some.isEmpty():
         return out
-    one = skew_join(d, some, ["id", "mark"], "rows").groupBy("id", "mark").agg(F.first("row").alias("row"), F.first("k").alias("k"))
+    one = skew_join(d, some, ["id", "mark"], "rows", whole=False).groupBy("id", "mark").agg(F.first("row").alias("row"), F.first("k").alias("k"))
     return out.unionByName(repeated(one.select("row", "k"), "k").select("row.*"))
