@@ -87,7 +87,14 @@ def remapped_spans(spans: Column, text: Column, after: Column, maps: Column) ->
     of two; if there is none it goes. A span without a keyword is known by its
     text, in lower case. The first character may begin a span.
     """
-    fit = F.filter(F.coalesce(spans, F.array().cast("array<struct<keyword:string,start:int,end:int>>")), lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(text)))
+    none = F.array().cast("array<struct<keyword:string,start:int,end:int>>")
+    given = F.struct(F.coalesce(spans, none).alias("spans"), text.alias("text"), F.length(text).alias("size"), after.alias("after"), maps.alias("maps"))
+    return bound(given, lambda g: _all_remapped(g["spans"], g["text"], g["size"], g["after"], g["maps"]))
+
+
+def _all_remapped(spans: Column, text: Column, size: Column, after: Column, maps: Column) -> Column:
+    """`remapped_spans` of what is worked out once a row; a lambda would work it out anew for each span."""
+    fit = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= size))
 
     def one(s: Column) -> Column:
         said = F.substring(text, s["start"] + 1, s["end"] - s["start"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casewright.functions.windows import bound
 from casewright.operators import candidates, detection, masking, preparation
 from casewright.tables import table
 
@@ -20,10 +21,13 @@ def masked_spans(spark, d):
     text = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     f = _found(spark, d).join(text, "case_id")
     found = candidates.match_spans(F.col("text"), F.transform("matched", lambda m: F.lower(F.trim(m))))
-    longer = F.transform(found, lambda s: F.struct(F.lit("x").alias("keyword"), s["start"].alias("start"), F.least(s["end"] + 8, F.length("text")).alias("end")))
+    longer = bound(F.length("text"), lambda n: F.transform(found, lambda s: F.struct(F.lit("x").alias("keyword"), s["start"].alias("start"), F.least(s["end"] + 8, n).alias("end"))))
     f = f.select("case_id", "code", "text", longer.alias("spans"), masking.masked(F.col("text"), [("[0-9][0-9]+", "[N]")]).alias("m"))
-    f = f.select("case_id", "code", masking.remapped_spans(F.col("spans"), F.col("text"), F.col("m.text"), F.col("m.maps")).alias("s"))
-    return f.where(F.size("s") > 0).select("case_id", "code", F.size("s").cast("bigint").alias("spans"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["start"].cast("bigint") * 1000003 + x["end"]).alias("places"))
+    s = masking.remapped_spans(F.col("spans"), F.col("text"), F.col("m.text"), F.col("m.maps"))
+    # a condition on rows would be pushed to the texts, where all of this is worked out once more
+    f = f.select("case_id", "code", F.explode(F.filter(F.array(s), lambda s: F.size(s) > 0)).alias("s"))
+    return f.select("case_id", "code", F.size("s").cast("bigint").alias("spans"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["start"].cast("bigint") * 1000003 + x["end"]).alias("places"))
+
 
 
 _GOODS = "gd AS (SELECT p_brand AS code, list_sort(list_distinct(list(p_name))) AS keywords FROM part WHERE p_name <> '' GROUP BY 1)"

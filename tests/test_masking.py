@@ -73,3 +73,11 @@ def test_what_is_gone_is_sought_by_its_text(spark):
 def test_null_and_empty_texts(spark):
     got = spark.createDataFrame([(None,), ("",)], "t string").select(masking.masked(F.col("t"), PASSES).alias("m")).collect()
     assert [r.m.text for r in got] == ["", ""] and all(not any(r.m.maps) for r in got)
+
+
+def test_a_text_is_masked_and_searched_once_a_row(spark, sf_dir):
+    """No condition on the result is pushed to the texts, and no lambda over spans works on the whole text."""
+    from casewright.plans.registry import QUERIES
+
+    plan = QUERIES["masked_spans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_replace(") == 1
