@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.windows import bound
+from casewright.staging import staged
 
-from . import reports, scoring
+from . import reports, retrieval, scoring
 
 #: Lengths of what is shown of a document, and how many words a code's evidence names.
 SNIPPET, CONTENT, WORDS, NAME_WORDS = 520, 1500, 8, 6
@@ -101,7 +102,8 @@ def distress(texts: Column, matched: Column, terms: dict[str, list[str]], least:
 
 def matched_evidence(hits: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """case_id, doc_id, code, name, keywords and name_terms that a hit's document holds; codes without any go."""
-    d = hits.select("case_id", "doc_id").join(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_t")), "doc_id").join(found.select("case_id", "code", "name", "matched"), "case_id")
+    few = retrieval.within(staged(hits.select("case_id", "doc_id")))  # few rows a case go to the texts, which stay
+    d = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_t")).join(few, "doc_id").join(found.select("case_id", "code", "name", "matched"), "case_id")
     inside = lambda words: F.filter(words, lambda w: (w != "") & F.contains(F.col("_t"), F.lower(w)))
     words = F.filter(F.split(F.trim(F.coalesce("name", F.lit(""))), r"\s+"), lambda w: F.length(w) > 2)
     e = d.select("case_id", "doc_id", "code", "name", inside(F.coalesce("matched", F.array().cast("array<string>"))).alias("k"), inside(words).alias("n"))
@@ -118,8 +120,10 @@ def shown(hits: DataFrame, found: DataFrame, docs: DataFrame, sources: list[str]
     named = F.coalesce(*[F.nullif(F.col(s).cast("string"), F.lit("")) for s in sources], F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
     text = F.coalesce("text", F.lit(""))
     d = docs.select("doc_id", named.alias("source"), F.substring(text, 1, SNIPPET).alias("snippet"), F.substring(text, 1, CONTENT).alias("content"))
+    hits = staged(hits.select("case_id", "doc_id", "rank", "score"))
+    few = retrieval.within(hits.select("doc_id").distinct())
     codes = matched_evidence(hits, found, docs).groupBy("case_id", "doc_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    j = hits.select("case_id", "doc_id", "rank", "score").join(d, "doc_id", "left").join(codes, ["case_id", "doc_id"], "left")
+    j = hits.join(d.join(few, "doc_id"), "doc_id", "left").join(codes, ["case_id", "doc_id"], "left")
     return j.select("case_id", "rank", "doc_id", "source", "snippet", "content", "score", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
 
 

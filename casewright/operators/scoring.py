@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.scoring import calibrated, clamp, cosine, gated, heuristic_idf, idf_terms, keyword_share, margin, sigmoid, specificity, with_name
+from casewright.staging import staged
 
 from . import retrieval
 
@@ -78,7 +79,8 @@ def features(hits: DataFrame, found: DataFrame, docs: DataFrame, prior_mode: str
     detail = a.withColumn("most", F.max("severity").over(Window.partitionBy("case_id")))
     optional = lambda c: F.col(c) if c in found.columns else F.lit(1.0)
     detail = detail.select("case_id", "code", "prior", with_name(F.col("keywords"), F.col("matched"), F.col("name")).alias("terms"), calibrated(F.col("confidence"), F.col("severity"), F.col("most")).alias("detect"), specificity(heuristic_idf(idf_terms(F.col("keywords"), F.col("name")))).alias("specificity"), optional("gate_total").cast("double").alias("negation"), optional("weight").cast("double").alias("weight"))
-    pairs = hits.select("case_id", "doc_id", "score").join(docs.select("doc_id", "text"), "doc_id").join(detail, "case_id", "left")
+    few = retrieval.within(staged(hits.select("case_id", "doc_id", "score")))  # few rows a case go to the texts, which stay
+    pairs = docs.select("doc_id", "text").join(few, "doc_id").join(detail, "case_id", "left")
     word = keyword_share(F.col("text"), F.col("terms"), matching != "hard")
     if matching == "soft" and code_vectors is not None and doc_vectors is not None:
         pairs = pairs.join(F.broadcast(code_vectors), "code", "left").join(doc_vectors, "doc_id", "left")

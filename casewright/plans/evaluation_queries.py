@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casewright.functions import scoring as S
 from casewright.functions import text as T
 from casewright.operators import detection, evaluation, experiments, metrics, preparation, reports, retrieval, rules, scoring
+from casewright.staging import staged
 from casewright.tables import table
 
 from . import fixtures as X
@@ -153,7 +154,8 @@ def fused_score(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS variant, * FROM (WITH {_ways_scored_sql(_ONE, share=s)} SELECT count(*) AS n, round(avg(phi), 5) AS mean_phi, round(avg(final), 4) AS mean_final FROM sd)" for n, s in (("keyword_soft", _SOFT), ("hard", _HARD))))
 def matching_modes(spark, d):
-    out = _union({m: _ways(spark, d, _ONE, matching=m) for m in ("keyword_soft", "hard")})
+    hits = staged(_case_hits(spark, d))
+    out = _union({m: _ways(spark, d, _ONE, hits=hits, matching=m) for m in ("keyword_soft", "hard")})
     return out.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("phi"), 5).alias("mean_phi"), F.round(F.avg("final"), 4).alias("mean_final"))
 
 
@@ -162,7 +164,8 @@ _UNIFORM = _PRIOR.replace("greatest((severity + 2.0::DOUBLE / count(*) OVER w) /
 
 @query(f"WITH u AS (SELECT 'uniform' AS variant, * FROM (WITH {_ways_scored_sql(_ONE, prior=_UNIFORM)} SELECT * EXCLUDE (variant) FROM sd) UNION ALL SELECT 'full', * FROM (WITH {_ways_scored_sql(_ONE)} SELECT * EXCLUDE (variant) FROM sd)), al2 AS (SELECT * FROM u), {_CHANGES}")
 def prior_modes(spark, d):
-    both = _union({"full": _ways(spark, d, _ONE), "uniform": _ways(spark, d, _ONE, "uniform")})
+    hits = staged(_case_hits(spark, d))
+    both = _union({"full": _ways(spark, d, _ONE, hits=hits), "uniform": _ways(spark, d, _ONE, "uniform", hits=hits)})
     return evaluation.order_changes(both, "full")
 
 

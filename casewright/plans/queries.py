@@ -66,7 +66,7 @@ _RRF = f"{_BM25}, {_COV}, b25 AS ({_top('hits', 25)}), c25 AS ({_top('cov', 25)}
 @query(f"WITH {_RRF} {_top('f', 10)}")
 def rrf_fusion(spark, d):
     docs, asked = retrieval.corpus(table(spark, d, "documents")), _asked(spark, d)
-    return retrieval.rrf([retrieval.bm25(docs, asked, 25), retrieval.ranked(retrieval.coverage(docs, asked), ["query_id"], 25)])
+    return retrieval.rrf([retrieval.bm25(docs, asked, 25), retrieval.covered(docs, asked, 25)])
 
 
 @query(f"WITH {_RRF}, pool AS ({_top('f', 30)}), h AS (SELECT pool.query_id, pool.doc_id, coalesce(cov.score, 0) AS score FROM pool LEFT JOIN cov ON pool.query_id = cov.query_id AND pool.doc_id = cov.doc_id) {_top('h', 10)}")
@@ -263,9 +263,9 @@ def _case_hits(spark, d):
     return retrieval.bm25(table(spark, d, "documents"), _asked(spark, d), 15).select(F.col("query_id").alias("case_id"), "doc_id", "score")
 
 
-def _ways(spark, d, ways: list[tuple], prior_mode: str = "severity", **how):
+def _ways(spark, d, ways: list[tuple], prior_mode: str = "severity", hits: DataFrame | None = None, **how):
     found = _bench_gated(spark, d)
-    parts = scoring.features(_case_hits(spark, d), found, table(spark, d, "documents"), prior_mode, **({"matching": "keyword_soft"} | how))
+    parts = scoring.features(hits if hits is not None else _case_hits(spark, d), found, table(spark, d, "documents"), prior_mode, **({"matching": "keyword_soft"} | how))
     return scoring.scored(parts, scoring.case_level(scoring.priors(found, prior_mode)), scoring.variants(spark, ways))
 
 
@@ -398,7 +398,7 @@ SELECT query_id, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0)
 def kendall_tau(spark, d):
     docs, asked = retrieval.corpus(table(spark, d, "documents")), _asked(spark, d)
     a = retrieval.bm25(docs, asked, 25).select("query_id", F.col("doc_id").alias("item"), F.col("rank").alias("ra"))
-    b = retrieval.ranked(retrieval.coverage(docs, asked), ["query_id"], 25).select("query_id", F.col("doc_id").alias("item"), F.col("rank").alias("rb"))
+    b = retrieval.covered(docs, asked, 25).select("query_id", F.col("doc_id").alias("item"), F.col("rank").alias("rb"))
     return statistics.kendall(a.join(b, ["query_id", "item"]), ["query_id"])
 
 
