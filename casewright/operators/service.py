@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.scoring import confidence
@@ -23,12 +23,31 @@ def graded(hits: DataFrame, docs: DataFrame, expected: DataFrame) -> DataFrame:
     return grades(d.withColumn("n", F.greatest(n, F.lit(0))))
 
 
+def _counts(n: Column, severity: Column) -> Column:
+    return (n >= 2) | ((n == 1) & (severity >= 3))
+
+
+def _grade(codes: Column, severe: Column, most: Column) -> Column:
+    return F.when((codes >= 2) | ((most >= 3) & (severe >= 3)), 2).when(codes >= 1, 1).otherwise(0)
+
+
+def _worth(n: Column, severity: Column) -> Column:
+    return F.when(n >= 2, 1.0).when(_counts(n, severity), 0.5).otherwise(0.0)
+
+
 def grades(pairs: DataFrame) -> DataFrame:
     """case_id, doc_id, grade from a row for each code: its severity, and n, its keywords in the text, or these themselves."""
     d = pairs if "n" in pairs.columns else pairs.withColumn("n", F.size(F.filter(F.array_distinct("keywords"), lambda k: F.contains(F.col("_text"), F.lower(k)))))
-    counts = (F.col("n") >= 2) | ((F.col("n") == 1) & (F.col("severity") >= 3))
-    g = d.groupBy("case_id", "doc_id").agg(F.sum(F.when(F.col("n") >= 2, 1.0).when(counts, 0.5).otherwise(0.0)).alias("codes"), F.max(F.when(counts, F.col("severity"))).alias("severe"), F.max(F.when(F.col("n") >= 2, F.col("n"))).alias("most"))
-    return g.select("case_id", "doc_id", F.when((F.col("codes") >= 2) | ((F.col("most") >= 3) & (F.col("severe") >= 3)), 2).when(F.col("codes") >= 1, 1).otherwise(0).alias("grade"))
+    n, severity = F.col("n"), F.col("severity")
+    g = d.groupBy("case_id", "doc_id").agg(F.sum(_worth(n, severity)).alias("codes"), F.max(F.when(_counts(n, severity), severity)).alias("severe"), F.max(F.when(n >= 2, n)).alias("most"))
+    return g.select("case_id", "doc_id", _grade(F.col("codes"), F.col("severe"), F.col("most")).alias("grade"))
+
+
+def grade_of(codes: Column) -> Column:
+    """The same grade from an array of all codes' (severity, n)."""
+    worth = F.aggregate(codes, F.lit(0.0), lambda a, c: a + _worth(c["n"], c["severity"]))
+    severe, most = (F.array_max(F.transform(codes, f)) for f in (lambda c: F.when(_counts(c["n"], c["severity"]), c["severity"]), lambda c: F.when(c["n"] >= 2, c["n"])))
+    return _grade(worth, severe, most)
 
 
 def analyze(cases: DataFrame, docs: DataFrame, taxonomy: DataFrame, rule_table: DataFrame, markers: gates.Markers, k: int = 15) -> dict[str, DataFrame]:

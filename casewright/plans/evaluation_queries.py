@@ -84,7 +84,7 @@ mm AS (SELECT strategy, case_id, round(coalesce(tp / nullif(ret, 0), 0), 6) AS "
 
 
 def _evaluated(spark, d):
-    return evaluation.evaluated(_runs(spark, d), _relevant(spark, d))
+    return evaluation.evaluated(_runs(spark, d), evaluation.judgements(_judged(spark, d), table(spark, d, "documents")))
 
 
 @query(f"WITH {_EVAL} SELECT * FROM mm")
