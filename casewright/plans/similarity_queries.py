@@ -35,5 +35,7 @@ mv AS (SELECT DISTINCT x.family FROM cs x JOIN ln ON ln.a = x.k JOIN cs y ON y.k
 SELECT doc_id, family, CASE WHEN family IN (SELECT family FROM mv) THEN 'train' ELSE split END AS split FROM cs""")
 def split_repair(spark, d):
     cases = _split_cases(spark, d)
-    pairs, members = similarity.near_duplicates(cases), similarity.copies(cases)
-    return similarity.repaired(cases, pairs, members, "doc_id", "family", "split", F.col("doc_id") % 2 == 0).drop("text")
+    members = similarity.copies(cases)
+    made = F.col("doc_id") % 2 == 0
+    pairs = similarity.near_duplicates(cases, members=members, between=((F.col("split") == "test") & made, F.col("split") == "train"))
+    return similarity.repaired(cases, pairs, members, "doc_id", "family", "split", made).drop("text")
